@@ -249,7 +249,7 @@ def merge_runs(
         prev[c], cur[c] = F.lag(c).over(w), F.col(c)
     first = F.row_number().over(w) == 1
     flagged = base.withColumn("_new", F.when(first | breaks(prev, cur), 1).otherwise(0))
-    numbered = flagged.withColumn("_run", F.sum("_new").over(w))
+    numbered = flagged.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     parts = numbered.groupBy(*keys, SLICE, "_run").agg(
         *[F.first(c).alias(c) for c in constant],
         F.min("_t").alias("start"),
@@ -266,7 +266,7 @@ def merge_runs(
         prev[c], cur[c] = F.lag(c).over(across), F.col(c)
     fresh = (F.col("_run") > 1) | F.lag("_run").over(across).isNull() | breaks(prev, cur)
     border = parts.filter(at_border).withColumn("_new", F.when(fresh, 1).otherwise(0))
-    border = border.withColumn("_id", F.sum("_new").over(across))
+    border = border.withColumn("_id", F.sum("_new").over(across.rowsBetween(Window.unboundedPreceding, 0)))
     joined = border.groupBy(*keys, "_id").agg(
         *[F.first(c).alias(c) for c in constant],
         F.min("start").alias("start"),
