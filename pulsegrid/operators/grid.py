@@ -147,7 +147,7 @@ def spread_sessions(
     ``legacy`` counts whole-second samples minus one per touched bucket.
     """
     step = off_seconds * SECOND
-    rows = df.withColumn("_a", us(ts)).withColumn("_b", F.col("_a") + (F.col(seconds) * SECOND).cast("bigint"))
+    rows = df.withColumn("_a", us(ts)).withColumn("_b", F.col("_a") + F.round(F.col(seconds) * SECOND).cast("bigint"))
     rows = rows.withColumn("_k", F.explode(F.sequence(floor_div("_a", step), floor_div("_b", step))))
     low = F.greatest(F.col("_a"), F.col("_k") * step)
     high = F.least(F.col("_b"), (F.col("_k") + 1) * step)

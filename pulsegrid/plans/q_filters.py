@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.time import day_number
 from ..operators import filters as FL, sessions as S
 from .q_intervals import SES
-from .registry import query
+from .registry import near, query
 
 
 @query("having_count", """
@@ -38,7 +38,7 @@ def load_periods(t):
     p = S.sessions(t.readings, 43200).select("participant_id", "start_us", "end_us", (F.col("n") % 2 == 0).cast("int").alias("work"))
     src = t.readings.withColumn("value", F.col("value") - 20)
     out = FL.load_periods(p, src, "work", 10, 50, 0.6)
-    return out.groupBy("participant_id", "start_us").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    return out.groupBy("participant_id", "start_us").agg(F.count(F.lit(1)).alias("n"), near(F.avg("value"), 6).alias("mean_value"))
 
 
 @query("min_distinct", """
@@ -57,7 +57,7 @@ def usable_days(t):
     r = t.readings.withColumn("day", day_number("ts"))
     phone = F.col("state").isin("click", "view")
     out = FL.usable_days(r.filter(phone), r.filter(~phone), "value", "value", 60, 2, min_total=200)
-    return out.withColumn("seconds", F.round("seconds", 5))
+    return out.withColumn("seconds", near("seconds", 5))
 
 
 @query("known_location_share", """
@@ -66,7 +66,7 @@ def usable_days(t):
 def known_location_share(t):
     r = t.readings.withColumn("day", day_number("ts"))
     out = FL.known_location_share(r, "state", ["participant_id", "day"], unknown=("error", "signup"))
-    return out.withColumn("unknown_share", F.round("unknown_share", 6))
+    return out.withColumn("unknown_share", near("unknown_share", 6))
 
 
 @query("clip_and_dropna", """
@@ -75,4 +75,4 @@ def known_location_share(t):
     SELECT participant_id, count(*) AS n, round(avg(v), 6) AS mean_value FROM c WHERE k IS NOT NULL GROUP BY 1""")
 def clip_and_dropna(t):
     r = t.readings.withColumn("v", FL.clip(F.col("value") - 30, 0, 60)).withColumn("k", F.when(F.col("state") != "error", F.col("value")))
-    return r.dropna(subset=["k"]).groupBy("participant_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean_value"))
+    return r.dropna(subset=["k"]).groupBy("participant_id").agg(F.count(F.lit(1)).alias("n"), near(F.avg("v"), 6).alias("mean_value"))

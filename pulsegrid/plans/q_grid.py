@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from ..functions.time import HOUR, MINUTE, SECOND, bucket, clock_hour, day_number, from_us, relative_hour, shift_window, truncate, us
 from ..operators import grid as G, sessions as S
-from .registry import query
+from .registry import near, query
 
 
 def r6(df, *cols):
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    return df.withColumns({c: near(c, 6) for c in cols})
 
 
 def windows_sql(step, low, high, src="r"):
@@ -59,7 +59,7 @@ def multi_stat_resample(t):
     src = t.channels.withColumn("steps", F.when(F.col("source") % 3 == 0, 0.0).otherwise(F.col("value")))
     out = G.resample_multi(src, 3600, 1800, {"value": "full", "steps": "sum"}, threshold=2)
     out = r6(out, "value_mean", "steps_mean")
-    return out.withColumns({c: F.round(c, 5) for c in ("value_std", "steps_std", "steps_sum")})
+    return out.withColumns({c: near(c, 5) for c in ("value_std", "steps_std", "steps_sum")})
 
 
 @query("full_grid_counts", """
@@ -80,8 +80,8 @@ def full_grid_counts(t):
            round(sum((least(b, (k + 1) * 300000000) - greatest(us, k * 300000000)) / 1000000.0), 6) AS seconds
     FROM e GROUP BY 1, 2""")
 def spread_sessions(t):
-    src = t.readings.withColumn("secs", F.round(F.col("value") * 10, 6))
-    return G.spread_sessions(src, "secs", 300).withColumn("seconds", F.round("seconds", 6))
+    src = t.readings.withColumn("secs", near(F.col("value") * 10, 6))
+    return G.spread_sessions(src, "secs", 300).withColumn("seconds", near("seconds", 6))
 
 
 @query("foreground_share", """
@@ -91,7 +91,7 @@ def spread_sessions(t):
     SELECT g.participant_id, g.t_us, round(greatest(coalesce(n, 0) - 1, 0) * 0.01 / 3600, 9) AS foreground
     FROM g LEFT JOIN c USING (participant_id, t_us)""")
 def foreground_share(t):
-    return G.foreground_share(t.channels, 3600).withColumn("foreground", F.round("foreground", 9))
+    return G.foreground_share(t.channels, 3600).withColumn("foreground", near("foreground", 9))
 
 
 @query("locate_strongest", """
@@ -143,8 +143,8 @@ def hrv_metrics(t):
     src = t.channels.withColumn("rr0", F.floor("value").cast("int")).withColumn("rr1", F.floor(F.col("value") / 2).cast("int"))
     out = G.hrv(src, 21600, ["rr0", "rr1"], threshold=5)
     five = ["mean_nni", "sdnn", "sdsd", "rmssd", "pnni_50", "pnni_20", "cvnni", "cvsd"]
-    out = out.withColumns({c: F.round(c, 5) for c in five})
-    return out.withColumns({c: F.round(c, 4) for c in ("mean_hr", "min_hr", "max_hr", "std_hr")})
+    out = out.withColumns({c: near(c, 5) for c in five})
+    return out.withColumns({c: near(c, 4) for c in ("mean_hr", "min_hr", "max_hr", "std_hr")})
 
 
 @query("subwindow_rms", """
@@ -160,7 +160,7 @@ def hrv_metrics(t):
 def subwindow_rms(t):
     src = t.channels.withColumn("state", F.col("value") > 15).withColumn("energy", F.col("value"))
     out = G.subwindow_rms(S.state_runs(src, "state"), src, "value", "energy", 3600, 1800, min_rows=3)
-    return out.withColumns({c: F.round(c, 5) for c in ("mean_value", "rms_energy")})
+    return out.withColumns({c: near(c, 5) for c in ("mean_value", "rms_energy")})
 
 
 @query("tod_points", f"""
@@ -168,7 +168,7 @@ def subwindow_rms(t):
     SELECT participant_id, t_us // 86400000000 AS day, CAST(t_us % 86400000000 // {3 * H} AS INT) AS point, round(sum(value), 5) AS value
     FROM w GROUP BY 1, 2, 3""")
 def tod_points(t):
-    return G.tod_points(t.readings, "value", 8, 120).withColumn("value", F.round("value", 5))
+    return G.tod_points(t.readings, "value", 8, 120).withColumn("value", near("value", 5))
 
 
 @query("section_shift", """
@@ -207,7 +207,7 @@ def bucket_truncate(t):
     SELECT participant_id, round(avg(h), 5) AS mean_hour, round(avg(CASE WHEN h >= 12 THEN h - 24 ELSE h END), 5) AS mean_wrapped FROM h GROUP BY 1""")
 def clock_hours(t):
     return t.readings.groupBy("participant_id").agg(
-        F.round(F.avg(clock_hour("ts")), 5).alias("mean_hour"), F.round(F.avg(clock_hour("ts", wrap=True)), 5).alias("mean_wrapped")
+        near(F.avg(clock_hour("ts")), 5).alias("mean_hour"), near(F.avg(clock_hour("ts", wrap=True)), 5).alias("mean_wrapped")
     )
 
 
@@ -238,4 +238,4 @@ def assign_shift(t):
     SELECT participant_id, start_us, round((end_us - base) / 3600000000.0, 6) AS end_hour FROM b""")
 def relative_hours(t):
     s = S.sessions(t.readings, 12 * 3600)
-    return s.select("participant_id", "start_us", F.round(relative_hour(from_us("end_us"), from_us("start_us")), 6).alias("end_hour"))
+    return s.select("participant_id", "start_us", near(relative_hour(from_us("end_us"), from_us("start_us")), 6).alias("end_hour"))

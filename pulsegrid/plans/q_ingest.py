@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L, scoring as SC, signal as SG
 from ..functions.time import from_unix, to_local, to_unix, us
 from ..sources import hygiene as HY, readers as R
-from .registry import query
+from .registry import near, query
 
 
 @query("dedupe_first", """
@@ -52,7 +52,7 @@ def union_cohorts(t):
     SELECT c_custkey AS id, coalesce(n, 0) AS n, coalesce(v, 0) AS v FROM customer
     LEFT JOIN (SELECT user_id, count(*) AS n, round(sum(value), 5) AS v FROM events GROUP BY 1) ON user_id = c_custkey""")
 def fill_const(t):
-    e = t.events.groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 5).alias("v"))
+    e = t.events.groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), near(F.sum("value"), 5).alias("v"))
     return HY.fill_const(t.customer.select(F.col("c_custkey").alias("id")).join(e, "id", "left"), 0, ["n", "v"])
 
 
@@ -160,7 +160,7 @@ def questionnaire_scoring(t):
 def scale_scores(t):
     src = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("neu_igtb"), F.col("p_retailprice").alias("price"))
     out = SC.scale_scores(src, {"neu_igtb": (1, 50), "price": None})
-    return out.withColumns({c: F.round(c, 8) for c in ("neu_igtb", "price")})
+    return out.withColumns({c: near(c, 8) for c in ("neu_igtb", "price")})
 
 
 @query("audio_derive", """
@@ -169,12 +169,12 @@ def scale_scores(t):
 def audio_derive(t):
     e = t.events.withColumn("f0", F.when(F.col("user_id") % 5 == 0, 0.0).otherwise(F.col("value")))
     return e.select(
-        "event_id", F.round(SG.log_pitch("f0"), 8).alias("log_pitch"), F.round(SG.band_ratio("value", F.col("user_id") % 9), 8).alias("ratio"),
-        F.round(SG.decibel("value"), 8).alias("db"), F.round(SG.blend("value", SG.arousal(F.col("value") / 600), 0.3), 8).alias("blended"))
+        "event_id", near(SG.log_pitch("f0"), 8).alias("log_pitch"), near(SG.band_ratio("value", F.col("user_id") % 9), 8).alias("ratio"),
+        near(SG.decibel("value"), 8).alias("db"), near(SG.blend("value", SG.arousal(F.col("value") / 600), 0.3), 8).alias("blended"))
 
 
 @query("state_words", """
-    WITH {readings} SELECT chr(97 + CAST(least(value // 50, 4) AS INT)) || chr(97 + CAST(hour(ts) // 6 AS INT)) AS word, count(*) AS n FROM r GROUP BY 1""")
+    WITH {readings} SELECT chr(97 + CAST(least(floor(value / 50), 4) AS INT)) || chr(97 + CAST(hour(ts) // 6 AS INT)) AS word, count(*) AS n FROM r GROUP BY 1""")
 def state_words(t):
     level = F.least(F.floor(F.col("value") / 50), F.lit(4)).cast("int")
     return t.readings.groupBy(L.state_word([level, F.floor(F.hour("ts") / 6).cast("int")]).alias("word")).agg(F.count(F.lit(1)).alias("n"))
@@ -192,4 +192,4 @@ def hr_zones(t):
     top = t.readings.groupBy("participant_id").agg(F.max("value").alias("top"))
     z = salted_join(t.readings, top, ["participant_id"]).withColumn("z", SG.hr_zone("value", "top"))
     c = z.groupBy("participant_id").agg(*[F.count_if(F.col("z") == n).alias(n) for n in SG.ZONES])
-    return c.withColumns({n: F.round(e, 8) for n, e in SG.zone_ratio(SG.ZONES).items()})
+    return c.withColumns({n: near(e, 8) for n, e in SG.zone_ratio(SG.ZONES).items()})

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.time import DAY, HOUR, SECOND, day_number, us
 from ..operators import filters as FL, intervals as I, sessions as S
 from .q_sessions import gaps
-from .registry import query
+from .registry import near, query
 
 SES = f"{gaps(12)}, iv AS (SELECT participant_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM s GROUP BY participant_id, sid)"
 
@@ -28,7 +28,7 @@ READ0 = "r0 AS (SELECT user_id AS participant_id, ts, epoch_us(ts) AS us, value,
 def interval_point_join(t):
     points, ivals = halves(t)
     return I.points_in_intervals(points, ivals, bucket_seconds=6 * 3600).groupBy("participant_id", "start_us", "end_us").agg(
-        F.count(F.lit(1)).alias("points"), F.round(F.avg("value"), 6).alias("mean_value")
+        F.count(F.lit(1)).alias("points"), near(F.avg("value"), 6).alias("mean_value")
     )
 
 
@@ -40,8 +40,8 @@ def interval_point_join(t):
     FROM w JOIN pt ON w.participant_id = pt.participant_id AND us BETWEEN lo AND hi GROUP BY 1, 2, 3""")
 def before_after_12h(t):
     points, ivals = halves(t)
-    near = I.around_intervals(points, ivals.drop("n"), 43200, 43200, bucket_seconds=6 * 3600)
-    return near.groupBy("participant_id", "start_us", "side").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("value"), 5).alias("total"))
+    close = I.around_intervals(points, ivals.drop("n"), 43200, 43200, bucket_seconds=6 * 3600)
+    return close.groupBy("participant_id", "start_us", "side").agg(F.count(F.lit(1)).alias("points"), near(F.sum("value"), 5).alias("total"))
 
 
 @query("pre_post_sleep_30min", f"""
@@ -52,8 +52,8 @@ def before_after_12h(t):
     FROM w JOIN pt ON w.participant_id = pt.participant_id AND us BETWEEN lo AND hi GROUP BY 1, 2""")
 def pre_post_sleep_30min(t):
     points, ivals = halves(t)
-    near = I.around_intervals(points, ivals.drop("n"), 1800, 1800, bucket_seconds=1800)
-    return near.groupBy("participant_id", "side").agg(F.count(F.lit(1)).alias("points"), F.round(F.avg("value"), 6).alias("mean_value"))
+    close = I.around_intervals(points, ivals.drop("n"), 1800, 1800, bucket_seconds=1800)
+    return close.groupBy("participant_id", "side").agg(F.count(F.lit(1)).alias("points"), near(F.avg("value"), 6).alias("mean_value"))
 
 
 @query("band_join_30s", """
@@ -63,7 +63,7 @@ def pre_post_sleep_30min(t):
 def band_join_30s(t):
     a, b = t.channels.filter("source % 2 = 0"), t.channels.filter("source % 2 = 1")
     out = I.band_join(a, b, 300).groupBy("participant_id", us("ts").alias("a_us"))
-    return out.agg(F.count(F.lit(1)).alias("near"), F.round(F.avg("b_value"), 6).alias("mean_value"))
+    return out.agg(F.count(F.lit(1)).alias("near"), near(F.avg("b_value"), 6).alias("mean_value"))
 
 
 def two_tables(t):
@@ -131,7 +131,7 @@ def tolerance_match_300s(t):
 def stream_align(t):
     r = t.readings.withColumn("b", F.floor(us("ts") / (21600 * SECOND)))
     base = r.groupBy("participant_id", "b").agg(F.count(F.lit(1)).alias("n"))
-    view = r.filter("state = 'view'").groupBy("participant_id", "b").agg(F.round(F.sum("value"), 5).alias("view_value"))
+    view = r.filter("state = 'view'").groupBy("participant_id", "b").agg(near(F.sum("value"), 5).alias("view_value"))
     click = r.filter("state = 'click'").groupBy("participant_id", "b").agg(F.count(F.lit(1)).alias("click_n"))
     return I.align(base, view, click, on=["participant_id", "b"])
 
@@ -142,7 +142,7 @@ def stream_align(t):
 def attach_attributes(t):
     dim = t.customer.select(F.col("c_custkey").alias("participant_id"), F.col("c_mktsegment").alias("segment"))
     out = I.attach_attributes(t.readings, dim, how="inner").groupBy("segment", "state")
-    return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    return out.agg(F.count(F.lit(1)).alias("n"), near(F.avg("value"), 6).alias("mean_value"))
 
 
 @query("merge_profiles", """
@@ -164,7 +164,7 @@ def merge_profiles(t):
 def outer_merge_days(t):
     r = t.readings.withColumn("day", day_number("ts"))
     a = r.filter("state = 'click'").groupBy("participant_id", "day").agg(F.count(F.lit(1)).alias("clicks"))
-    b = r.filter("state = 'view'").groupBy("participant_id", "day").agg(F.round(F.sum("value"), 5).alias("view_total"))
+    b = r.filter("state = 'view'").groupBy("participant_id", "day").agg(near(F.sum("value"), 5).alias("view_total"))
     return I.full_merge(a, b, on=["participant_id", "day"])
 
 
@@ -175,12 +175,12 @@ def outer_merge_days(t):
 def calendar_semi(t):
     r = t.readings.withColumn("day", day_number("ts"))
     out = I.on_days(r, r.filter("state = 'purchase'")).groupBy("participant_id")
-    return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    return out.agg(F.count(F.lit(1)).alias("n"), near(F.avg("value"), 6).alias("mean_value"))
 
 
 @query("gps_round_join", """
-    WITH e AS (SELECT user_id, round(value / 1000, 2) AS lat, round((user_id % 7) / 10.0, 2) AS lon FROM events),
-    p AS (SELECT DISTINCT 'S' || s_suppkey AS place, round(s_suppkey / 1000.0, 2) AS lat, round((s_suppkey % 7) / 10.0, 2) AS lon FROM supplier WHERE s_suppkey % 4 <> 0)
+    WITH e AS (SELECT user_id, ROUND(value / 1000, 2) AS lat, ROUND((user_id % 7) / 10.0, 2) AS lon FROM events),
+    p AS (SELECT DISTINCT 'S' || s_suppkey AS place, ROUND(s_suppkey / 1000.0, 2) AS lat, ROUND((s_suppkey % 7) / 10.0, 2) AS lon FROM supplier WHERE s_suppkey % 4 <> 0)
     SELECT place, count(*) AS n FROM e JOIN p USING (lat, lon) WHERE place <> 'S1' GROUP BY 1""")
 def gps_round_join(t):
     e = t.events.select("user_id", (F.col("value") / 1000).alias("lat"), ((F.col("user_id") % 7) / 10.0).alias("lon"))
@@ -219,8 +219,8 @@ def self_pair_lags(t):
            round(1.06 * sd * pow(n, -0.2), 2) AS bandwidth, round(greatest(m - sd, 0), 2) AS landmark_low, round(m + sd, 2) AS landmark_high FROM a""")
 def lag_summary(t):
     out = I.lag_summary(lag_pairs(t))
-    out = out.withColumn("share", F.round("share", 6))
-    return out.withColumns({c: F.round(c, 2) for c in ("mean_lag", "std_lag", "bandwidth", "landmark_low", "landmark_high")})
+    out = out.withColumn("share", near("share", 6))
+    return out.withColumns({c: near(c, 2) for c in ("mean_lag", "std_lag", "bandwidth", "landmark_low", "landmark_high")})
 
 
 @query("work_windows", """

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import HOUR, MINUTE, SECOND, day_number
 from ..operators import sessions as S
-from .registry import query
+from .registry import near, query
 
 GAPS = """
     g AS (SELECT *, CASE WHEN us - lag(us) OVER w > {gap} THEN 1 ELSE 0 END AS brk FROM r
@@ -24,7 +24,7 @@ def gaps(hours):
 def gap_sessions(t):
     out = S.sessions(t.readings, 12 * 3600, measures={"m": ("avg", F.col("value")), "s": ("std", F.col("value"))})
     return out.select(
-        "participant_id", "start_us", "end_us", "n", F.round("m", 6).alias("mean_value"), F.round("s", 6).alias("std_value")
+        "participant_id", "start_us", "end_us", "n", near("m", 6).alias("mean_value"), near("s", 6).alias("std_value")
     )
 
 
@@ -41,7 +41,7 @@ def shift_sessions(t):
       SELECT participant_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM s GROUP BY participant_id, sid)
     SELECT *, round((end_us - start_us) / 3600000000.0, 6) AS hours FROM a WHERE n BETWEEN 2 AND 900""")
 def recordings_min_rows(t):
-    return S.recordings(t.readings, min_rows=2).withColumn("hours", F.round("hours", 6))
+    return S.recordings(t.readings, min_rows=2).withColumn("hours", near("hours", 6))
 
 
 @query("session_filter_minmax", f"""
@@ -81,7 +81,7 @@ def dense_blocks(t):
     FROM k GROUP BY participant_id, utt HAVING sum(c) > 5 AND sum(c) < 2000""")
 def utterances(t):
     out = S.utterances(t.channels, pause=3600, sub_gap=600, min_n=5)
-    return out.withColumn("mean_segment", F.round("mean_segment", 6))
+    return out.withColumn("mean_segment", near("mean_segment", 6))
 
 
 @query("frame_runs", f"""
@@ -150,7 +150,7 @@ def conversation_runs(t):
            round(stddev_pop(n), 6) AS std_run, max(n) AS longest_run FROM runs GROUP BY 1, 2""")
 def speak_silence(t):
     out = S.speak_silence(t.channels, "value", 40)
-    return out.withColumn("mean_run", F.round("mean_run", 6)).withColumn("std_run", F.round("std_run", 6))
+    return out.withColumn("mean_run", near("mean_run", 6)).withColumn("std_run", near("std_run", 6))
 
 
 @query("cycle_starts", """
@@ -167,4 +167,4 @@ def cycle_starts(t):
     WITH {readings}, x AS (SELECT *, (lead(us) OVER (PARTITION BY participant_id ORDER BY us) - us) / 1000000.0 - value AS pause FROM r)
     SELECT participant_id, count(*) AS pauses, round(avg(pause), 5) AS mean_pause FROM x WHERE pause <= 14400 GROUP BY 1""")
 def inter_session_gap(t):
-    return S.inter_session(t.readings, "value").withColumn("mean_pause", F.round("mean_pause", 5))
+    return S.inter_session(t.readings, "value").withColumn("mean_pause", near("mean_pause", 5))
