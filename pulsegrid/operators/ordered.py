@@ -92,7 +92,8 @@ def running(
     """
     turn = (lambda c: col(c).desc()) if descending else (lambda c: col(c).asc())
     names = [f"_v_{n}" for n in ops]
-    base = df.select("*", *[e.alias(f"_v_{n}") for n, (_, e) in ops.items()], spread.alias(SLICE))
+    plain = [c for c in df.columns if c != SLICE]
+    base = df.select(*plain, *[e.alias(f"_v_{n}") for n, (_, e) in ops.items()], spread.alias(SLICE))
     w = (
         Window.partitionBy(*keys, SLICE)
         .orderBy(*[turn(c) for c in order])
