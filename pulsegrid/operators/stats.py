@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.special import digamma, f_p, kolmogorov_p, t_p
-from .aggregates import pdf_of_counts
 from .ordered import SLICE, cumulative, framed, running, salted_join, value_counts, value_slices
-from .windows import circular_smooth
 
 
 def long_form(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -129,32 +127,55 @@ def change_test(
     (``split``) or with the last ``agg`` (``overlap``).  Returns the divergence
     per window, bin and shuffle; shuffle 0 is the true order.
 
-    Readings are counted per day and bin once; only those counts meet the
-    shuffles.
+    Readings are counted into one vector per participant-day; a window gathers
+    its ``agg + slide`` day vectors once, and every shuffle is worked out on
+    that row, without another exchange.
     """
-    counts = df.groupBy(pid, day, "bin", state).agg(F.count(F.lit(1)).alias("n"))
-    days = counts.select(pid, day).distinct()
-    first = days.groupBy(pid).agg(F.min(day).alias("_d0"))
-    width = agg + slide
-    placed = days.join(first, pid).withColumn("_off", F.col(day) - F.col("_d0"))
+    width, k = agg + slide, len(states)
+    cells = bins * k
+    index = F.coalesce(*[F.when(F.col(state) == s, F.lit(i)) for i, s in enumerate(states)])
+    counts = df.groupBy(pid, day, (F.col("bin") * k + index).cast("int").alias("_cell")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counts = counts.filter(F.col("_cell").isNotNull())
+    # at most bins x states entries per day
+    days = counts.groupBy(pid, day).agg(F.map_from_entries(F.collect_list(F.struct("_cell", "n"))).alias("_m"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+    days = days.select(pid, F.col(day).alias("_d"), vector.alias("_v"))
+    first = days.groupBy(pid).agg(F.min("_d").alias("_d0"))
+    placed = salted_join(days, first, [pid]).withColumn("_off", F.col("_d") - F.col("_d0"))
     lo = F.greatest(F.lit(0).cast("bigint"), F.ceil((F.col("_off") - width + 1) / slide))
-    hi = F.floor(F.col("_off") / slide)
-    placed = placed.withColumn("window", F.explode(F.sequence(lo, hi))).select(pid, "window", day)
-    whole = placed.groupBy(pid, "window").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") == width)
-    placed = placed.join(whole.select(pid, "window"), [pid, "window"])
-    drawn = placed.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(shuffles))))
-    order = F.when(F.col("shuffle") == 0, F.col(day)).otherwise(F.xxhash64(F.col(day), F.col("shuffle"), F.lit(seed)))
-    w = Window.partitionBy(pid, "window", "shuffle").orderBy(order, day)  # agg + slide rows
-    drawn = drawn.withColumn("_i", F.row_number().over(w))
-    in_first, in_second = F.col("_i") <= agg, F.col("_i") > (agg if mode == "split" else slide)
-    drawn = drawn.withColumn("_g", F.explode(F.array_compact(F.array(F.when(in_first, F.lit(1)), F.when(in_second, F.lit(2)))))).drop("_i")
-    by = [pid, "window", "shuffle"]
-    grouped = drawn.join(counts, [pid, day]).groupBy(*by, "_g", "bin", state).agg(F.sum("n").alias("n"))
-    pdf = pdf_of_counts(grouped, state, states, bins, [*by, "_g"])
-    if smooth:
-        pdf = circular_smooth(pdf, bins, [*by, "_g"], state)
-    one, two = (pdf.filter(F.col("_g") == g).drop("_g") for g in (1, 2))
-    return sym_kl(one, two, state, by, "distance")
+    placed = placed.withColumn("window", F.explode(F.sequence(lo, F.floor(F.col("_off") / slide))))
+    gathered = placed.groupBy(pid, "window").agg(F.collect_list(F.struct("_d", "_v")).alias("_x")).filter(F.size("_x") == width)
+    drawn = gathered.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(shuffles))))
+
+    def place(x):
+        order = F.when(F.col("shuffle") == 0, x["_d"]).otherwise(F.xxhash64(x["_d"], F.col("shuffle"), F.lit(seed)))
+        return F.struct(order.alias("o"), x["_d"].alias("d"), x["_v"].alias("v"))
+
+    drawn = drawn.select(pid, "window", "shuffle", F.array_sort(F.transform("_x", place)).alias("_s"))
+    start = agg if mode == "split" else slide
+    for name, part in (("_a", F.slice("_s", 1, agg)), ("_b", F.slice("_s", start + 1, width - start))):
+        zero = F.array_repeat(F.lit(0.0), cells)
+        drawn = drawn.withColumn(name, F.aggregate(part, zero, lambda acc, x: F.zip_with(acc, x["v"], lambda p, q: p + q)))
+    drawn = drawn.drop("_s")
+
+    def total(xs):
+        return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+
+    def share(xs):
+        return F.transform(F.array(total(xs)), lambda t: F.transform(xs, lambda x: x / t))[0]
+
+    def neighbour(name, i, step):
+        return F.element_at(name, F.pmod(i + step, F.lit(bins)) + 1)
+
+    for name in ("_a", "_b"):
+        per_bin = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: share(F.transform(F.slice(name, i * k + 1, F.lit(k)), lambda x: x + 1)))
+        drawn = drawn.withColumn(name, per_bin)
+        if smooth:
+            mixed = F.transform(name, lambda row, i: share(F.zip_with(F.zip_with(row, neighbour(name, i, 1), lambda p, q: p + q), neighbour(name, i, -1), lambda p, q: p + q)))
+            drawn = drawn.withColumn(name, mixed)
+    distance = F.zip_with("_a", "_b", lambda r, q: total(F.zip_with(r, q, lambda x, y: (x - y) * F.log(x / y) / 2)))
+    out = drawn.select(pid, "window", "shuffle", F.posexplode(distance).alias("bin", "distance"))
+    return out
 
 
 def change_score(test: DataFrame, alpha: float = 0.1, pid="participant_id", correct: bool = False) -> DataFrame:
