@@ -35,7 +35,7 @@ def blend(first, second, alpha: float) -> Column:
 
 def hr_zone(hr, max_hr) -> Column:
     """Heart-rate zone by share of the period's maximum (FN-14)."""
-    share = col(hr) / col(max_hr)
+    share = F.try_divide(col(hr), col(max_hr))
     return F.when(share >= 0.85, ZONES[0]).when(share >= 0.7, ZONES[1]).when(share >= 0.5, ZONES[2]).when(share.isNotNull(), ZONES[3])
 
 

@@ -201,7 +201,7 @@ class Measures:
             if kind in ("max", "last"):
                 out.append(F.max(a).alias(f"_{name}_a"))
             if kind in ("std", "var"):
-                mean = F.sum(a * n) / F.sum(n)
+                mean = F.try_divide(F.sum(a * n), F.sum(n))
                 out.append(mean.alias(f"_{name}_a"))
                 out.append((F.sum(q) + F.sum(n * a * a) - F.sum(n) * mean * mean).alias(f"_{name}_q"))
         return out

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.aggregate import safe_corr
 from ..functions.special import digamma, f_p, kolmogorov_p, t_p
 from .ordered import SLICE, cumulative, framed, running, salted_join, value_counts, value_slices
 
@@ -64,7 +65,7 @@ def anova(df: DataFrame, group: str, cols: Sequence[str], by: Sequence[str] = ()
         (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum(F.col("n") * F.col("m")) * F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("between"),
     )
     d1, d2 = (F.col("groups") - 1).cast("double"), (F.col("n") - F.col("groups")).cast("double")
-    s = s.withColumn("f", F.try_divide(F.col("between") / d1, F.col("within") / d2))
+    s = s.withColumn("f", F.try_divide(F.try_divide("between", d1), F.try_divide("within", d2)))
     return s.withColumn("p", f_p("f", d1, d2))
 
 
@@ -77,7 +78,7 @@ def pearson(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), pairs: S
     todo = list(pairs or _pairs(cols))
     num = lambda c: F.col(c).cast("double")
     cells = [
-        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.count(num(x) + num(y)).alias("n"), F.corr(num(x), num(y)).alias("r"))
+        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.count(num(x) + num(y)).alias("n"), safe_corr(num(x), num(y)).alias("r"))
         for x, y in todo
     ]
     src = df if by else df.withColumn("_all", F.lit(1))
@@ -197,7 +198,7 @@ def synchrony(a: DataFrame, b: DataFrame, pid="participant_id") -> DataFrame:
     key = [pid, "window", "bin"]
     both = a.select(*key, F.col("p").alias("pa"), F.col("changed").alias("ca")).join(b.select(*key, F.col("p").alias("pb"), F.col("changed").alias("cb")), key)
     per = both.groupBy(pid, "window").agg(F.sum((F.col("ca") == F.col("cb")).cast("int")).alias("agree"))
-    shape = both.groupBy(pid).agg(F.corr("pa", "pb").alias("p_corr"), F.avg(F.abs(F.col("pa") - F.col("pb"))).alias("p_diff"))
+    shape = both.groupBy(pid).agg(safe_corr("pa", "pb").alias("p_corr"), F.avg(F.abs(F.col("pa") - F.col("pb"))).alias("p_diff"))
     return per.groupBy(pid).agg(F.avg("agree").alias("sync_mean"), F.stddev_pop("agree").alias("sync_std"), F.count(F.lit(1)).alias("windows")).join(shape, pid)
 
 
@@ -250,7 +251,7 @@ def hist_mi(df: DataFrame, x: str, y: str, bins: int = 256, by: Sequence[str] =
     rows = salted_join(rows.select(*key, x, y), lim, key)
 
     def cell(c, k):
-        pos = F.floor((F.col(c) - F.col(f"_lo{k}")) / (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * bins)
+        pos = F.floor(F.try_divide(F.col(c) - F.col(f"_lo{k}"), F.col(f"_hi{k}") - F.col(f"_lo{k}")) * bins)
         return F.coalesce(F.least(pos, F.lit(bins - 1)), F.lit(0))
 
     joint = rows.groupBy(*key, cell(x, "x").alias("_bx"), cell(y, "y").alias("_by")).agg(F.count(F.lit(1)).alias("n"))

@@ -58,7 +58,7 @@ def remove_weekly_level(df: DataFrame, cols: Sequence[str], before=7, after=6, p
     rows = df.withColumn("_day", day_number(ts))
     days = rows.groupBy(pid, "_day").agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("s", F.sum), ("n", F.count))])
     w = Window.partitionBy(pid).orderBy("_day").rangeBetween(-before, after)  # a participant's days
-    level = days.select(pid, "_day", *[(F.sum(f"_s_{c}").over(w) / F.sum(f"_n_{c}").over(w)).alias(f"_l_{c}") for c in cols])
+    level = days.select(pid, "_day", *[F.try_divide(F.sum(f"_s_{c}").over(w), F.sum(f"_n_{c}").over(w)).alias(f"_l_{c}") for c in cols])
     out = rows.join(level, [pid, "_day"])
     return out.withColumns({c: F.col(c) - F.coalesce(F.col(f"_l_{c}"), F.lit(0.0)) for c in cols}).drop("_day", *[f"_l_{c}" for c in cols])
 
