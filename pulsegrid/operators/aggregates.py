@@ -174,8 +174,9 @@ def sleep_summary(
     """Sleep rows with activity 12 h before and after and work proximity (AG-9)."""
     near = around_intervals(minutes.select(pid, ts, hr, steps), sleep.select(pid, "start_us", "end_us"), 43200, 43200, pid, ts, bucket_seconds=6 * 3600)
     key = [pid, "start_us", "end_us", "side"]
-    tops = near.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max(hr).alias("max_hr")).filter(F.col("_n") > min_rows)
-    zoned = near.join(tops, key).withColumn("_z", hr_zone(hr, "max_hr"))
+    w = Window.partitionBy(*key)  # twelve hours of one participant
+    near = near.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("max_hr", F.max(hr).over(w)).filter(F.col("_n") > min_rows)
+    zoned = near.withColumn("_z", hr_zone(hr, "max_hr"))
     sides = zoned.groupBy(*key).agg(
         F.sum(steps).alias("steps"), F.max("max_hr").alias("max_hr"), F.max(steps).alias("max_steps"),
         *[(F.count_if(F.col("_z") == z) / F.count(F.lit(1))).alias(z) for z in ("peak", "cardio", "fat_burn", "out_of_range")],

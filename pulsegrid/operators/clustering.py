@@ -160,9 +160,20 @@ def cluster(df: DataFrame, cols: Sequence[str], method: str, **kw) -> DataFrame:
 
 
 def hierarchy(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 0) -> DataFrame:
-    """Top-down hierarchical clusters of standardised scores (ML-13)."""
-    rows = features(cut_lineage(df), cols)
-    return BisectingKMeans(k=k, seed=seed, predictionCol="cluster").fit(rows).transform(rows).drop("features")
+    """Top-down hierarchical clusters of standardised scores (ML-13).
+
+    Bisection starts its halves from the centre scaled by a little noise, so
+    the scores are moved off zero; distances do not change.
+    """
+    from .windows import normalize
+
+    named = {c: f"_z_{c}" for c in cols}
+    base = df.dropna(subset=list(cols)).withColumns({z: F.col(c).cast("double") for c, z in named.items()})
+    rows = normalize(base, list(named.values()), [])
+    rows = cut_lineage(rows.withColumns({z: F.coalesce(F.col(z), F.lit(0.0)) + 1 for z in named.values()}))
+    vectors = VectorAssembler(inputCols=list(named.values()), outputCol="features").transform(rows)
+    model = BisectingKMeans(k=k, seed=seed, predictionCol="cluster").fit(vectors)
+    return model.transform(vectors).drop("features", *named.values())
 
 
 def subspace_states(df: DataFrame, groups: dict[str, Sequence[str]], k: int, by: Sequence[str] = (PID,), rounds: int = 10) -> DataFrame:

@@ -87,29 +87,30 @@ def interval_proximity(
     the sleep and the last work end before it can decide, so each is found by
     one ordered pass over the union instead of a pair join.
     """
-    marks = (
-        sleep.select(pid, F.col("end_us").alias("t"), F.lit(1).alias("k"), "start_us", "end_us")
-        .unionByName(sleep.select(pid, F.col("start_us").alias("t"), F.lit(2).alias("k"), "start_us", "end_us"))
-        .unionByName(
-            work.select(pid, F.col("start_us").alias("t"), F.lit(3).alias("k"), F.lit(None).cast("bigint").alias("start_us"), F.lit(None).cast("bigint").alias("end_us"))
-        )
-        .unionByName(
-            work.select(pid, F.col("end_us").alias("t"), F.lit(0).alias("k"), F.lit(None).cast("bigint").alias("start_us"), F.lit(None).cast("bigint").alias("end_us"))
-        )
+    nothing = F.lit(None).cast("bigint")
+
+    def marks(df, at, rank, kind, own):
+        cells = ["start_us", "end_us"] if own else [nothing.alias("start_us"), nothing.alias("end_us")]
+        return df.select(pid, F.col(at).alias("t"), F.lit(rank).alias("_o"), F.lit(kind).alias("k"), *cells)
+
+    # starts sort before ends at equal times, so only strictly later work
+    # starts lie ahead of a sleep end and strictly earlier work ends behind a start
+    union = (
+        marks(sleep, "start_us", 0, "sleep_start", True)
+        .unionByName(marks(sleep, "end_us", 1, "sleep_end", True))
+        .unionByName(marks(work, "start_us", 0, "work_start", False))
+        .unionByName(marks(work, "end_us", 1, "work_end", False))
     )
     from .ordered import running
 
-    # strictly later work starts: at equal times work starts sort before the sleep end
-    upcoming = running(
-        marks.filter(F.col("k").isin(1, 3)).withColumn("_o", F.when(F.col("k") == 3, 0).otherwise(1)), [pid], ["t", "_o", "start_us"],
-        {"next_work": ("min", F.when(F.col("k") == 3, F.col("t")))}, time_slice("t", 7), descending=True,
-    ).filter("k = 1").select(pid, "start_us", "end_us", "next_work")
-    # strictly earlier work ends: at equal times the sleep start sorts first
-    past = running(
-        marks.filter(F.col("k").isin(0, 2)).withColumn("_o", F.when(F.col("k") == 2, 0).otherwise(1)), [pid], ["t", "_o", "end_us"],
-        {"last_work": ("max", F.when(F.col("k") == 0, F.col("t")))}, time_slice("t", 7),
-    ).filter("k = 2").select(pid, "start_us", "end_us", "last_work")
-    both = upcoming.join(past, [pid, "start_us", "end_us"])
+    walked = running(
+        union, [pid], ["t", "_o", "k", "start_us"], {"last_work": ("max", F.when(F.col("k") == "work_end", F.col("t")))}, time_slice("t", 7),
+        ahead={"next_work": ("min", F.when(F.col("k") == "work_start", F.col("t")))},
+    ).filter(F.col("k").startswith("sleep"))
+    both = walked.groupBy(pid, "start_us", "end_us").agg(
+        F.max(F.when(F.col("k") == "sleep_end", F.col("next_work"))).alias("next_work"),
+        F.max(F.when(F.col("k") == "sleep_start", F.col("last_work"))).alias("last_work"),
+    )
     ahead, since = F.col("next_work") - F.col("end_us"), F.col("start_us") - F.col("last_work")
 
     def flag(gap, hours):
@@ -153,9 +154,7 @@ def nearest_within(a: DataFrame, b: DataFrame, seconds: float, pid=PID, a_time="
     from .ordered import running
 
     hit = F.when(F.col("_k") == 0, F.struct(F.col("_t").alias("t"), F.col("_b").alias("b")))
-    placed = running(both, [pid], ["_t", "_k"], {"_before": ("max", hit)}, time_slice("_t", 1))
-    placed = running(placed.filter("_k = 1").select(pid, "_t", "_k", "_a", "_before").unionByName(
-        right, allowMissingColumns=True), [pid], ["_t", F.col("_k")], {"_after": ("min", hit)}, time_slice("_t", 1), descending=True)
+    placed = running(both, [pid], ["_t", "_k"], {"_before": ("max", hit)}, time_slice("_t", 1), ahead={"_after": ("min", hit)})
     near = placed.filter("_k = 1")
     gap_b, gap_a = F.col("_t") - F.col("_before.t"), F.col("_after.t") - F.col("_t")
     use_before = gap_b.isNotNull() & (gap_a.isNull() | (gap_b <= gap_a))
@@ -222,7 +221,7 @@ def fill_by_profile(df: DataFrame, profile: DataFrame, by: Sequence[str], value:
 
 
 def pair_lags(
-    events: DataFrame, types: Sequence[str], kind: str, time_us: str, period: Sequence[str], min_lag_steps: int = 2, slice_days=0.25
+    events: DataFrame, types: Sequence[str], kind: str, time_us: str, period: Sequence[str], min_lag_steps: int = 2, slice_days=0.25, origin: Column | None = None,
 ) -> DataFrame:
     """Lags between earlier and later events of a period by type pair (JN-15).
 
@@ -230,15 +229,19 @@ def pair_lags(
     count.  Lags are sums over the earlier events of each type, so running
     counts, sums and squares per type give count, mean and deviation exactly
     without forming the pairs.  ``n``, ``lag_us`` and ``lag2`` (seconds
-    squared) are sums over the pairs an event closes.
+    squared) are sums over the pairs an event closes.  ``origin`` is a time
+    near the start of the period, if one follows from its key.
     """
     from .ordered import running
 
     skip = min_lag_steps - 1
     base = events.select(*period, F.col(kind).alias("_to"), F.col(time_us).alias("_t"))
     # times relative to the period's start keep sums exact and squares small
-    start = base.groupBy(*period).agg(F.min("_t").alias("_t0"))
-    base = salted_join(base, start, period).withColumn("_s", F.col("_t") - F.col("_t0"))
+    if origin is None:
+        start = base.groupBy(*period).agg(F.min("_t").alias("_t0"))
+        base = salted_join(base, start, period).withColumn("_s", F.col("_t") - F.col("_t0"))
+    else:
+        base = base.withColumn("_s", F.col("_t") - origin)
 
     def square(c):
         sec = F.col(c) / F.lit(float(SECOND))

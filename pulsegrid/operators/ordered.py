@@ -84,33 +84,34 @@ def running(
     spread: Column,
     include_current: bool = True,
     descending: bool = False,
+    ahead: dict[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """Running aggregates in ``order`` within ``keys``.
 
     ``ops`` maps a new column to ``(sum|count|min|max, expression)``.  With
-    ``descending`` the order columns and the slices are walked backwards.
+    ``descending`` the order columns and the slices are walked backwards;
+    ``ahead`` adds aggregates walked the other way, over the same shuffle.
     """
-    turn = (lambda c: col(c).desc()) if descending else (lambda c: col(c).asc())
-    names = [f"_v_{n}" for n in ops]
+    walks = [(ops, descending)] + ([(ahead, not descending)] if ahead else [])
+    every = {n: o for some, _ in walks for n, o in some.items()}
     plain = [c for c in df.columns if c != SLICE]
-    base = df.select(*plain, *[e.alias(f"_v_{n}") for n, (_, e) in ops.items()], spread.alias(SLICE))
-    w = (
-        Window.partitionBy(*keys, SLICE)
-        .orderBy(*[turn(c) for c in order])
-        .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    )
-    local = base.select("*", *[_OPS[o](f"_v_{n}").over(w).alias(f"_l_{n}") for n, (o, _) in ops.items()])
-    totals = base.groupBy(*keys, SLICE).agg(*[_OPS[o](f"_v_{n}").alias(f"_c_{n}") for n, (o, _) in ops.items()])
-    across = (
-        Window.partitionBy(*keys).orderBy(turn(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = totals.select(
-        *keys, SLICE, *[_MERGE[o](f"_c_{n}").over(across).alias(f"_c_{n}") for n, (o, _) in ops.items()]
-    )
-    out = local.join(totals, [*keys, SLICE], "left")
-    kept = [c for c in df.columns if c not in ops]
+    base = df.select(*plain, *[e.alias(f"_v_{n}") for n, (_, e) in every.items()], spread.alias(SLICE))
+    totals = base.groupBy(*keys, SLICE).agg(*[_OPS[o](f"_v_{n}").alias(f"_c_{n}") for n, (o, _) in every.items()])
+    local, carried = [], []
+    for some, backwards in walks:
+        turn = (lambda c: col(c).desc()) if backwards else (lambda c: col(c).asc())
+        w = (
+            Window.partitionBy(*keys, SLICE)
+            .orderBy(*[turn(c) for c in order])
+            .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+        )
+        across = Window.partitionBy(*keys).orderBy(turn(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+        local += [_OPS[o](f"_v_{n}").over(w).alias(f"_l_{n}") for n, (o, _) in some.items()]
+        carried += [_MERGE[o](f"_c_{n}").over(across).alias(f"_c_{n}") for n, (o, _) in some.items()]
+    out = base.select("*", *local).join(totals.select(*keys, SLICE, *carried), [*keys, SLICE], "left")
+    kept = [c for c in df.columns if c not in every]
     return out.select(
-        *kept, *[_COMBINE[o](F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, (o, _) in ops.items()]
+        *kept, *[_COMBINE[o](F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, (o, _) in every.items()]
     )
 
 
@@ -279,7 +280,7 @@ def merge_runs(
     return whole.select(*keys, *constant, "start", "end", "n", *m.final())
 
 
-def value_slices(df: DataFrame, by: Sequence[str], value: str, slices: int = 64) -> DataFrame:
+def value_slices(df: DataFrame, by: Sequence[str], value: str, slices: int = 32) -> DataFrame:
     """Number balanced ranges of ``value`` within each group as ``_slice``.
 
     Borders come from a mergeable quantile sketch, so the ranges hold about
@@ -293,8 +294,15 @@ def value_slices(df: DataFrame, by: Sequence[str], value: str, slices: int = 64)
         # a single row of `slices` numbers: its size is fixed
         bounds = df.agg(sketch).withColumn("_one", F.lit(1))
         placed = df.withColumn("_one", F.lit(1)).join(F.broadcast(bounds), "_one", "left").drop("_one")
-    below = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    return placed.withColumn(SLICE, F.coalesce(below, F.lit(0)).cast("bigint")).drop("_bounds")
+
+    def search(low: int, high: int) -> Column:
+        """Number of bounds below the value, by halving."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.get("_bounds", F.lit(mid)) < F.col(value), search(mid + 1, high)).otherwise(search(low, mid))
+
+    return placed.withColumn(SLICE, search(0, slices - 1).cast("bigint")).drop("_bounds")
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str, **more: Column) -> DataFrame:
@@ -303,7 +311,7 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, **more: Column) -
     return rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *[e.alias(k) for k, e in more.items()])
 
 
-def cumulative(df: DataFrame, by: Sequence[str], value: str, ops: dict[str, str], slices: int = 64) -> DataFrame:
+def cumulative(df: DataFrame, by: Sequence[str], value: str, ops: dict[str, str], slices: int = 32) -> DataFrame:
     """Running sums of ``ops`` columns in ``value`` order (values distinct)."""
     sliced = value_slices(df, by, value, slices)
     out = running(sliced, by, [value], {new: ("sum", F.col(old)) for new, old in ops.items()}, F.col(SLICE))
@@ -311,7 +319,7 @@ def cumulative(df: DataFrame, by: Sequence[str], value: str, ops: dict[str, str]
 
 
 def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], slices: int = 64
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], slices: int = 32
 ) -> DataFrame:
     """Exact interpolated quantiles per group without gathering a group.
 

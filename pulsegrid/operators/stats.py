@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.aggregate import safe_corr
@@ -16,7 +17,7 @@ def long_form(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFr
     return rows.unpivot(list(keep), list(cols), "measure", "value").filter(F.col("value").isNotNull())
 
 
-def ks_2samp(df: DataFrame, group: str, a, b, cols: Sequence[str], by: Sequence[str] = (), slices: int = 64) -> DataFrame:
+def ks_2samp(df: DataFrame, group: str, a, b, cols: Sequence[str], by: Sequence[str] = (), slices: int = 32) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and asymptotic p per column (ST-1).
 
     Distinct values are counted per cohort, so rows are combined before the
@@ -88,7 +89,7 @@ def pearson(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), pairs: S
     return out.withColumn("p", F.when(F.col("n") > 2, t_p(t, (F.col("n") - 2).cast("double"))))
 
 
-def average_rank(df: DataFrame, value: str, by: Sequence[str], name: str, slices: int = 64) -> DataFrame:
+def average_rank(df: DataFrame, value: str, by: Sequence[str], name: str, slices: int = 32) -> DataFrame:
     """Rank within the group, ties sharing their mean rank; nulls stay null.
 
     Ranks are worked out on distinct values and joined back.
@@ -129,8 +130,8 @@ def change_test(
     per window, bin and shuffle; shuffle 0 is the true order.
 
     Readings are counted into one vector per participant-day; a window gathers
-    its ``agg + slide`` day vectors once, and every shuffle is worked out on
-    that row, without another exchange.
+    its ``agg + slide`` day vectors once, and all shuffles are worked out on
+    that row as arrays, without another exchange.
     """
     width, k = agg + slide, len(states)
     cells = bins * k
@@ -146,37 +147,49 @@ def change_test(
     lo = F.greatest(F.lit(0).cast("bigint"), F.ceil((F.col("_off") - width + 1) / slide))
     placed = placed.withColumn("window", F.explode(F.sequence(lo, F.floor(F.col("_off") / slide))))
     gathered = placed.groupBy(pid, "window").agg(F.collect_list(F.struct("_d", "_v")).alias("_x")).filter(F.size("_x") == width)
-    drawn = gathered.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(shuffles))))
-
-    def place(x):
-        order = F.when(F.col("shuffle") == 0, x["_d"]).otherwise(F.xxhash64(x["_d"], F.col("shuffle"), F.lit(seed)))
-        return F.struct(order.alias("o"), x["_d"].alias("d"), x["_v"].alias("v"))
-
-    drawn = drawn.select(pid, "window", "shuffle", F.array_sort(F.transform("_x", place)).alias("_s"))
     start = agg if mode == "split" else slide
-    for name, part in (("_a", F.slice("_s", 1, agg)), ("_b", F.slice("_s", start + 1, width - start))):
-        zero = F.array_repeat(F.lit(0.0), cells)
-        drawn = drawn.withColumn(name, F.aggregate(part, zero, lambda acc, x: F.zip_with(acc, x["v"], lambda p, q: p + q)))
-    drawn = drawn.drop("_s")
-
-    def total(xs):
-        return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
 
-    def share(xs):
-        return F.transform(F.array(total(xs)), lambda t: F.transform(xs, lambda x: x / t))[0]
-
-    def neighbour(name, i, step):
-        return F.element_at(name, F.pmod(i + step, F.lit(bins)) + 1)
-
-    for name in ("_a", "_b"):
-        per_bin = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: share(F.transform(F.slice(name, i * k + 1, F.lit(k)), lambda x: x + 1)))
-        drawn = drawn.withColumn(name, per_bin)
+    def draw(batches):
+        for pdf in batches:
+            rows = []
+            for _, row in pdf.iterrows():
+                rows.append(_shuffled_distances(np.asarray(row["_x"]["_d"]), np.stack(row["_x"]["_v"]), agg, start, shuffles, seed, bins, k, smooth))
+            yield pdf[[pid, "window"]].assign(dist=rows)
+
+    gathered = gathered.select(pid, "window", F.struct(F.col("_x._d").alias("_d"), F.col("_x._v").alias("_v")).alias("_x"))
+    kind = gathered.schema[pid].dataType.simpleString()
+    out = gathered.mapInPandas(draw, f"`{pid}` {kind}, window bigint, dist array<array<double>>")
+    out = out.select(pid, "window", F.posexplode("dist").alias("shuffle", "_d"))
+    return out.select(pid, "window", "shuffle", F.posexplode("_d").alias("bin", "distance"))
+
+
+def _mix(z: np.ndarray) -> np.ndarray:
+    """Finalising step of a 64-bit hash, elementwise."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _shuffled_distances(days, vectors, agg, start, shuffles, seed, bins, k, smooth) -> list:
+    """Divergence per bin for the true day order and each hash order."""
+    order = np.argsort(days, kind="stable")
+    days, vectors = days[order].astype(np.uint64), vectors[order]
+    with np.errstate(over="ignore"):
+        base = _mix(days * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        numbers = np.arange(1, shuffles + 1, dtype=np.uint64)
+        keys = _mix(base[None, :] + numbers[:, None] * np.uint64(0xD1B54A32D192ED03))
+    orders = np.vstack([np.arange(len(days))[None, :], np.argsort(keys, axis=1, kind="stable")])
+    first = vectors[orders[:, :agg]].sum(axis=1).reshape(-1, bins, k) + 1
+    second = vectors[orders[:, start:]].sum(axis=1).reshape(-1, bins, k) + 1
+    pdfs = []
+    for counts in (first, second):
+        p = counts / counts.sum(axis=2, keepdims=True)
         if smooth:
-            mixed = F.transform(name, lambda row, i: share(F.zip_with(F.zip_with(row, neighbour(name, i, 1), lambda p, q: p + q), neighbour(name, i, -1), lambda p, q: p + q)))
-            drawn = drawn.withColumn(name, mixed)
-    distance = F.zip_with("_a", "_b", lambda r, q: total(F.zip_with(r, q, lambda x, y: (x - y) * F.log(x / y) / 2)))
-    out = drawn.select(pid, "window", "shuffle", F.posexplode(distance).alias("bin", "distance"))
-    return out
+            p = p + np.roll(p, 1, axis=1) + np.roll(p, -1, axis=1)
+            p = p / p.sum(axis=2, keepdims=True)
+        pdfs.append(p)
+    a, b = pdfs
+    return ((a - b) * np.log(a / b) / 2).sum(axis=2).tolist()
 
 
 def change_score(test: DataFrame, alpha: float = 0.1, pid="participant_id", correct: bool = False) -> DataFrame:
@@ -281,7 +294,7 @@ def discrete_mi(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFr
     return _mi_of_counts(rows.groupBy(*key, a, b).agg(F.count(F.lit(1)).alias("n")), a, b, key, False).drop("_all")
 
 
-def knn_entropy(df: DataFrame, value: str, k: int = 3, by: Sequence[str] = ("participant_id",), slices: int = 64, tie: Sequence[str] = ()) -> DataFrame:
+def knn_entropy(df: DataFrame, value: str, k: int = 3, by: Sequence[str] = ("participant_id",), slices: int = 32, tie: Sequence[str] = ()) -> DataFrame:
     """Nearest-neighbour entropy estimate of one column per group, in nats (ST-15).
 
     In sorted order the ``k`` nearest values are among the ``k`` before and

@@ -189,7 +189,7 @@ def between_sleep_spans(sleep: DataFrame, data: DataFrame, min_gap_hours=10, pid
     return folded.select(pid, F.explode(spans).alias("p")).select(pid, "p.*").filter("end_us > start_us")
 
 
-def percentile_in(ref: DataFrame, query: DataFrame, value: str, by: Sequence[str], slices: int = 64, name="percentile") -> DataFrame:
+def percentile_in(ref: DataFrame, query: DataFrame, value: str, by: Sequence[str], slices: int = 32, name="percentile") -> DataFrame:
     """Share of the reference sample at or below each query value, within ``by`` (WN-10).
 
     Both sides are counted into one value-ordered pass; the order is cut into

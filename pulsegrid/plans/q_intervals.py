@@ -195,7 +195,7 @@ TYPES = ("click", "error", "purchase", "signup", "view")
 
 def lag_pairs(t):
     r = t.readings.withColumn("us", us("ts")).withColumn("day", day_number("ts"))
-    return I.pair_lags(r, TYPES, "state", "us", ["participant_id", "day"])
+    return I.pair_lags(r, TYPES, "state", "us", ["participant_id", "day"], origin=F.col("day") * DAY)
 
 
 PAIRS = """
