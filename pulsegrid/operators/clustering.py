@@ -300,8 +300,9 @@ def cca(df: DataFrame, xs: Sequence[str], ys: Sequence[str], reg: float = 0.0, b
     def solve(batches):
         for pdf in batches:
             rows = []
-            for r in pdf.itertuples(index=False):
-                cov = full_matrix(np.asarray(r.covs, float), p + q)
+            for values in pdf.itertuples(index=False, name=None):
+                r = dict(zip(pdf.columns, values))
+                cov = full_matrix(np.asarray(r["covs"], float), p + q)
                 sd = np.sqrt(np.diag(cov))
                 if not np.all(sd > 0):
                     continue
@@ -315,7 +316,7 @@ def cca(df: DataFrame, xs: Sequence[str], ys: Sequence[str], reg: float = 0.0, b
                 for i in range(min(p, q)):
                     x, y = ra @ u[:, i], rb @ vt[i]
                     sign = 1.0 if x[np.argmax(np.abs(x))] >= 0 else -1.0
-                    rows.append([*(getattr(r, k) for k in key), r.n, i + 1, float(s[i]), list(sign * x), list(sign * y)])
+                    rows.append([*(r[k] for k in key), r["n"], i + 1, float(s[i]), list(sign * x), list(sign * y)])
             yield pd.DataFrame(rows, columns=schema.names)
 
     return stats.mapInPandas(solve, schema).drop("_all")
