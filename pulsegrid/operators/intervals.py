@@ -89,18 +89,18 @@ def interval_proximity(
     """
     nothing = F.lit(None).cast("bigint")
 
-    def marks(df, at, rank, kind, own):
-        cells = ["start_us", "end_us"] if own else [nothing.alias("start_us"), nothing.alias("end_us")]
-        return df.select(pid, F.col(at).alias("t"), F.lit(rank).alias("_o"), F.lit(kind).alias("k"), *cells)
+    def marks(df, name, own):
+        kept = [F.col(c) if own else nothing for c in ("start_us", "end_us")]
+        cells = [
+            F.struct(F.col(f"{side}_us").alias("t"), F.lit(rank).alias("_o"), F.lit(f"{name}_{side}").alias("k"),
+                     kept[0].alias("start_us"), kept[1].alias("end_us"))
+            for rank, side in enumerate(("start", "end"))
+        ]
+        return df.select(pid, F.explode(F.array(*cells)).alias("m")).select(pid, "m.*")
 
     # starts sort before ends at equal times, so only strictly later work
     # starts lie ahead of a sleep end and strictly earlier work ends behind a start
-    union = (
-        marks(sleep, "start_us", 0, "sleep_start", True)
-        .unionByName(marks(sleep, "end_us", 1, "sleep_end", True))
-        .unionByName(marks(work, "start_us", 0, "work_start", False))
-        .unionByName(marks(work, "end_us", 1, "work_end", False))
-    )
+    union = marks(sleep, "sleep", True).unionByName(marks(work, "work", False))
     from .ordered import running
 
     walked = running(

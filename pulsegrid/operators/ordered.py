@@ -31,11 +31,14 @@ def salted_join(
 
     The table is repeated ``salts`` times so a hot key spreads over that many
     tasks; runtime re-planning still turns it into a broadcast when the
-    measured table is small.  The salt only routes rows, the result does not
-    depend on it.
+    measured table is small.  The salt (a hash of the row and its input
+    partition) only routes rows, the result does not depend on it.
     """
-    plain = [f.name for f in facts.schema if f.name not in keys and not isinstance(f.dataType, T.MapType)]
-    route = F.xxhash64(*[F.col(c) for c in plain]) if plain else F.lit(0).cast("bigint")
+    # two columns are enough to spread rows, and leave the others prunable
+    ranked = [T.TimestampNTZType, T.TimestampType, T.LongType, T.DoubleType, T.IntegerType, T.StringType]
+    plain = [f for f in facts.schema if f.name not in keys and type(f.dataType) in ranked]
+    chosen = [f.name for f in sorted(plain, key=lambda f: ranked.index(type(f.dataType)))[:2]]
+    route = F.xxhash64(*chosen) if chosen else F.lit(0).cast("bigint")
     left = facts.withColumn("_salt", F.pmod(route + F.spark_partition_id(), F.lit(salts)))
     right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
