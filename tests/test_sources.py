@@ -30,7 +30,7 @@ def test_parts_and_proximity(spark, tmp_path):
     put(str(tmp_path / "parts/u1/2024-01-01.csv.gz"), "ts,heart_rate\n2024-01-01T00:00:01.000,61\n")
     put(str(tmp_path / "parts/u1/2024-01-02.csv.gz"), "ts,heart_rate\n2024-01-02T00:00:01.000,62\n")
     assert [r.participant_id for r in RD.read_parts(spark, str(tmp_path / "parts"), schemas.WRIST_HR).collect()] == ["u1", "u1"]
-    put(str(tmp_path / "prox/u1_owl.csv.gz"), "ts,receiver,rssi\n2024-01-01T00:00:01.000,a:b,139\n2024-01-01T00:00:02.000,a:b,140\n")
+    put(str(tmp_path / "prox/u1_prox.csv.gz"), "ts,receiver,rssi\n2024-01-01T00:00:01.000,a:b,139\n2024-01-01T00:00:02.000,a:b,140\n")
     assert [r.rssi for r in RD.read_proximity(spark, str(tmp_path / "prox/*")).collect()] == [140]
     put(str(tmp_path / "s/s.csv.gz"), "uid,timestamp,location_mgt\nx,2024-01-01T05:00:00.000,2\n")
     assert RD.read_survey(spark, str(tmp_path / "s")).select(F.hour("ts")).first()[0] == 5
