@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import neardup
+from . import neardup, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,25 @@ hs AS (SELECT doc_id, len(sh) AS n, CASE WHEN len(sh) > 0 THEN md5(array_to_stri
 SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
 FROM hs LEFT JOIN rep USING (h) LEFT JOIN comp ON comp.id = rep.rep
 """.replace(", count(*) AS n FROM s", " FROM s")
+
+
+@query
+def op6_automaton_repeats(spark, folder):
+    cut = repeats.remove_repeats(documents(spark, folder).select("doc_id", "text"), words=13, rejoin=True)
+    return cut.select(
+        "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"),
+        F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+ORACLES["op6_automaton_repeats"] = rf"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 12], ' ')) AS h FROM g),
+f AS (SELECT h, min(doc_id) AS low FROM k GROUP BY 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM k JOIN f USING (h) WHERE low < doc_id),
+p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM p ANTI JOIN c USING (doc_id, p) GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
