@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import neardup, repeats, resample
+from . import linetemplates, neardup, packing, repeats, resample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,17 @@ FROM w LEFT JOIN kept USING (doc_id)
 def op10_importance_resampling(spark, folder):
     drawn = resample.quality_sample(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
     return drawn.withColumnRenamed("id", "doc_id").drop("rid")
+
+
+@query
+def op5_line_templates(spark, folder):
+    cut = linetemplates.drop_recurring_lines(documents(spark, folder).select("doc_id", "text"))
+    return cut.select(
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
+        F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+@query
+def op2_mixture_packing(spark, folder):
+    return packing.pack(documents(spark, folder)).withColumnsRenamed({"id": "doc_id", "queue": "source"})

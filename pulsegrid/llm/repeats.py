@@ -58,7 +58,7 @@ def _segments(least: int):
             (buf, s, e, hashes, owner), start, place, anchor = _anchored(texts, least)
             marks = batch.column("marks")
             sizes = np.diff(marks.offsets.to_numpy())
-            values = marks.values.to_numpy(zero_copy_only=False)[marks.offsets[0].as_py() :]
+            values = marks.flatten().to_numpy()
             pair = lambda a, o: mix(a.astype(np.uint64) ^ mix(o.astype(np.uint64)))
             held = pair(values >> 1, np.repeat(np.arange(len(sizes)), sizes))
             order = np.argsort(held)
