@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import linetemplates, neardup, packing, repeats, resample
+from . import digest, linetemplates, neardup, packing, repeats, resample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,8 @@ def op5_line_templates(spark, folder):
 @query
 def op2_mixture_packing(spark, folder):
     return packing.pack(documents(spark, folder)).withColumnsRenamed({"id": "doc_id", "queue": "source"})
+
+
+@query
+def op1_quartile_digest(spark, folder):
+    return digest.compare_edits(documents(spark, folder)).withColumnRenamed("id", "doc_id")
