@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, linetemplates, neardup, packing, repeats, resample
+from . import digest, linetemplates, media, neardup, packing, repeats, resample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,8 @@ def op2_mixture_packing(spark, folder):
 @query
 def op1_quartile_digest(spark, folder):
     return digest.compare_edits(documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op8_media_sequences(spark, folder):
+    return media.text_media(documents(spark, folder)).withColumnRenamed("id", "doc_id")
