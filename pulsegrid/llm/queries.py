@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, linetemplates, media, neardup, packing, repeats, resample
+from . import digest, linetemplates, media, neardup, packing, repeats, resample, wordtable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,12 @@ def op1_quartile_digest(spark, folder):
 @query
 def op8_media_sequences(spark, folder):
     return media.text_media(documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_word_table_bpe(spark, folder):
+    coded = wordtable.encode(documents(spark, folder))
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
