@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, linetemplates, media, neardup, packing, repeats, resample, wordtable
+from . import digest, linetemplates, media, neardup, packing, ppm, repeats, resample, wordtable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,8 @@ def op7_word_table_bpe(spark, folder):
     return coded.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op4_partial_matching(spark, folder):
+    return ppm.score(documents(spark, folder), ppm.held_out()).withColumnRenamed("id", "doc_id")
