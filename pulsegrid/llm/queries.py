@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, linetemplates, media, neardup, packing, ppm, repeats, resample, wordtable
+from . import digest, licenses, linetemplates, media, neardup, packing, ppm, repeats, resample, wordtable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,8 @@ def op7_word_table_bpe(spark, folder):
 @query
 def op4_partial_matching(spark, folder):
     return ppm.score(documents(spark, folder), ppm.held_out()).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op3_license_scan(spark, folder):
+    return licenses.scan(documents(spark, folder)).withColumnRenamed("id", "doc_id")
