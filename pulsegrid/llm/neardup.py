@@ -11,6 +11,8 @@ from .textbytes import SLICE_BYTES, grams, mix, raw, slices, words_of
 
 _BITS = np.uint64(51)
 _LOW = np.uint64((1 << 51) - 1)
+#: Leaders of a bucket in the second round and from then on at most; members that meet them in one part.
+FIRST_LEADERS, MOST_LEADERS, SLICE_MEMBERS = 64, 4096, 2048
 SIGNED = "id long, n long, h1 long, h2 long, bands array<long>, sig binary"
 
 
@@ -38,11 +40,14 @@ def signatures(sets: np.ndarray, starts: np.ndarray, permutations: int) -> np.nd
     """Minimum and maximum of each set under each permutation; one row per non-empty set."""
     full = starts[:-1][np.diff(starts) > 0]
     draw = np.random.default_rng(20240501)
-    out = np.empty((len(full), 2 * permutations), np.uint64)
-    spread = mix(sets)
-    for i, (a, b) in enumerate(draw.integers(1, 1 << 62, (permutations, 2), dtype=np.uint64)):
-        x = (spread ^ b) * (a * np.uint64(2) + np.uint64(1))
-        x ^= x >> np.uint64(29)
+    out = np.empty((len(full), 2 * permutations), np.uint32)
+    spread = (mix(sets) >> np.uint64(32)).astype(np.uint32)
+    x, y = np.empty_like(spread), np.empty_like(spread)
+    for i, (a, b) in enumerate(draw.integers(0, 1 << 32, (permutations, 2), dtype=np.uint32)):
+        np.bitwise_xor(spread, b, out=x)
+        x *= a | np.uint32(1)
+        np.right_shift(x, np.uint32(15), out=y)
+        x ^= y
         out[:, 2 * i] = np.minimum.reduceat(x, full)
         out[:, 2 * i + 1] = np.maximum.reduceat(x, full)
     return out
@@ -60,10 +65,11 @@ def _sign(size: int, permutations: int, rows: int):
                 at = starts[:-1][full]
                 h1[full] = np.add.reduceat(mix(sets + np.uint64(1)), at).view(np.int64)
                 h2[full] = np.add.reduceat(mix(sets * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7)), at).view(np.int64)
-                sig = signatures(sets, starts, permutations)
-                band = np.zeros((len(at), 2 * permutations // rows), np.uint64)
+                sig = signatures(sets, starts, permutations).astype(np.uint64)
+                count = 2 * permutations // rows
+                band = np.zeros((len(at), count), np.uint64)
                 for j in range(rows):
-                    band = mix(band + sig[:, j::rows])
+                    band = mix(band + sig[:, j * count : (j + 1) * count])
                 band = mix(band + np.arange(band.shape[1], dtype=np.uint64)).view(np.int64)
                 small = (mix(sig) & np.uint64(255)).astype(np.uint8)
                 for k, i in enumerate(np.flatnonzero(full).tolist()):
@@ -89,6 +95,46 @@ def _likely(least: float):
     return run
 
 
+def _likely_inside(least: float, percent: int):
+    """Likely pairs of a leader and a member in parts of buckets; only these pairs leave the task, each from the first band that the two share.
+
+    Rows come sorted by ``band, slice``; a part has the leaders of its bucket (``lead``) and a bounded slice of its members.
+    """
+
+    def run(batches):
+        key, rows = None, []
+
+        def flush():
+            ids, n, comp, rank = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+            lead = np.array([r[4] for r in rows], bool)
+            sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
+            bands = np.array([r[6] for r in rows], np.int64)
+            least_equal, member = least * sig.shape[1], np.flatnonzero(~lead)
+            a, b = [], []
+            for i in np.flatnonzero(lead).tolist():
+                fit = member[(comp[member] != comp[i]) & (rank[member] > rank[i])]
+                fit = fit[100 * np.minimum(n[fit], n[i]) >= percent * np.maximum(n[fit], n[i])]
+                if len(fit):
+                    fit = fit[(sig[fit] == sig[i]).sum(1) >= least_equal]
+                    fit = fit[bands[i][(bands[fit] == bands[i]).argmax(1)] == key[0]] if len(fit) else fit
+                    a.append(np.full(len(fit), ids[i]))
+                    b.append(ids[fit])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (a, b)], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("band", "slice", "id", "n", "comp", "rank", "lead", "sig", "bands")]
+            for band, part, *row in zip(*columns):
+                if (band, part) != key:
+                    if rows:
+                        yield flush()
+                    key, rows = (band, part), []
+                rows.append(row)
+        if rows:
+            yield flush()
+
+    return run
+
+
 def _confirm(size: int, percent: int):
     """Pairs with ``100 * |A & B| >= percent * |A | B|`` on the full sets."""
 
@@ -130,7 +176,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
-    permutations: int = 64, rows: int = 4, least: float = 0.6,
+    permutations: int = 128, rows: int = 6, least: float = 0.67,
 ) -> DataFrame:
     """One row per document: ``id, n_shingles, component_id, kept``.
 
@@ -139,16 +185,18 @@ def near_duplicates(
     everything linked directly or through others.
 
     Min-max hashing keeps the minimum and the maximum under each of
-    ``permutations`` permutations, so 64 hash evaluations give 128 signature
-    places in 32 bands of ``rows``.  A pair at 0.8 misses all bands with
-    probability 5e-8.  Signatures below ``least`` agreement (5 standard
-    deviations under 0.8) are not read further; all others are confirmed on full sets.
+    ``permutations`` permutations, so 128 hash evaluations give 256 signature
+    places in 42 bands of ``rows``.  A pair at 0.8 misses all bands with
+    probability 3e-6, a pair at 0.3 meets with 0.03.  Pairs whose set sizes rule a link out, and
+    signatures below ``least`` agreement (5 standard deviations under 0.8), are
+    not read further; all others are confirmed on full sets.
 
     Equal sets are merged before banding, so any number of copies is one entry.  In a
     bucket every entry is compared with the smallest one first; members that
-    ended in one component need no more comparison, and only in buckets
-    that still hold several components the next 4, 16, ... smallest are compared with
-    the rest.  This ends when no pair from different components is untried: no cap, no pair list of a whole group.
+    ended in one component need no more comparison.  Only in buckets that still hold several
+    components the next 64, 1024, 4096, 4096, ... smallest are compared with the rest, by
+    signature inside bounded parts of the bucket, so that only likely pairs are written.  This ends
+    when no pair from different components is untried: no cap, no pair list of a whole group.
 
     Null or wordless texts have ``n_shingles`` 0, are linked with nothing and kept.  A row
     with null id is kept, with null component.  Repeated rows get equal results.  Only
@@ -157,42 +205,53 @@ def near_duplicates(
     src = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     signed = written(src.mapInArrow(_sign(words, permutations, rows), SIGNED))
     groups = signed.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    reps = written(signed.join(groups.withColumnRenamed("rep", "id"), ["h1", "h2", "id"], "left_semi").select("id", "bands", "sig"))
-    banded = reps.select(F.explode("bands").alias("band"), "id")
+    reps = written(signed.join(groups.withColumnRenamed("rep", "id"), ["h1", "h2", "id"], "left_semi").select("id", "n", "bands", "sig"))
+    banded = reps.select(F.explode("bands").alias("band"), "id", "n")
     shared = banded.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").drop("last")
     members = written(banded.join(shared, "band"))
+    fits = f"100 * least(n, na) >= {percent} * greatest(n, na)"
     linked = None
     if not members.isEmpty():
         wanted = members.select("id").distinct()
         texts = written(src.join(wanted, "id", "left_semi"))
-        sigs = reps.join(wanted, "id", "left_semi").select("id", "sig")
+        signs = reps.join(wanted, "id", "left_semi").select("id", "sig", "bands")
+        sigs = signs.select("id", "sig")
+
+        side = lambda t, c, to: t.select(F.col("id").alias(to), F.col(t.columns[1]).alias(c))
 
-        def confirmed(pairs: DataFrame) -> DataFrame:
-            side = lambda t, c, to: t.select(F.col("id").alias(to), F.col(t.columns[1]).alias(c))
-            likely = pairs.join(side(sigs, "sb", "b"), "b").join(side(sigs, "sa", "a"), "a").mapInArrow(_likely(least), "a long, b long")
+        def confirmed(likely: DataFrame) -> DataFrame:
             full = likely.join(side(texts, "tb", "b"), "b").join(side(texts, "ta", "a"), "a")
             return full.mapInArrow(_confirm(words, percent), "a long, b long")
 
-        tried = written(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+        size = reps.select(F.col("id").alias("lead"), F.col("n").alias("na")).distinct()
+        leads = members.where("id != lead").select("lead", "id", "n").distinct()
+        pairs = leads.join(size, "lead").where(fits).select(F.col("lead").alias("a"), F.col("id").alias("b"))
+        pairs = pairs.join(side(sigs, "sb", "b"), "b").join(side(sigs, "sa", "a"), "a").mapInArrow(_likely(least), "a long, b long")
+        tried = written(pairs.distinct())
         links = written(confirmed(tried))
         linked = components(links)
-        rest, leaders = members.where("id != lead").drop("lead"), 4
+        rest, leaders = members.where("id != lead").drop("lead"), FIRST_LEADERS
         while True:
-            now = rest.join(linked, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
+            now = rest.join(linked, "id", "left").select("band", "id", "n", F.coalesce("comp", "id").alias("comp"))
             mixed = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
             now = now.join(mixed, "band", "left_semi")
-            rest = written(now.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("id"))))
+            bucket = Window.partitionBy("band")
+            rest = written(now.withColumn("rank", F.row_number().over(bucket.orderBy("id"))).withColumn("last", F.count("*").over(bucket)))
             if rest.isEmpty():
                 break
-            first = rest.where(F.col("rank") <= leaders).select("band", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-            pairs = rest.join(first, "band").where("rank > ra and comp != ca").select("a", F.col("id").alias("b")).distinct()
+            slice_of = lambda c: F.floor((F.col(c) - 1) / SLICE_MEMBERS)
+            spots = F.array(F.struct(slice_of("rank").alias("slice"), F.lit(False).alias("lead")))
+            leads = F.transform(F.sequence(F.lit(0), slice_of("last")), lambda x: F.struct(x.alias("slice"), F.lit(True).alias("lead")))
+            parts = rest.join(signs, "id").withColumn("spot", F.explode(F.when(F.col("rank") <= leaders, F.concat(spots, leads)).otherwise(spots)))
+            parts = parts.select("band", "spot.slice", "id", "n", "comp", "rank", "spot.lead", "sig", "bands").repartition("band", "slice").sortWithinPartitions("band", "slice")
+            pairs = parts.mapInArrow(_likely_inside(least, percent), "a long, b long").distinct()
             pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
             more = written(confirmed(pairs))
             if not more.isEmpty():
                 links = links.unionByName(more)
                 linked = components(links)
             tried = tried.unionByName(pairs)
-            rest, leaders = rest.where(F.col("rank") > leaders).select("band", "id"), leaders * 4
+            rest, leaders = rest.where(F.col("rank") > leaders).select("band", "id", "n"), min(16 * leaders, MOST_LEADERS)
     if linked is not None:
         groups = groups.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"))
     else:
