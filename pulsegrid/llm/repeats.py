@@ -211,11 +211,12 @@ def remove_repeats(
     anchors = plain.mapInArrow(_anchors(words), "anchor long, id long")
     shared = written(
         anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
-        .where("low < high").select("anchor", (F.col("n") > hot).cast("long").alias("hot"))
+        .where("low < high").select("anchor", (F.col("n") > hot).cast("long").alias("hot")),
+        release=True,
     )
     marks = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_list(F.col("anchor") * 2 + F.col("hot")).alias("marks"))
     runs = written(src.join(marks, "id").select("id", "rid", "text", "marks").mapInArrow(
-        _segments(words), "anchor long, content long, words binary, id long, rid long, start long, windows long"))
+        _segments(words), "anchor long, content long, words binary, id long, rid long, start long, windows long"), release=True)
     distinct = runs.groupBy("anchor", "content").agg(F.min("id").alias("low"), F.max("windows").alias("windows"), F.first("words").alias("words"))
     shards = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "content", "words", "low", "windows")
     owners = shards.mapInArrow(_first_owners(words), "anchor long, content long, owners array<long>")

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from pulsegrid.session import cut_lineage
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, release: bool = False) -> DataFrame:
     """Write ``df`` as Parquet below the checkpoint folder and read it back: lineage ends, columns can be pruned.
 
-    All executors share that folder, so the table outlives each of them.
+    All executors share that folder, so the table outlives each of them.  The shuffle files behind it are no longer
+    needed then; Spark deletes them when the driver's garbage is collected, which ``release`` asks for after large ones.
     """
     spark = df.sparkSession
     context = spark.sparkContext._jsc.sc()
@@ -20,6 +21,8 @@ def written(df: DataFrame) -> DataFrame:
         cut_lineage(spark.range(1))  # picks the folder as cut_lineage does
     path = f"{context.getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
