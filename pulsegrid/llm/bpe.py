@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
 from .textbytes import chunk_starts, distinct_spans, joined
 
-#: Chunks remembered by a worker before it starts over.
-CACHED_CHUNKS = 300_000
+#: Chunks that a worker remembers, twice over: when so many are new, those not met since go.
+CACHED_CHUNKS = 250_000
 _loaded: dict[str, tuple] = {}
 
 
@@ -28,20 +29,26 @@ def load(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _loaded[path] = tokenizer, {}
+        _loaded[path] = tokenizer, [{}, {}]
     return _loaded[path]
 
 
 def encode_chunks(path: str, chunks: list[bytes]) -> list[bytes]:
     """Ids of each chunk as little-endian unsigned 32-bit integers."""
-    tokenizer, known = load(path)
-    fresh = [c for c in chunks if c not in known]
-    if len(known) + len(fresh) > CACHED_CHUNKS:
-        known.clear()
-        fresh = chunks
+    tokenizer, cache = load(path)
+    if len(cache[0]) > CACHED_CHUNKS:
+        cache[:] = {}, cache[0]
+    recent, older = cache
+    fresh = []
+    for c in chunks:
+        if c not in recent:
+            if (ids := older.get(c)) is None:
+                fresh.append(c)
+            else:
+                recent[c] = ids
     for c, ids in zip(fresh, tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)):
-        known[c] = np.array(ids.ids, "<u4").tobytes()
-    return [known[c] for c in chunks]
+        recent[c] = array("I", ids.ids).tobytes()
+    return [recent[c] for c in chunks]
 
 
 def text_chunks(texts: list[bytes]):

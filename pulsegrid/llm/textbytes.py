@@ -12,12 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 8192
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP[list(b".,;:!?")] = True
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
@@ -117,7 +120,7 @@ def grams(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def chunk_starts(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where chunks start: at each text and at each blank before a byte that surely is no white space.
+    """Where chunks start: at each text, at each blank before a byte that surely is no white space, and between a letter and a stop.
 
     A byte-level pre-tokenizer always breaks there, so the pieces of a text are
     the pieces of its chunks one after another.
@@ -126,6 +129,7 @@ def chunk_starts(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
     sure = ((nxt > 0x20) & (nxt < 0x7F)) | ((nxt > 0xC2) & (nxt < 0xE0)) | ((nxt > 0xE3) & (nxt < 0xF5))
     cut = np.zeros(len(buf) + 1, bool)
     cut[:-2] = (buf[:-1] == 0x20) & sure
+    cut[1:-1] |= _LETTER[buf[:-1]] & _STOP[nxt]
     cut[starts] = True
     return np.flatnonzero(cut[:-1]) if len(buf) else np.empty(0, np.int64)
 
