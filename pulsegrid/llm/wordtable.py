@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ def _sliced(texts: list[bytes]):
 
 
 def _block_words(texts: list[bytes]):
-    """Distinct words of a block in order of their hash, and per slice ``(first text, texts, word of each place, text of each place)``."""
+    """Distinct words of a block in byte order with their hashes, and per slice ``(first text, texts, word of each place, text of each place)``."""
     known: dict[bytes, int] = {}
     parts = []
     for at, some in _sliced(texts):
@@ -74,12 +75,25 @@ def _block_words(texts: list[bytes]):
     words = list(known)
     if not words:
         return [], np.empty(0, np.uint64), parts
-    buf, starts = joined(words)
-    h = span_hashes(buf, starts[:-1], starts[1:] - 1)
-    order = np.array(sorted(range(len(words)), key=lambda i: (hash_list[i], words[i])) if len(set(hash_list := h.tolist())) < len(words) else np.argsort(h))
+    order = pc.sort_indices(pa.array(words, pa.binary())).to_numpy().astype(np.int64)
     place = np.empty(len(words), np.int64)
     place[order] = np.arange(len(words))
-    return [words[i] for i in order.tolist()], h[order], [(a, n, place[w], o) for a, n, w, o in parts]
+    words = [words[i] for i in order.tolist()]
+    buf, starts = joined(words)
+    return words, span_hashes(buf, starts[:-1], starts[1:] - 1), [(a, n, place[w], o) for a, n, w, o in parts]
+
+
+def _packed(words: list[bytes]) -> bytes:
+    """Sorted words in one compressed string: their number, their lengths, then all bytes."""
+    sizes = np.array([len(words), *map(len, words)], "<u4")
+    return zlib.compress(sizes.tobytes() + b"".join(words), 1)
+
+
+def _unpacked(data: bytes) -> list[bytes]:
+    data = zlib.decompress(data)
+    many = int.from_bytes(data[:4], "little")
+    ends = (np.cumsum(np.frombuffer(data, "<u4", many, 4)) + 4 * (many + 1)).tolist()
+    return [data[a:b] for a, b in zip([4 * (many + 1), *ends], ends)]
 
 
 def _distinct(buckets: int):
@@ -88,11 +102,12 @@ def _distinct(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         words, h, _ = _block_words(raw(table.column("text").combine_chunks()))
         bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket, kind="stable").tolist()
         found, many = np.unique(bucket, return_counts=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array([words[i] for i in order.tolist()], pa.binary()))
+        ends = np.cumsum(many).tolist()
+        packed = [_packed([words[i] for i in order[a:b]]) for a, b in zip([0, *ends], ends)]
         block = table.column("block")[0].as_py()
-        return pa.table({"block": pa.array(np.full(len(found), block)), "bucket": pa.array(found), "words": lists})
+        return pa.table({"block": pa.array(np.full(len(found), block)), "bucket": pa.array(found), "words": pa.array(packed, pa.binary())})
 
     return run
 
@@ -101,17 +116,13 @@ def _encode_bucket(path: str):
     """Encode each distinct word of a bucket once; answer every block with the ids of its words in their order."""
 
     def run(table: pa.Table) -> pa.Table:
-        lists = table.column("words").combine_chunks()
-        coded = lists.flatten().dictionary_encode()
-        ids = encode_chunks(path, coded.dictionary.to_pylist())
-        which, sizes = coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
+        lists = [_unpacked(x) for x in table.column("words").to_pylist()]
+        index: dict[bytes, int] = {}
+        which = [[index.setdefault(w, len(index)) for w in words] for words in lists]
+        ids = encode_chunks(path, list(index))
         length = np.array([len(x) // 4 for x in ids], "<u4")
-        ends = np.cumsum(sizes)
-        packed, counts = [], []
-        for a, b in zip((ends - sizes).tolist(), ends.tolist()):
-            mine = which[a:b].tolist()
-            packed.append(b"".join([ids[i] for i in mine]))
-            counts.append(length[which[a:b]].tobytes())
+        packed = [zlib.compress(b"".join([ids[i] for i in mine]), 1) for mine in which]
+        counts = [zlib.compress(length[mine].tobytes(), 1) for mine in which]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "ids": pa.array(packed, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     return run
@@ -133,8 +144,8 @@ def _join_back(pieces: list[bytes], buckets: int):
         texts = raw(docs.column("text").combine_chunks())
         words, h, parts = _block_words(texts)
         answered = answers.sort_by("bucket")
-        ids = np.frombuffer(b"".join(answered.column("ids").to_pylist()), "<u4").astype(np.int64)
-        counts = np.frombuffer(b"".join(answered.column("counts").to_pylist()), "<u4").astype(np.int64)
+        ids = np.frombuffer(b"".join(map(zlib.decompress, answered.column("ids").to_pylist())), "<u4").astype(np.int64)
+        counts = np.frombuffer(b"".join(map(zlib.decompress, answered.column("counts").to_pylist())), "<u4").astype(np.int64)
         order = np.argsort((mix(h) % np.uint64(buckets)).astype(np.int64), kind="stable")
         begin, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         begin[order], size[order] = np.cumsum(counts) - counts, counts
@@ -171,6 +182,6 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     many = blocks(docs, text, block_bytes)
     spot = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-1)), F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit("")))), F.lit(many))
     placed = docs.select(spot.cast("long").alias("block"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    words = placed.groupBy("block").applyInArrow(_distinct(many), "block long, bucket long, words array<binary>")
+    words = placed.groupBy("block").applyInArrow(_distinct(many), "block long, bucket long, words binary")
     answers = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, bucket long, ids binary, counts binary")
     return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join_back(pieces_of(path), many), "id long, ids array<int>, decoded string")
