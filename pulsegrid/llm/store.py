@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
@@ -22,6 +23,7 @@ def written(df: DataFrame, release: bool = False) -> DataFrame:
     path = f"{context.getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if release:
+        gc.collect()  # handles on this side keep plans alive on the other
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
