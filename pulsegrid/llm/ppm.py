@@ -228,7 +228,7 @@ def byte_model(grams: DataFrame, order: int) -> DataFrame:
     return out
 
 
-def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text", order: int = 5, block_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text", order: int = 5, block_bytes: int = 6 << 20) -> DataFrame:
     """``id, held_out, n_tokens, n_known, n_bytes, train_tokens, base_score, score`` of every row.
 
     Both models learn from the rows where ``held`` is false and score all rows.  Tokens are A-Z lowered words and one end.
