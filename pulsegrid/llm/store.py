@@ -22,10 +22,13 @@ def written(df: DataFrame, release: bool = False) -> DataFrame:
         cut_lineage(spark.range(1))  # picks the folder as cut_lineage does
     path = f"{context.getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
     if release:
         gc.collect()  # handles on this side keep plans alive on the other
+        spark.range(1).count()  # and so does the last query run
+        context.listenerBus().waitUntilEmpty()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return table
 
 
 def row_key(text: str = "text"):
