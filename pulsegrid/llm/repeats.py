@@ -221,10 +221,11 @@ def remove_repeats(
     shards = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "content", "words", "low", "windows")
     owners = shards.mapInArrow(_first_owners(words), "anchor long, content long, owners array<long>")
     bits = F.expr("aggregate(transform(owners, (x, i) -> if(x < id, shiftleft(1L, i), 0L)), 0L, (a, x) -> a + x)")
-    codes = (
+    codes = written(
         runs.select("anchor", "content", "id", "rid", "start").join(owners, ["anchor", "content"])
         .select("id", "rid", "start", bits.alias("bits")).where("bits > 0")
-        .groupBy("id").agg(F.collect_list("rid").alias("rids"), F.collect_list(F.col("start") * (1 << _BITS) + F.col("bits")).alias("codes"))
+        .groupBy("id").agg(F.collect_list("rid").alias("rids"), F.collect_list(F.col("start") * (1 << _BITS) + F.col("bits")).alias("codes")),
+        release=True,
     )
     kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     cut = src.join(codes, "id", "left").select("rid", "text", "rest", "rids", "codes").mapInArrow(
