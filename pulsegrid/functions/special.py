@@ -63,16 +63,18 @@ def f_upper(f, d1, d2):
     return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
-def chi2_upper(x, k):
-    """Upper tail of chi-square, by series below and continued fraction above the mean."""
-    x, k = np.broadcast_arrays(np.asarray(x, float), np.asarray(k, float))
-    a, z = k / 2, x / 2
-    out = np.full(a.shape, np.nan)
+def gamma_tails(a, z):
+    """Lower and upper regularised incomplete gamma functions, by series below and continued fraction above the mean.
+
+    Each tail is right to its own last digits, however small.
+    """
+    a, z = np.broadcast_arrays(np.asarray(a, float), np.asarray(z, float))
+    low, out = np.full(a.shape, np.nan), np.full(a.shape, np.nan)
     for i in np.ndindex(a.shape):
         if not (np.isfinite(a[i]) and np.isfinite(z[i])) or a[i] <= 0:
             continue
         if z[i] <= 0:
-            out[i] = 1.0
+            low[i], out[i] = 0.0, 1.0
             continue
         lead = math.exp(-z[i] + a[i] * math.log(z[i]) - math.lgamma(a[i]))
         if z[i] < a[i] + 1:
@@ -82,7 +84,7 @@ def chi2_upper(x, k):
                 n += 1
                 term *= z[i] / n
                 total += term
-            out[i] = 1.0 - total * lead
+            low[i], out[i] = total * lead, 1.0 - total * lead
         else:
             b, c = z[i] + 1 - a[i], 1e300
             d = 1 / b
@@ -95,8 +97,19 @@ def chi2_upper(x, k):
                 h *= d * c
                 if abs(d * c - 1) < 1e-15:
                     break
-            out[i] = h * lead
-    return out
+            low[i], out[i] = 1.0 - h * lead, h * lead
+    return low, out
+
+
+def chi2_upper(x, k):
+    """Upper tail of chi-square."""
+    return gamma_tails(np.asarray(k, float) / 2, np.asarray(x, float) / 2)[1]
+
+
+def poisson_upper(n, lam):
+    """Probability of ``n`` or more events at mean ``lam``."""
+    n = np.asarray(n, float)
+    return np.where(n <= 0, 1.0, gamma_tails(np.maximum(n, 1e-300), lam)[0])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -116,6 +129,12 @@ def chi2_p(x: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series(chi2_upper(x, k))
 
 
+@F.pandas_udf(T.DoubleType())
+def poisson_p(n: pd.Series, lam: pd.Series) -> pd.Series:
+    """Probability of ``n`` or more events at mean ``lam``."""
+    return pd.Series(poisson_upper(n, lam))
+
+
 @F.pandas_udf(T.DoubleType())
 def digamma(x: pd.Series) -> pd.Series:
     """Derivative of log gamma for positive arguments."""

@@ -63,46 +63,54 @@ def seed_centres(rows: DataFrame, cols: Sequence[str], k: int, by: Sequence[str]
     return packed.select(*by, F.col("_x._c").alias("_centres"))
 
 
-def kmeans_by(df: DataFrame, cols: Sequence[str], k: int, by: Sequence[str] = (PID,), rounds: int = 10, tol: float = 1e-9) -> DataFrame:
+def kmeans_by(df: DataFrame, cols: Sequence[str], k: int, by: Sequence[str] = (PID,), rounds: int = 1000, tol: float = 1e-9) -> DataFrame:
     """k-means fitted per group, all groups in the same jobs (ML-1).
 
-    Rows keep their columns and gain ``cluster`` and ``distance2``.
+    Rows keep their columns and gain ``cluster`` and ``distance2``.  Rounds go on until
+    no centre moves by more than ``tol``; RuntimeError if some still do after ``rounds``.
     """
-    rows = cut_lineage(df.dropna(subset=list(cols)))  # read by every round
-    centres = cut_lineage(seed_centres(rows, cols, k, by))
+    rows = cut_lineage(df.dropna(subset=list(cols)))  # read once more at the end
+    lean = cut_lineage(rows.select(*by, *cols))  # read by every round
+    centres = cut_lineage(seed_centres(lean, cols, k, by))
     for _ in range(rounds):
-        new = cut_lineage(_means(_assign(rows, centres, cols, by), centres, cols, by))
+        new = cut_lineage(_means(_assign(lean, centres, cols, by), centres, cols, by))
         moved = new.alias("n").join(centres.alias("o"), list(by)).select(F.col("n._centres").alias("a"), F.col("o._centres").alias("b"))
         gap = F.aggregate(F.zip_with(F.flatten("a"), F.flatten("b"), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda acc, v: acc + v)
         farthest = moved.agg(F.max(gap)).first()[0]  # one number
         centres = new
         if farthest is None or farthest <= tol:
-            break
-    return _assign(rows, centres, cols, by)
+            return _assign(rows, centres, cols, by)
+    raise RuntimeError(f"centres still move after {rounds} rounds")
 
 
-def dp_means(df: DataFrame, cols: Sequence[str], lam: float, by: Sequence[str] = (PID,), rounds: int = 20) -> DataFrame:
+def dp_means(df: DataFrame, cols: Sequence[str], lam: float, by: Sequence[str] = (PID,), rounds: int = 1000, tol: float = 1e-9) -> DataFrame:
     """Clusters grown while some row is farther than ``lam`` (squared) from all centres (ML-3).
 
-    Each round adds the farthest row of every group that still has one, then
-    moves the centres to their means.
+    By turns, one round adds the farthest row of every group that still has one, the other moves all
+    centres to their means; a round is one aggregate of the assigned rows.  It ends when no row is beyond ``lam``
+    and no centre moves by more than ``tol``; RuntimeError if that takes more than ``rounds``.
     """
-    rows = cut_lineage(df.dropna(subset=list(cols)))  # read by every round
-    centres = cut_lineage(rows.groupBy(*by).agg(F.array(F.array(*[F.avg(c) for c in cols])).alias("_centres")))
-    for _ in range(rounds):
-        assigned = _assign(rows, centres, cols, by)
-        far = assigned.groupBy(*by).agg(F.max(F.struct("distance2", _as_row(cols).alias("c"))).alias("_f")).filter(F.col("_f.distance2") > lam)
-        grown = centres.join(far, list(by), "left").select(
-            *by, F.when(F.col("_f").isNotNull(), F.array_append("_centres", F.col("_f.c"))).otherwise(F.col("_centres")).alias("_centres"),
-            F.col("_f").isNotNull().alias("_new"),
-        )
-        grown = cut_lineage(grown)
-        done = grown.filter("_new").isEmpty()
-        base = grown.drop("_new")
-        centres = cut_lineage(_means(_assign(rows, base, cols, by), base, cols, by))
-        if done:
-            break
-    return _assign(rows, centres, cols, by)
+    rows = cut_lineage(df.dropna(subset=list(cols)))
+    lean = cut_lineage(rows.select(*by, *cols))  # read by every round
+    centres = cut_lineage(lean.groupBy(*by).agg(F.array(F.array(*[F.avg(c) for c in cols])).alias("_centres")))
+    shift = F.aggregate(F.zip_with(F.flatten("_was"), F.flatten("_means"), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: F.greatest(a, x))
+    for turn in range(rounds):
+        mean = F.array(*[F.avg(c) for c in cols])
+        farthest = F.max(F.struct("distance2", _as_row(cols).alias("c")))
+        parts = _assign(lean, centres, cols, by).groupBy(*by, "cluster").agg(mean.alias("_m"), farthest.alias("_f"))
+        # one row per centre; a centre that lost all its rows goes
+        moved = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cluster", "_m"))).alias("_x"), F.max("_f").alias("_f"))
+        both = moved.join(centres.withColumnRenamed("_centres", "_was"), list(by)) if by else moved.withColumn("_one", F.lit(1)).join(
+            centres.select(F.lit(1).alias("_one"), F.col("_centres").alias("_was")), "_one").drop("_one")
+        means = both.withColumn("_means", F.col("_x._m")).withColumn("_far", (F.col("_f.distance2") > lam) & F.lit(turn % 2 == 0))
+        settled = F.lit(turn % 2 == 0) & (~F.col("_far")) & (F.size("_means") == F.size("_was")) & (shift <= tol)
+        grown = F.when(F.col("_far"), F.array_append("_was", F.col("_f.c"))).otherwise(F.col("_means"))
+        state = cut_lineage(means.select(*by, grown.alias("_centres"), settled.alias("_done")))
+        open_groups = not state.filter(~F.coalesce("_done", F.lit(False))).isEmpty()
+        if not open_groups:
+            return _assign(rows, centres, cols, by)
+        centres = state.drop("_done")
+    raise RuntimeError(f"rows beyond the distance or moving centres after {rounds} rounds")
 
 
 def dp_lambda(df: DataFrame, cols: Sequence[str], k: int, by: Sequence[str] = (PID,)) -> DataFrame:
@@ -176,7 +184,7 @@ def hierarchy(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 0) ->
     return model.transform(vectors).drop("features", *named.values())
 
 
-def subspace_states(df: DataFrame, groups: dict[str, Sequence[str]], k: int, by: Sequence[str] = (PID,), rounds: int = 10) -> DataFrame:
+def subspace_states(df: DataFrame, groups: dict[str, Sequence[str]], k: int, by: Sequence[str] = (PID,), rounds: int = 1000) -> DataFrame:
     """One state per column group, each clustered on its own (ML-22)."""
     from .windows import normalize
 
@@ -304,7 +312,8 @@ def cca(df: DataFrame, xs: Sequence[str], ys: Sequence[str], reg: float = 0.0, b
                 r = dict(zip(pdf.columns, values))
                 cov = full_matrix(np.asarray(r["covs"], float), p + q)
                 sd = np.sqrt(np.diag(cov))
-                if not np.all(sd > 0):
+                if not np.all(sd > 0):  # a constant column has no correlation
+                    rows.extend([*(r[k] for k in key), r["n"], i + 1, None, None, None] for i in range(min(p, q)))
                     continue
                 cor = cov / np.outer(sd, sd)
                 a, b, c = cor[:p, :p] + reg * np.eye(p), cor[p:, p:] + reg * np.eye(q), cor[:p, p:]
@@ -346,10 +355,14 @@ def discriminant(df: DataFrame, cols: Sequence[str], label: str, k: int = 2) ->
     return out
 
 
-def topics(docs: DataFrame, k: int, words: str = "words", vocab: int = 5000, min_df: float = 1.0, rounds: int = 10, seed: int = 0, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Topic model on word windows (ML-14): documents with their top topic, and key words per topic."""
+def topics(docs: DataFrame, k: int, words: str = "words", min_df: float = 1.0, rounds: int = 10, seed: int = 0, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Topic model on word windows (ML-14): documents with their top topic, and key words per topic.
+
+    All words count.  Variational fitting has no end of its own: ``rounds`` passes are the fit asked for.
+    """
     docs = cut_lineage(docs.select(*keep, words))
-    counted = CountVectorizer(inputCol=words, outputCol="_tf", vocabSize=vocab, minDF=min_df).fit(docs)
+    size = docs.select(F.explode(words).alias("w")).agg(F.count_distinct("w")).first()[0]
+    counted = CountVectorizer(inputCol=words, outputCol="_tf", vocabSize=max(size, 1), minDF=min_df).fit(docs)
     rows = counted.transform(docs)
     rows = IDF(inputCol="_tf", outputCol="_idf").fit(rows).transform(rows)
     rows = Normalizer(p=1.0, inputCol="_idf", outputCol="features").transform(rows)
@@ -357,9 +370,11 @@ def topics(docs: DataFrame, k: int, words: str = "words", vocab: int = 5000, min
     dist = model.transform(rows).withColumn("topics", vector_to_array("topicDistribution"))
     top = F.array_max("topics")
     named = dist.select(*keep, "topics", (F.array_position("topics", top) - 1).cast("int").alias("topic"), top.alias("weight"))
-    names = F.array(*[F.lit(w) for w in counted.vocabulary])
-    words_of = model.describeTopics(10).select("topic", F.transform("termIndices", lambda i: F.element_at(names, i + 1)).alias("key_words"))
-    return named, words_of
+    top_terms = model.describeTopics(10).select("topic", F.posexplode("termIndices").alias("_rank", "_term"))
+    wanted = sorted({r._term for r in top_terms.select("_term").collect()})  # ten per topic
+    names = docs.sparkSession.createDataFrame([(i, counted.vocabulary[i]) for i in wanted], "_term int, _word string")
+    words_of = top_terms.join(names, "_term").groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("_rank", "_word"))).alias("_w"))
+    return named, words_of.select("topic", F.col("_w._word").alias("key_words"))
 
 
 def topic_location_corr(windows: DataFrame, topics_col: str, k: int, shares: Sequence[str], threshold: float, by: Sequence[str] = (PID,)) -> DataFrame:

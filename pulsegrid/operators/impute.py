@@ -66,12 +66,12 @@ def fill_knn(df: DataFrame, value: str, feature: str, k: int = 5, band_seconds:
     return out.withColumn(value, F.coalesce(F.col(value), F.col("_fill"))).drop("_us", "_band", "_fill")
 
 
-def fill_regression(df: DataFrame, cols: Sequence[str], rounds: int = 3, by: Sequence[str] = (PID,), ridge: float = 1e-6) -> DataFrame:
+def fill_regression(df: DataFrame, cols: Sequence[str], rounds: int = 100, by: Sequence[str] = (PID,), ridge: float = 1e-6, tol: float = 1e-6) -> DataFrame:
     """Round-robin regression of each incomplete column on the others (IM-5).
 
     Starts from group means; every round refits all columns of all groups from
-    sums of products and replaces only what was missing.  Few rounds, with a
-    checkpoint after each to keep the plan short.
+    sums of products and replaces only what was missing.  Rounds end when no filled
+    value moves by more than ``tol`` of its column's largest size; RuntimeError if some still does after ``rounds``.
     """
     from ..session import cut_lineage
     from .regression import apply_fit, fit_by
@@ -79,13 +79,19 @@ def fill_regression(df: DataFrame, cols: Sequence[str], rounds: int = 3, by: Seq
     marked = df.withColumns({f"_na_{c}": F.col(c).isNull() for c in cols})
     current = fill_mean(marked, cols, by)
     for _ in range(rounds):
+        current = current.withColumns({f"_was_{c}": F.col(c) for c in cols})
         for c in cols:
             others = [o for o in cols if o != c]
             fit = fit_by(current.filter(~F.col(f"_na_{c}")), c, others, by, ridge)
             current = apply_fit(current, fit, others, by, "_hat")
             current = current.withColumn(c, F.when(F.col(f"_na_{c}"), F.coalesce("_hat", c)).otherwise(F.col(c))).drop("_hat")
+        shift = [F.max(F.when(F.col(f"_na_{c}"), F.abs(F.col(c) - F.col(f"_was_{c}")))) / F.max(F.abs(c)) for c in cols]
         current = cut_lineage(current)
-    return current.drop(*[f"_na_{c}" for c in cols])
+        gaps = current.agg(*shift).first()
+        current = current.drop(*[f"_was_{c}" for c in cols])
+        if all(g is None or g <= tol for g in gaps):
+            return current.drop(*[f"_na_{c}" for c in cols])
+    raise RuntimeError(f"filled values still move after {rounds} rounds")
 
 
 def only_if_complete(df: DataFrame, cols: Sequence[str], share: float = 0.75, by: Sequence[str] = (PID,)) -> DataFrame:

@@ -205,9 +205,10 @@ class Measures:
             if kind in ("max", "last"):
                 out.append(F.max(a).alias(f"_{name}_a"))
             if kind in ("std", "var"):
-                mean = F.try_divide(F.sum(a * n), F.sum(n))
-                out.append(mean.alias(f"_{name}_a"))
-                out.append((F.sum(q) + F.sum(n * a * a) - F.sum(n) * mean * mean).alias(f"_{name}_q"))
+                # one entry per slice of a run, merged pair by pair: squares of large means would cancel
+                whole = F.aggregate(F.collect_list(F.when(n > 0, F.struct(n.cast("double").alias("n"), a.alias("a"), q.alias("q")))), F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("a"), F.lit(0.0).alias("q")), _pooled)
+                out.append(F.when(whole["n"] > 0, whole["a"]).alias(f"_{name}_a"))
+                out.append(whole["q"].alias(f"_{name}_q"))
         return out
 
     def final(self) -> list[Column]:
@@ -226,6 +227,12 @@ class Measures:
         return out
 
 
+def _pooled(x: Column, y: Column) -> Column:
+    """Count, mean and squared deviations of two sets together."""
+    n, d = x["n"] + y["n"], y["a"] - x["a"]
+    return F.struct(n.alias("n"), (x["a"] + d * y["n"] / n).alias("a"), (x["q"] + y["q"] + d * d * x["n"] * y["n"] / n).alias("q"))
+
+
 def merge_runs(
     df: DataFrame,
     keys: Sequence[str],

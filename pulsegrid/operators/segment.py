@@ -18,9 +18,12 @@ def prefix_sums(df: DataFrame, x: str, y: str, pid=PID, ts=TS, slice_days=1.0) -
     """Row position and running sums of two columns and their products.
 
     Any segment's moments are differences of two of these rows, so later
-    rounds need no ordering.
+    rounds need no ordering.  Both columns are centred per series: moments do
+    not change, and squares of a large mean do not swallow them.
     """
     rows = df.select(pid, us(ts).alias("t_us"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    means = rows.groupBy(pid).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+    rows = salted_join(rows, means, [pid]).select(pid, "t_us", (F.col("_x") - F.col("_mx")).alias("_x"), (F.col("_y") - F.col("_my")).alias("_y"))
     ops = {"pos": ("count", F.lit(1)), "s_x": ("sum", F.col("_x")), "s_y": ("sum", F.col("_y")),
            "s_xx": ("sum", F.col("_x") * F.col("_x")), "s_yy": ("sum", F.col("_y") * F.col("_y")), "s_xy": ("sum", F.col("_x") * F.col("_y"))}
     return running(rows, [pid], ["t_us"], ops, time_slice("t_us", slice_days)).drop("_x", "_y")
@@ -32,7 +35,8 @@ def _objective(n: Column, s: dict[str, Column], lam: float) -> Column:
     a = s["xx"] / n - mx * mx + lam / n
     b = s["yy"] / n - my * my + lam / n
     c = s["xy"] / n - mx * my
-    det = F.greatest(a * b - c * c, F.lit(1e-300))
+    det = a * b - c * c
+    det = F.when(det > 0, det)  # no likelihood without a proper covariance
     return n * F.log(det) - lam * (a + b) / det
 
 
@@ -46,7 +50,7 @@ def score_segments(prefix: DataFrame, segments: DataFrame, lam: float, pid=PID)
     joined = salted_join(prefix, segments, [pid])
     i = F.col("pos") - F.col("first") + 1
     m = F.col("last") - F.col("first") + 1
-    inside = joined.filter((i >= 2) & (i <= m - 2))
+    inside = joined.filter((i >= 2) & (i <= m - 2))  # a null gain never wins
     n_left, n_all = i.cast("double"), m.cast("double")
     left = {k: F.col(f"s_{k}") - F.col(f"b_{k}") for k in SUMS}
     right = {k: F.col(f"e_{k}") - F.col(f"s_{k}") for k in SUMS}
@@ -75,13 +79,14 @@ def split_scan(df: DataFrame, x: str, y: str, lam: float = 1.0, pid=PID, ts=TS,
 
 
 def greedy_segments(
-    df: DataFrame, x: str, y: str, k: int, lam: float = 1.0, pid=PID, ts=TS, slice_days=1.0, adjust: int = 1
+    df: DataFrame, x: str, y: str, k: int, lam: float = 1.0, pid=PID, ts=TS, slice_days=1.0, adjust: int = 100
 ) -> DataFrame:
     """Up to ``k`` breakpoints per series, best first, then re-fitted between neighbours (WN-16).
 
     One Spark job per round works on all series at once: it splits each
     series' best segment and scores only the two new ones.  Returns one row
-    per segment: ``pid, segment, first, last, start_us, end_us``.
+    per segment: ``pid, segment, first, last, start_us, end_us``.  Breakpoints are moved until
+    none moves; RuntimeError if some still do after ``adjust`` rounds.
     """
     prefix = cut_lineage(prefix_sums(df, x, y, pid, ts, slice_days))
     whole = prefix.groupBy(pid).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
@@ -97,8 +102,16 @@ def greedy_segments(
         fresh = halves.join(score_segments(prefix, _with_sums(halves, prefix, pid), lam, pid), [pid, "first", "last"], "left")
         kept = ranked.filter((F.col("_r") > 1) | F.col("gain").isNull() | (F.col("gain") <= 0)).drop("_r")
         known = cut_lineage(kept.unionByName(fresh))
+    known = known.select(pid, "first", "last")
     for _ in range(adjust):
-        known = _readjust(known.select(pid, "first", "last"), prefix, lam, pid)
+        moved = _readjust(known, prefix, lam, pid)
+        still = moved.join(known, [pid, "first", "last"], "left_anti").isEmpty()
+        known = moved
+        if still:
+            break
+    else:
+        if adjust:
+            raise RuntimeError(f"breakpoints still move after {adjust} rounds")
     number = F.row_number().over(Window.partitionBy(pid).orderBy("first"))
     at = prefix.select(pid, "pos", "t_us")
     out = known.select(pid, "first", "last").withColumn("segment", number)

@@ -61,9 +61,10 @@ def anova(df: DataFrame, group: str, cols: Sequence[str], by: Sequence[str] = ()
     """One-way analysis of variance per column (ST-3)."""
     rows = long_form(df, cols, [*by, group])
     g = rows.groupBy(*by, "measure", group).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), (F.var_pop("value") * F.count(F.lit(1))).alias("w"))
-    s = g.groupBy(*by, "measure").agg(
-        F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("w").alias("within"),
-        (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum(F.col("n") * F.col("m")) * F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("between"),
+    # the grand mean first: squares of the raw means would cancel
+    grand = g.groupBy(*by, "measure").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
+    s = g.join(grand, [*by, "measure"]).withColumn("_d", F.col("m") - F.col("grand")).groupBy(*by, "measure").agg(
+        F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("w").alias("within"), F.sum(F.col("n") * F.col("_d") * F.col("_d")).alias("between"),
     )
     d1, d2 = (F.col("groups") - 1).cast("double"), (F.col("n") - F.col("groups")).cast("double")
     s = s.withColumn("f", F.try_divide(F.try_divide("between", d1), F.try_divide("within", d2)))
@@ -119,7 +120,7 @@ def sym_kl(p: DataFrame, q: DataFrame, state: str, by: Sequence[str], name="kl")
 
 def change_test(
     df: DataFrame, state: str, states: Sequence, bins: int, agg: int = 7, slide: int = 2, shuffles: int = 100, seed: int = 0,
-    pid: str = "participant_id", day: str = "day", mode: str = "split", smooth: bool = True,
+    pid: str = "participant_id", day: str = "day", mode: str = "split", smooth: bool = True, min_days: int = 1,
 ) -> DataFrame:
     """Permutation test of a change in daily pattern between adjacent day groups (ST-9).
 
@@ -127,7 +128,9 @@ def change_test(
     days and moves by ``slide``; its first ``agg`` days (in date order, or in a
     hash order for each shuffle) are compared with the remaining ones
     (``split``) or with the last ``agg`` (``overlap``).  Returns the divergence
-    per window, bin and shuffle; shuffle 0 is the true order.
+    per window, bin and shuffle; shuffle 0 is the true order.  A window lies
+    within the participant's first and last day; days without readings add
+    nothing to it, and it needs ``min_days`` days that have some.
 
     Readings are counted into one vector per participant-day; a window gathers
     its ``agg + slide`` day vectors once, and all shuffles are worked out on
@@ -142,21 +145,24 @@ def change_test(
     days = counts.groupBy(pid, day).agg(F.map_from_entries(F.collect_list(F.struct("_cell", "n"))).alias("_m"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
     days = days.select(pid, F.col(day).alias("_d"), vector.alias("_v"))
-    first = days.groupBy(pid).agg(F.min("_d").alias("_d0"))
+    first = days.groupBy(pid).agg(F.min("_d").alias("_d0"), F.max("_d").alias("_d1"))
     placed = salted_join(days, first, [pid]).withColumn("_off", F.col("_d") - F.col("_d0"))
     lo = F.greatest(F.lit(0).cast("bigint"), F.ceil((F.col("_off") - width + 1) / slide))
     placed = placed.withColumn("window", F.explode(F.sequence(lo, F.floor(F.col("_off") / slide))))
-    gathered = placed.groupBy(pid, "window").agg(F.collect_list(F.struct("_d", "_v")).alias("_x")).filter(F.size("_x") == width)
+    placed = placed.withColumn("_begin", F.col("_d0") + F.col("window") * slide).filter(F.col("_begin") + width - 1 <= F.col("_d1"))
+    gathered = placed.groupBy(pid, "window", "_begin").agg(F.collect_list(F.struct("_d", "_v")).alias("_x")).filter(F.size("_x") >= min_days)
     start = agg if mode == "split" else slide
 
     def draw(batches):
         for pdf in batches:
             rows = []
-            for _, row in pdf.iterrows():
-                rows.append(_shuffled_distances(np.asarray(row["_x"]["_d"]), np.stack(row["_x"]["_v"]), agg, start, shuffles, seed, bins, k, smooth))
+            for begin, x in zip(pdf["_begin"], pdf["_x"]):
+                full = np.zeros((width, cells))
+                full[np.asarray(x["_d"]) - begin] = np.stack(x["_v"])
+                rows.append(_shuffled_distances(begin + np.arange(width), full, agg, start, shuffles, seed, bins, k, smooth))
             yield pdf[[pid, "window"]].assign(dist=rows)
 
-    gathered = gathered.select(pid, "window", F.struct(F.col("_x._d").alias("_d"), F.col("_x._v").alias("_v")).alias("_x"))
+    gathered = gathered.select(pid, "window", "_begin", F.struct(F.col("_x._d").alias("_d"), F.col("_x._v").alias("_v")).alias("_x"))
     kind = gathered.schema[pid].dataType.simpleString()
     out = gathered.mapInPandas(draw, f"`{pid}` {kind}, window bigint, dist array<array<double>>")
     out = out.select(pid, "window", F.posexplode("dist").alias("shuffle", "_d"))

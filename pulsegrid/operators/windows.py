@@ -115,7 +115,7 @@ def normalize(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (PID,), ho
     pair = ((F.avg, "a"), (F.stddev_samp, "b")) if how == "zscore" else ((F.min, "a"), (F.max, "b"))
     stats = [f(c).alias(f"_{n}_{c}") for c in cols for f, n in pair]
     if by:
-        out = salted_join(df, df.groupBy(*by).agg(*stats), list(by))
+        out = salted_join(df, df.groupBy(*by).agg(*stats), list(by), "left")  # rows without a key keep nulls
     else:
         # a single row of two numbers per column
         out = df.withColumn("_one", F.lit(1)).join(F.broadcast(df.agg(*stats).withColumn("_one", F.lit(1))), "_one").drop("_one")
@@ -227,8 +227,8 @@ def split_cohort(df: DataFrame, value: str, at: str | float = "median", name="co
 
     if isinstance(at, str):
         cut = quantiles(df, [], value, {"_cut": 0.5}) if at == "median" else df.agg(F.avg(value).alias("_cut"))
-        # one number
-        df = df.withColumn("_one", F.lit(1)).join(F.broadcast(cut.withColumn("_one", F.lit(1))), "_one").drop("_one")
+        # one number; none if all values are null
+        df = df.withColumn("_one", F.lit(1)).join(F.broadcast(cut.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
         limit = F.col("_cut")
     else:
         limit = F.lit(at)

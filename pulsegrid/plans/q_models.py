@@ -61,18 +61,18 @@ def gmm_states(t):
 @query("dp_means")
 def dp_means(t):
     rows = W.normalize(segments(t), ["hours", "mean"], [])
-    return C.dp_means(rows, ["hours", "mean"], 4.0, rounds=4).select("participant_id", "start_us", "cluster", "distance2")
+    return C.dp_means(rows, ["hours", "mean"], 4.0).select("participant_id", "start_us", "cluster", "distance2")
 
 
 @query("cluster_inertia")
 def cluster_inertia(t):
-    e = t.embeddings.select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
-    return C.inertia(C.kmeans_by(e, [f"e{i}" for i in range(4)], 2, ["label"], rounds=5), ["label"], n_params=8)
+    e = t.embeddings.select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return C.inertia(C.kmeans_by(e, [f"e{i}" for i in range(64)], 2, ["label"]), ["label"], n_params=128)
 
 
 @query("subspace_states")
 def subspace_states(t):
-    out = C.subspace_states(segments(t), {"length_state": ["hours"], "level_state": ["mean"]}, 2, rounds=4)
+    out = C.subspace_states(segments(t), {"length_state": ["hours"], "level_state": ["mean"]}, 2)
     return out.groupBy("length_state", "level_state").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -112,8 +112,8 @@ def cca(t):
 
 @query("discriminant")
 def discriminant(t):
-    e = t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
-    return C.discriminant(e, [f"e{i}" for i in range(16)], "label").select("vec_id", "label", "axis_1", "axis_2")
+    e = t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return C.discriminant(e, [f"e{i}" for i in range(64)], "label").select("vec_id", "label", "axis_1", "axis_2")
 
 
 @query("lasso_cv")
@@ -139,15 +139,15 @@ def word_docs(t):
 
 @query("lda_topics")
 def lda_topics(t):
-    docs = t.documents.select("doc_id", "lang", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 3).alias("words"))
-    named, keys = C.topics(docs, 4, rounds=3, keep=["doc_id", "lang"], vocab=2000)
+    docs = t.documents.select("doc_id", "lang", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words"))
+    named, keys = C.topics(docs, 4, rounds=10, keep=["doc_id", "lang"])
     return named.groupBy("lang", "topic").agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("weight")).join(keys, "topic")
 
 
 @query("topic_location_corr")
 def topic_location_corr(t):
     docs, shares = word_docs(t)
-    named, _ = C.topics(docs, 3, rounds=2, keep=["participant_id", "t_us"])
+    named, _ = C.topics(docs, 3, rounds=10, keep=["participant_id", "t_us"])
     corr = C.topic_location_corr(named.join(shares, ["participant_id", "t_us"]), "topics", 3, STATES, 0.4)
     return TK.top_abs_corr(corr, 3, value="r", tie=("topic", "location"))
 
@@ -224,7 +224,7 @@ def switching_path(t):
 def state_model(t):
     win = W.stack_windows(W.normalize(t.channels, ["value"]).withColumn("hour", clock_hour("ts", True) / 12), ["value", "hour"], 2)
     rows = win.select("participant_id", F.floor(day_number("ts") / 10).alias("period"), us("ts").alias("t_us"), "window")
-    out = SM.state_model(rows, 3, 2.0, ["participant_id", "period"], rounds=3)
+    out = SM.state_model(rows, 3, 2.0, ["participant_id", "period"])
     return out.groupBy("participant_id", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -242,4 +242,4 @@ def sequence_bic(t):
 @query("regression_impute")
 def regression_impute(t):
     src = t.channels.select("participant_id", us("ts").alias("us"), F.when(F.col("source") % 5 != 0, F.col("value")).alias("v"), F.hour("ts").cast("double").alias("h"), F.when(F.col("source") % 7 != 0, F.col("source").cast("double")).alias("s"))
-    return IM.fill_regression(src, ["v", "h", "s"], 2)
+    return IM.fill_regression(src, ["v", "h", "s"])

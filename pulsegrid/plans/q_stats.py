@@ -136,10 +136,10 @@ def permutation_change(t):
 @query("permutation_change_actual", f"""
     WITH {{channels}}, c AS (SELECT participant_id, us // 86400000000 AS day, CAST(us % 86400000000 // 21600000000 AS INT) AS bin, source % 3 AS st, count(*) AS n FROM r GROUP BY 1, 2, 3, 4),
     d AS (SELECT DISTINCT participant_id, day, day - min(day) OVER (PARTITION BY participant_id) AS off FROM c), w AS (SELECT participant_id, CAST(unnest(generate_series(0, 14)) AS BIGINT) AS win FROM (SELECT DISTINCT participant_id FROM d)),
-    x AS (SELECT w.participant_id, win, day, row_number() OVER (PARTITION BY w.participant_id, win ORDER BY day) AS i, count(*) OVER (PARTITION BY w.participant_id, win) AS k FROM w JOIN d ON d.participant_id = w.participant_id AND off BETWEEN win * 2 AND win * 2 + 5),
-    y AS (SELECT participant_id, win, day, CASE WHEN i <= 4 THEN 1 ELSE 2 END AS g FROM x WHERE k = 6),
+    x AS (SELECT w.participant_id, win, day, off - win * 2 AS i FROM w JOIN d ON d.participant_id = w.participant_id AND off BETWEEN win * 2 AND win * 2 + 5 JOIN (SELECT participant_id, max(off) AS last FROM d GROUP BY 1) z ON z.participant_id = w.participant_id AND win * 2 + 5 <= last),
+    y AS (SELECT participant_id, win, day, CASE WHEN i < 4 THEN 1 ELSE 2 END AS g FROM x),
     s AS (SELECT y.participant_id, win, g, bin, st, sum(n) AS n FROM y JOIN c USING (participant_id, day) GROUP BY 1, 2, 3, 4, 5),
-    gr AS (SELECT * FROM (SELECT DISTINCT participant_id, win, g FROM y) CROSS JOIN (SELECT CAST(unnest(generate_series(0, 3)) AS INT) AS bin) CROSS JOIN (SELECT unnest(generate_series(0, 2)) AS st)),
+    gr AS (SELECT * FROM (SELECT DISTINCT participant_id, win FROM y) CROSS JOIN (SELECT unnest([1, 2]) AS g) CROSS JOIN (SELECT CAST(unnest(generate_series(0, 3)) AS INT) AS bin) CROSS JOIN (SELECT unnest(generate_series(0, 2)) AS st)),
     f AS (SELECT gr.*, coalesce(n, 0) + 1 AS n FROM gr LEFT JOIN s USING (participant_id, win, g, bin, st)), p AS (SELECT *, n / sum(n) OVER (PARTITION BY participant_id, win, g, bin) AS p FROM f),
     m AS (SELECT a.participant_id, a.win, a.g, a.bin, a.st, (a.p + b.p + e.p) / 3 AS p FROM p a JOIN p b ON (b.participant_id, b.win, b.g, b.st, b.bin) = (a.participant_id, a.win, a.g, a.st, (a.bin + 1) % 4) JOIN p e ON (e.participant_id, e.win, e.g, e.st, e.bin) = (a.participant_id, a.win, a.g, a.st, (a.bin + 3) % 4))
     SELECT a.participant_id, a.win AS window, a.bin, round(sum((a.p - b.p) * ln(a.p / b.p) / 2), 8) AS distance FROM m a JOIN m b ON (a.participant_id, a.win, a.bin, a.st) = (b.participant_id, b.win, b.bin, b.st) AND a.g = 1 AND b.g = 2 GROUP BY 1, 2, 3""")

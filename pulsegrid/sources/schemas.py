@@ -25,4 +25,10 @@ GARMENT = T.StructType(
 PROXIMITY = _table(ts="t", receiver="s", rssi="i")
 PHONE = _table(ts="t", seconds_on_phone="i")
 AUDIO = _table(ts="t", f0="d", intensity="d", band_low="d", band_high="d")
+#: Names under which exports carry a column; the schema's own name always counts.
+ALIASES = {
+    "ts": ("Timestamp", "timestamp", "time"), "heart_rate": ("HeartRatePPG",), "step_count": ("StepCount",), "receiver": ("receiverDirectory",),
+    "seconds_on_phone": ("SecondsOnPhone",), "f0": ("F0_sma",), "fat_burn_minutes": ("Fat Burn_minutes",), "cardio_minutes": ("Cardio_minutes",),
+    "peak_minutes": ("Peak_minutes",), "out_of_range_minutes": ("Out of Range_minutes",),
+}
 SURVEY = _table(uid="s", timestamp="s", location_mgt="d")

@@ -74,7 +74,7 @@ def test_cheapest_path_is_optimal(spark, penalty):
 def test_state_model_recovers_regimes(spark):
     rng = np.random.default_rng(8)
     rows = [("s", i, [float(rng.normal(0 if (i // 40) % 2 == 0 else 5)), float(rng.normal(0))]) for i in range(160)]
-    out = SM.state_model(spark.createDataFrame(rows, "series string, t_us long, window array<double>"), 2, 3.0, ["series"], rounds=5)
+    out = SM.state_model(spark.createDataFrame(rows, "series string, t_us long, window array<double>"), 2, 3.0, ["series"])
     states = [r.state for r in out.orderBy("t_us").collect()]
     assert sum(a != b for a, b in zip(states, states[1:])) == 3
 
@@ -112,3 +112,38 @@ def test_cca_finds_shared_signal(spark):
     rows = [(float(v + 0.2 * a), float(a), float(-v + 0.2 * b), float(b)) for v, a, b in zip(z, rng.normal(size=400), rng.normal(size=400))]
     out = C.cca(spark.createDataFrame(rows, "x1 double, x2 double, y1 double, y2 double"), ["x1", "x2"], ["y1", "y2"]).orderBy("component").collect()
     assert out[0].correlation > 0.95 and out[1].correlation < 0.3
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e9])
+def test_split_does_not_depend_on_the_level(stream, shift):
+    draw = np.random.default_rng(1)
+    rows = [("a", i, float(x) + shift, float(y) + shift) for i, (x, y) in enumerate(np.r_[draw.normal(0, 1, (100, 2)), draw.normal(4, 1, (100, 2))].round(3))]
+    got = SG.split_scan(stream(rows, "x double, y double"), "x", "y").first()
+    assert got.best in (99, 100, 101) and 0 < got.gain < 1e5
+
+
+def test_paths_over_slices_are_optimal(spark):
+    draw = np.random.default_rng(6)
+    costs = draw.integers(0, 9, (25, 3)).astype(float)
+    df = spark.createDataFrame([("a", i, c.tolist()) for i, c in enumerate(costs)] + [(None, 0, [1.0, 0.0, 2.0])], "series string, t_us long, costs array<double>")
+    for width in (1, 4, 100):
+        got = SM.min_cost_path(df, 2.5, ["series"], slice_width=width).orderBy("t_us").collect()
+        path = [r.state for r in got if r.series == "a"]
+        value = costs[0]
+        for c in costs[1:]:
+            value = np.minimum(value, value.min() + 2.5) + c
+        paid = sum(costs[i][s] for i, s in enumerate(path)) + 2.5 * sum(a != b for a, b in zip(path, path[1:]))
+        assert paid == pytest.approx(value.min()) and got[0].cost is not None
+        assert [r.state for r in got if r.series is None] == [1]
+
+
+def test_unfinished_fits_raise(spark):
+    rows = spark.createDataFrame([("a", float(i), float(i * i % 7)) for i in range(12)], "participant_id string, x double, y double")
+    with pytest.raises(RuntimeError):
+        C.dp_means(rows, ["x", "y"], 0.5, rounds=1)
+
+
+def test_groups_without_spread_keep_a_row(spark):
+    rows = [("a", float(i), float(i % 3)) for i in range(9)] + [("b", 1.0, float(i)) for i in range(4)]
+    got = {r.g: r.correlation for r in C.cca(spark.createDataFrame(rows, "g string, x double, y double"), ["x"], ["y"], 0.01, ["g"]).collect()}
+    assert got["b"] is None and got["a"] is not None

@@ -36,6 +36,17 @@ def test_parts_and_proximity(spark, tmp_path):
     assert RD.read_survey(spark, str(tmp_path / "s")).select(F.hour("ts")).first()[0] == 5
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    put(str(tmp_path / "a_heartRate.csv.gz"), "extra,HeartRatePPG,Timestamp\nx,61,2024-01-01T00:00:01.000\ny,bad,2024-01-01T00:00:02.000\nz,,2024-01-01T00:00:03.000\n")
+    got = RD.read_stream_csv(spark, str(tmp_path / "a_*"), schemas.WRIST_HR, bad="bad_cells").orderBy("ts").collect()
+    assert [(r.heart_rate, r.bad_cells, r.ts.second) for r in got] == [(61.0, 0, 1), (None, 1, 2), (None, 0, 3)]
+    with pytest.raises(ValueError, match="step_count"):
+        RD.read_stream_csv(spark, str(tmp_path / "a_*"), schemas.WRIST_STEPS)
+    put(str(tmp_path / "b_heartRate.csv.gz"), "Timestamp,extra,HeartRatePPG\n2024-01-01T00:00:01.000,x,70\n")
+    with pytest.raises(Exception, match="[Hh]eader"):
+        RD.read_stream_csv(spark, str(tmp_path / "*_heartRate.csv.gz"), schemas.WRIST_HR).collect()
+
+
 def test_write_and_skip_existing(spark, stream, tmp_path):
     df = stream([("a", 1, 1.0), ("b", 2, 2.0)])
     path = SK.dataset_path(SK.StageConfig(str(tmp_path), "exp", offset=30, columns="hr"), "resampled")

@@ -133,3 +133,40 @@ def test_pdfs_sum_to_one(days):
     ts = days.withColumn("ts", F.timestamp_micros(F.col("bin") * 21_600_000_000))
     pdf = W.circular_smooth(A.tod_pdf(ts, "state", ["x", "y"], 4), 4, ["participant_id"], "state")
     assert all(r[2] == pytest.approx(1.0) for r in pdf.groupBy("participant_id", "bin").agg(F.sum("p")).collect())
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e8, 1e9])
+def test_anova_and_slice_variance_do_not_depend_on_the_level(spark, stream, shift):
+    from pulsegrid.operators import sessions as S
+
+    draw = np.random.default_rng(4)
+    groups = [draw.normal(m, 1.0, 30).round(3) for m in (0.0, 0.5, 2.0)]
+    rows = [(str(g), float(v) + shift) for g, vs in enumerate(groups) for v in vs]
+    r = ST.anova(spark.createDataFrame(rows, "g string, v double"), "g", ["v"]).first()
+    grand = np.mean(np.concatenate(groups))
+    between = sum(len(g) * (g.mean() - grand) ** 2 for g in groups) / 2
+    within = sum(((g - g.mean()) ** 2).sum() for g in groups) / 87
+    assert r.f == pytest.approx(between / within, rel=1e-4) and 0 < r.p < 1e-6
+    values = draw.normal(size=60).round(3)
+    df = stream([("a", i * 7200, float(v) + shift) for i, v in enumerate(values)])
+    sd = S.sessions(df, 3 * 3600, measures={"sd": ("std", F.col("value"))}).first().sd
+    assert sd == pytest.approx(values.std(), rel=1e-5)
+
+
+def test_poisson_tails():
+    exact = lambda n, lam: math.fsum(math.exp(-lam + i * math.log(lam) - math.lgamma(i + 1)) for i in range(n, n + 4000))
+    for n, lam in ((1, 0.5), (5, 2.0), (1600, 1499.8), (2000, 1499.8), (3000, 1499.8)):
+        assert SP.poisson_upper([n], [lam])[0] == pytest.approx(exact(n, lam), rel=1e-7)
+
+
+def test_change_windows_keep_absent_days(spark):
+    rows = [("a", d, 0, "x") for d in range(20) if d != 9]
+    out = ST.change_test(spark.createDataFrame(rows, "participant_id string, day long, bin int, state string"), "state", ["x", "y"], 1, agg=4, slide=2, shuffles=0, smooth=False)
+    assert sorted(r.window for r in out.collect()) == list(range(8))
+
+
+def test_rows_without_statistics_stay(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0)], "participant_id string, v double")
+    assert sorted((r.participant_id or "", r.v) for r in W.normalize(df, ["v"]).fillna(0.0).collect()) == [("", 0.0), ("a", pytest.approx(-0.7071, abs=1e-4)), ("a", pytest.approx(0.7071, abs=1e-4))]
+    empty = df.withColumn("v", F.lit(None).cast("double"))
+    assert [r.cohort for r in W.split_cohort(empty, "v").collect()] == [None] * 3
