@@ -24,12 +24,10 @@ from .sessions import PID
 
 def _distances(cols: Sequence[str], centres: str = "_centres") -> Column:
     """Squared distance of the row to every centre of its group."""
+    row = _as_row(cols)
+
     def one(c):
-        total = F.lit(0.0)
-        for i, name in enumerate(cols):
-            d = F.col(name) - c[i]
-            total = total + d * d
-        return total
+        return F.aggregate(F.zip_with(row, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, d: total + d)
 
     return F.transform(centres, one)
 
