@@ -86,7 +86,7 @@ def _block_words(texts: list[bytes]):
 def _packed(words: list[bytes]) -> bytes:
     """Sorted words in one compressed string: their number, their lengths, then all bytes."""
     sizes = np.array([len(words), *map(len, words)], "<u4")
-    return zlib.compress(sizes.tobytes() + b"".join(words), 1)
+    return zlib.compress(sizes.tobytes() + b"".join(words))
 
 
 def _unpacked(data: bytes) -> list[bytes]:
@@ -96,6 +96,16 @@ def _unpacked(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([4 * (many + 1), *ends], ends)]
 
 
+def _packed_numbers(values: np.ndarray) -> bytes:
+    """Numbers in one, two or four bytes each, compressed; the first byte tells which."""
+    width = 1 if not len(values) or values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4
+    return bytes([width]) + zlib.compress(values.astype(f"<u{width}").tobytes())
+
+
+def _unpacked_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+
+
 def _distinct(buckets: int):
     """The distinct words of a block, one row per bucket of the word table."""
 
@@ -121,8 +131,8 @@ def _encode_bucket(path: str):
         which = [[index.setdefault(w, len(index)) for w in words] for words in lists]
         ids = encode_chunks(path, list(index))
         length = np.array([len(x) // 4 for x in ids], "<u4")
-        packed = [zlib.compress(b"".join([ids[i] for i in mine]), 1) for mine in which]
-        counts = [zlib.compress(length[mine].tobytes(), 1) for mine in which]
+        packed = [_packed_numbers(np.frombuffer(b"".join([ids[i] for i in mine]), "<u4")) for mine in which]
+        counts = [_packed_numbers(length[mine]) for mine in which]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "ids": pa.array(packed, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     return run
@@ -144,8 +154,8 @@ def _join_back(pieces: list[bytes], buckets: int):
         texts = raw(docs.column("text").combine_chunks())
         words, h, parts = _block_words(texts)
         answered = answers.sort_by("bucket")
-        ids = np.frombuffer(b"".join(map(zlib.decompress, answered.column("ids").to_pylist())), "<u4").astype(np.int64)
-        counts = np.frombuffer(b"".join(map(zlib.decompress, answered.column("counts").to_pylist())), "<u4").astype(np.int64)
+        none = [np.empty(0, np.int64)]
+        ids, counts = (np.concatenate(none + [_unpacked_numbers(x) for x in answered.column(c).to_pylist()]) for c in ("ids", "counts"))
         order = np.argsort((mix(h) % np.uint64(buckets)).astype(np.int64), kind="stable")
         begin, size = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         begin[order], size[order] = np.cumsum(counts) - counts, counts
