@@ -120,15 +120,14 @@ def _find(index: dict[int, list[tuple[str, int]]], wordings: dict[str, np.ndarra
                     for name, at in index[int(prints[h])]:
                         seeds.setdefault(name, set()).add(h - base - at)
                 for name in sorted(seeds):
-                    wording, last = wordings[name], None
-                    found = []
+                    wording, found, begin = wordings[name], [], 0
                     for diagonal in sorted(seeds[name]):
-                        if last is not None and diagonal - last <= band:
+                        if diagonal + len(wording) + band <= begin:
                             continue
-                        last = diagonal
-                        matched, first, final = align(text, wording, diagonal, band)
-                        if matched >= coverage * len(wording) and (not found or first >= found[-1][2]):
-                            found.append((matched, first, final))
+                        matched, first, final = align(text[begin:], wording, diagonal - begin, band)
+                        if matched >= coverage * len(wording):
+                            found.append((matched, first + begin, final + begin))
+                            begin += final
                     for matched, first, final in found:
                         out.append((doc, name, matched / len(wording), first, final, int(start[base + first]), int(end[base + final - 1])))
             columns = list(zip(*out)) if out else [()] * 7
