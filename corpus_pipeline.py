@@ -24,7 +24,7 @@ def _retold(cut: DataFrame, docs: DataFrame, gone: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines whose template recurs across documents."""
-    return _retold(linetemplates.drop_recurring_lines(docs), docs, "__n_dropped")
+    return _retold(linetemplates.drop_recurring_lines(docs, min_verbatim=1), docs, "__n_dropped")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,16 +10,19 @@ from .store import row_key, written
 from .textbytes import joined, mix, raw, slices, span_hashes, word_spans
 
 LEADING = 3
+#: Told apart from hashes of lines with masked tokens.
+_VERBATIM = np.uint64(0x5851F42D4C957F2D)
 
 
 def _tokens(texts: list[bytes]):
-    """Per line with tokens: its text, number in the text, first token, token count; and all tokens' 32-bit hashes.
+    """Per line with tokens: its text, number in the text, first token, token count; all tokens' 32-bit hashes, and their full hashes.
 
-    A token with a digit, an ``@`` or ``://`` is variable and gets hash 0.
+    A token with a digit, an ``@`` or ``://`` is variable and gets the 32-bit hash 0.
     """
     buf, starts = joined(texts)
     s, e = word_spans(buf)
-    hashes = (span_hashes(buf, s, e) >> np.uint64(33)).astype(np.int32) | 1
+    whole = span_hashes(buf, s, e)
+    hashes = (whole >> np.uint64(33)).astype(np.int32) | 1
     odd = ((buf >= 48) & (buf <= 57)) | (buf == 64)
     odd[:-2] |= (buf[:-2] == 58) & (buf[1:-1] == 47) & (buf[2:] == 47)
     seen = np.concatenate([[0], np.cumsum(odd)])
@@ -29,13 +32,17 @@ def _tokens(texts: list[bytes]):
     first = np.flatnonzero(np.diff(line, prepend=-1))
     count = np.diff(np.append(first, len(s)))
     own = np.searchsorted(starts, s[first], "right") - 1
-    return hashes, own, line[first] - breaks[starts[own]], first, count
+    return hashes, own, line[first] - breaks[starts[own]], first, count, whole
+
+
+def _each(hashes, first, count):
+    place = (np.arange(len(hashes)) - np.repeat(first, count)).astype(np.uint64)
+    return mix(hashes.astype(np.uint64) + mix(place + np.uint64(1)))
 
 
 def _keys(hashes, first, count):
     """Hash of each whole line and of its leaf: token count and leading tokens."""
-    place = np.arange(len(hashes)) - np.repeat(first, count)
-    each = mix(hashes.astype(np.uint64) + mix(place.astype(np.uint64) + np.uint64(1)))
+    each = _each(hashes, first, count)
     line = mix(np.add.reduceat(each, first) + count.astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
     leaf = mix(count.astype(np.uint64))
     for i in range(LEADING):
@@ -44,28 +51,61 @@ def _keys(hashes, first, count):
     return line.view(np.int64), leaf.view(np.int64)
 
 
-def _line_rows(least_tokens: int):
+def _kinds(hashes, first, count, least_tokens: int, similarity: float):
+    """Which lines are compared verbatim, which by masks and which in the tree; and the number of constant tokens of each.
+
+    Verbatim: fewer than ``least_tokens`` tokens, or none of them constant.  By masks: so short that one other token is less than ``similarity``.
+    """
+    constant = np.add.reduceat((hashes != 0).astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+    plain = (count < least_tokens) | (constant == 0)
+    short = ~plain & (count - 1 < similarity * count)
+    return plain, short, ~plain & ~short, constant
+
+
+def _masked(hashes, first, count, short, constant):
+    """``(line, key)`` of the short lines: the line with its variable tokens masked, and with each constant token masked in turn if others are left."""
+    pick = np.flatnonzero(short)
+    if not len(pick):
+        return pick, np.empty(0, np.int64)
+    each = _each(hashes, first, count)
+    blank = _each(np.zeros_like(hashes), first, count)
+    total = np.add.reduceat(each, first) + count.astype(np.uint64)
+    owner = np.repeat(np.arange(len(first)), count)
+    at = np.flatnonzero(short[owner] & (constant[owner] > 1) & (hashes != 0))
+    keys = np.concatenate([total[pick], total[owner[at]] - each[at] + blank[at]])
+    return np.concatenate([pick, owner[at]]), mix(keys).view(np.int64)
+
+
+def _line_rows(least_tokens: int, verbatim_tokens: int, similarity: float):
+    """Every line of the tree; and, with null leaf, the keys under which other lines are counted."""
+
     def run(batches):
         for batch in slices(batches, "text"):
-            hashes, own, place, first, count = _tokens(raw(batch.column("text")))
+            hashes, own, place, first, count, whole = _tokens(raw(batch.column("text")))
             line, leaf = _keys(hashes, first, count)
-            pick = np.flatnonzero(count >= least_tokens)
+            plain, short, tree, constant = _kinds(hashes, first, count, least_tokens, similarity)
+            exact = np.flatnonzero(plain & (count >= verbatim_tokens))
+            verbatim = mix(np.add.reduceat(_each(whole, first, count), first) + count.astype(np.uint64) + _VERBATIM).view(np.int64) if len(first) else line
+            masked, keys = _masked(hashes, first, count, short, constant)
+            grown = np.flatnonzero(tree)
+            pick = np.concatenate([grown, exact, masked])
             take = pa.array(own[pick])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf[pick]), pa.array(line[pick]), batch.column("id").take(take), batch.column("rid").take(take), pa.array(place[pick])],
+                [pa.array(leaf[pick], mask=np.arange(len(pick)) >= len(grown)), pa.array(np.concatenate([line[grown], verbatim[exact], keys])),
+                 batch.column("id").take(take), batch.column("rid").take(take), pa.array(place[pick])],
                 ["leaf", "line", "id", "rid", "place"])
 
     return run
 
 
-def _line_tokens(least_tokens: int):
-    """Tokens of each line, once per slice."""
+def _line_tokens(least_tokens: int, similarity: float):
+    """Tokens of each line of the tree, once per slice."""
 
     def run(batches):
         for batch in slices(batches, "text"):
-            hashes, _, _, first, count = _tokens(raw(batch.column("text")))
+            hashes, _, _, first, count, _ = _tokens(raw(batch.column("text")))
             line, leaf = _keys(hashes, first, count)
-            fit = np.flatnonzero(count >= least_tokens)
+            fit = np.flatnonzero(_kinds(hashes, first, count, least_tokens, similarity)[2])
             _, once = np.unique(line[fit], return_index=True)
             pick = fit[once]
             yield pa.RecordBatch.from_arrays(
@@ -79,15 +119,15 @@ def _line_tokens(least_tokens: int):
 def fit_templates(rows: list[np.ndarray], similarity: float) -> tuple[np.ndarray, list[np.ndarray]]:
     """Templates of one leaf's lines (all of one length), and the template of each line.
 
-    A line joins the template with which it shares most tokens, if that is at least ``similarity`` of them;
-    places where they differ turn variable (0).  Else it starts a template.
+    A line joins the template with which it shares most tokens, if that is at least ``similarity`` of them and one
+    constant token; places where they differ turn variable (0).  Else it starts a template.
     """
     size, used = len(rows[0]), 0
     known, of = np.zeros((16, size), np.int32), np.empty(len(rows), np.int64)
     for i, row in enumerate(rows):
         share = (known[:used] == row).sum(1)
         best = int(share.argmax()) if used else 0
-        if used and share[best] >= similarity * size:
+        if used and share[best] >= similarity * size and ((known[best] == row) & (row != 0)).any():
             known[best][known[best] != row] = 0
         else:
             if used == len(known):
@@ -151,19 +191,26 @@ def _without():
 TEMPLATE = "leaf long, line long, template long, tokens binary"
 
 
-def line_templates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, min_docs: int = 10, min_tokens: int = 3, leaf_lines: int = 4000):
-    """``(rows, templates)``: every line ``leaf, line, id, rid, place``, and for lines of leaves that reach ``min_docs`` lines their template and its tokens.
+def line_templates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, min_docs: int = 2, min_tokens: int = 3, leaf_lines: int = 4000,
+    min_verbatim: int = 3,
+):
+    """``(rows, templates)``: lines ``leaf, line, id, rid, place``, and for lines of leaves that reach ``min_docs`` lines their template and its tokens.
 
     A leaf of the tree is a token count and three leading tokens.  Distinct lines of a leaf meet in one task; a leaf of
     more than ``leaf_lines`` is parsed in parts by line hash, and the templates of the parts are then parsed together.
+
+    Rows with null leaf need no parsing, their ``line`` is a template: that of a line of less than ``min_tokens`` tokens or
+    without constant tokens is the line itself (from ``min_verbatim`` tokens on), and a line too short for ``similarity`` to let a token
+    differ has one row with variable tokens masked and one for each further masked token.
     """
     src = docs.select(F.col(f"`{key}`").cast("long").alias("id"), row_key(f"`{text}`").alias("rid"), F.col(f"`{text}`").alias("text")).where("id is not null")
-    rows = written(src.mapInArrow(_line_rows(min_tokens), "leaf long, line long, id long, rid long, place long"))
+    rows = written(src.mapInArrow(_line_rows(min_tokens, min_verbatim, similarity), "leaf long, line long, id long, rid long, place long"))
     busy = (
-        rows.groupBy("leaf", "line").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("lines"))
+        rows.where("leaf is not null").groupBy("leaf", "line").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("lines"))
         .where(F.col("n") >= min_docs).select("leaf", F.ceil(F.col("lines") / leaf_lines).alias("parts"))
     )
-    tokens = src.select("text").mapInArrow(_line_tokens(min_tokens), "leaf long, line long, tokens binary").join(written(busy), "leaf")
+    tokens = src.select("text").mapInArrow(_line_tokens(min_tokens, similarity), "leaf long, line long, tokens binary").join(written(busy), "leaf")
     tokens = tokens.withColumn("part", F.pmod("line", "parts"))
     fitted = written(
         tokens.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line").select("leaf", "part", "parts", "line", "tokens")
@@ -180,13 +227,14 @@ def line_templates(docs: DataFrame, key: str = "doc_id", text: str = "text", sim
 
 
 def drop_recurring_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, min_docs: int = 10, min_tokens: int = 3, **options,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, min_docs: int = 2, min_tokens: int = 3, **options,
 ) -> DataFrame:
     """``docs`` without lines whose template recurs in ``min_docs`` documents or more; then ``__n_lines``, ``__n_dropped``.
 
-    The document with the smallest id keeps its lines of a template, so nothing is lost from all documents.  A template
-    counts only if at least half of its tokens are constant.  Lines of fewer than ``min_tokens`` tokens
-    always stay: short lines of prose coincide by chance.
+    The document with the smallest id keeps its lines of a template.  A template
+    counts if at least one of its tokens is constant.  Lines of fewer than ``min_tokens`` tokens and lines of variable
+    tokens only recur if they are equal in every byte of their tokens, and only from ``min_verbatim`` (3) tokens on.  A line too short
+    for ``similarity`` to let a token differ recurs if it equals others up to one token.
 
     A null text stays null and has no lines; a row with null id keeps its text and counts nowhere.  Rows with one id are one
     document in the counts.  An empty table gives an empty result.  Only line hashes and ids are
@@ -198,15 +246,15 @@ def drop_recurring_lines(
         F.struct(F.lit(0).alias("__"), F.col(f"`{text}`").isNull().alias("__null"), *[F.col(f"`{c}`") for c in names]).alias("rest"),
     )
     rows, templates = line_templates(docs, key, text, similarity, min_docs, min_tokens, **options)
-    size = F.octet_length("tokens") / 4
-    constant = F.expr("aggregate(sequence(1, octet_length(tokens), 4), 0, (a, i) -> a + if(substring(tokens, i, 4) = X'00000000', 0, 1))")
-    named = templates.where(constant * 2 >= size).select("line", "template")
-    placed = rows.join(named, "line").select("template", "id", "rid", "place")
+    constant = F.expr("exists(sequence(1, octet_length(tokens), 4), i -> substring(tokens, i, 4) != X'00000000')")
+    named = templates.where(constant).select("line", "template")
+    placed = rows.where("leaf is not null").join(named, "line").select("template", "id", "rid", "place")
+    placed = placed.unionByName(rows.where("leaf is null").select(F.col("line").alias("template"), "id", "rid", "place"))
     recurring = (
         placed.groupBy("template", "id").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first"))
         .where(F.col("n") >= min_docs).select("template", "first")
     )
-    drops = placed.join(recurring, "template").where("id > first").groupBy("id").agg(F.collect_list("rid").alias("rids"), F.collect_list("place").alias("places"))
+    drops = placed.join(recurring, "template").where("id > first").select("id", "rid", "place").groupBy("id").agg(F.collect_list("rid").alias("rids"), F.collect_list("place").alias("places"))
     kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     cut = src.join(drops, "id", "left").select("rid", "text", "rest", "rids", "places").mapInArrow(
         _without(), f"rest {kinds['rest']}, text string, n_lines long, n_dropped long")

@@ -79,7 +79,7 @@ def op10_importance_resampling(spark, folder):
 
 @query
 def op5_line_templates(spark, folder):
-    cut = linetemplates.drop_recurring_lines(documents(spark, folder).select("doc_id", "text"))
+    cut = linetemplates.drop_recurring_lines(documents(spark, folder).select("doc_id", "text"), min_verbatim=1)
     return cut.select(
         "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
         F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"),

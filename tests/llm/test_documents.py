@@ -105,6 +105,19 @@ def test_templates_match_brute_force(spark, leaf_lines):
     assert got == {i: t if i == 0 else t.split("\n")[1] for i, t in rows}
 
 
+def test_lines_of_two_documents_short_lines_and_fields_recur(spark):
+    rows = [
+        (1, "Of.\nan own line of five\nPosted 3 May by 17\nwritten by Ann\n1 2 3\nsame line in two documents\n4 5 6"),
+        (2, "Of.\nanother one with six tokens here\nPosted 12 May by 99\nwritten by Bob\n1 2 3\nsame line in two documents\n4 5 7"),
+        (3, "And\nthe third text is of seven tokens\nPosted 4 June by 20\nWritten at home by Cy\nnot at all here\n7 8 9"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linetemplates.drop_recurring_lines(docs, min_verbatim=1).collect()}
+    assert got == {1: rows[0][1], 2: "another one with six tokens here\n4 5 7", 3: rows[2][1]}
+    fields = spark.createDataFrame([(i, f"Posted {i} {i + 1} by {i * 2}\nby {i} {i + 1} {i + 2}\nread by {WORDS[i]} today") for i in range(3)], "doc_id long, text string")
+    assert [r.text for r in linetemplates.drop_recurring_lines(fields).orderBy("doc_id").collect()] == [fields.first().text, "", ""]
+
+
 def test_other_columns_pass_through(spark):
     docs = spark.createDataFrame([(1, "a b c d", 5, "x"), (2, None, None, None)], "doc_id long, text string, line long, leaf string")
     got = linetemplates.drop_recurring_lines(docs, min_docs=1)
