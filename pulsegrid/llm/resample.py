@@ -14,14 +14,12 @@ _KIND = np.full(256, 3, np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _KIND[48:58] = 2
-_SHOUTED, _AGAIN = mix(np.array([71, 72], np.uint64))
 
 
 def hashed_grams(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and text of every token and pair of tokens.
 
-    Tokens are runs of letters, of digits or of marks.  A word that begins with two capitals counts as one
-    common token, and so does a token equal to the one before, whatever they spell.
+    Tokens are runs of letters, of digits or of marks, each counted as it is spelled.
     """
     buf, starts = joined(texts)
     kind = _KIND[buf]
@@ -30,11 +28,6 @@ def hashed_grams(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarr
     solid = kind[edge] != 0
     s, e = edge[solid], end[solid]
     h, own = span_hashes(buf, s, e), np.searchsorted(starts, s, "right") - 1
-    capital = (buf >= 65) & (buf <= 90)
-    shouted = (e - s > 1) & capital[s] & capital[np.minimum(s + 1, len(buf) - 1)]
-    again = np.zeros(len(h), bool)
-    again[1:] = (h[1:] == h[:-1]) & (own[1:] == own[:-1])
-    h = np.where(again, _AGAIN, np.where(shouted, _SHOUTED, h))
     pair = np.flatnonzero(own[:-1] == own[1:])
     gram = np.concatenate([h, mix(h[pair] * np.uint64(3) + h[pair + 1])])
     return (gram % np.uint64(buckets)).astype(np.int64), np.concatenate([own, own[pair]])

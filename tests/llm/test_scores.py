@@ -144,3 +144,9 @@ def test_best_cut_takes_the_middle_of_the_gap():
     weights, good = np.array([-100.0, -50, 1, 2, 3]), np.array([False, False, True, True, True])
     assert resample.best_cut(weights, good) == -24.5
     assert resample.best_cut(weights, np.ones(5, bool)) is None
+
+
+def test_shouted_and_repeated_words_keep_their_own_grams():
+    grams = lambda text: set(resample.hashed_grams([text], 1 << 30)[0].tolist())
+    assert not grams(b"NASA") & grams(b"WHEREAS") and grams(b"NASA NASA") > grams(b"NASA")
+    assert len(grams(b"go go")) == 2 and not grams(b"go go") & grams(b"no no")
