@@ -101,8 +101,16 @@ def align(words: np.ndarray, template: np.ndarray, diagonal: int, band: int) ->
     return best[1], best[2], best[3] + 1
 
 
-def _find(index: dict[int, list[tuple[str, int]]], wordings: dict[str, np.ndarray], size: int, window: int, band: int, coverage: float):
-    keys = np.array(sorted(index), np.uint64)
+def rare_places(text: bytes, coverage: float) -> list[int]:
+    """Places of the longest words of a template, one more than a match of ``coverage`` may lack: each match has one of them."""
+    _, _, start, end = _words([text])
+    n = len(start)
+    lacks = int(n - np.ceil(coverage * n - 1e-9))
+    return np.argsort(start - end, kind="stable")[: lacks + 1].tolist()
+
+
+def _find(index: dict[int, list[tuple[str, int]]], singles: dict[int, list[tuple[str, int]]], wordings: dict[str, np.ndarray], size: int, window: int, band: int, coverage: float):
+    keys, rare = np.array(sorted(index), np.uint64), np.array(sorted(singles), np.uint64)
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -111,14 +119,17 @@ def _find(index: dict[int, list[tuple[str, int]]], wordings: dict[str, np.ndarra
             place = np.searchsorted(keys, prints)
             place[place == len(keys)] = 0
             hits = np.flatnonzero((keys[place] == prints) & (own[: len(prints)] == own[size - 1 :])) if len(keys) and len(prints) else np.empty(0, np.int64)
+            lone = np.flatnonzero(np.isin(words, rare))
             out = []
-            for doc in np.unique(own[hits]).tolist():
+            for doc in np.unique(np.concatenate([own[hits], own[lone]])).tolist():
                 base, stop = np.searchsorted(own, [doc, doc + 1]).tolist()
                 text, seeds = words[base:stop], {}
-                chosen = np.array([h for h in hits.tolist() if base <= h < stop])
-                for h in chosen.tolist():
+                for h in hits[np.searchsorted(hits, base) : np.searchsorted(hits, stop)].tolist():
                     for name, at in index[int(prints[h])]:
                         seeds.setdefault(name, set()).add(h - base - at)
+                for h in lone[np.searchsorted(lone, base) : np.searchsorted(lone, stop)].tolist():
+                    for name, at in singles[int(words[h])]:
+                        seeds.setdefault(name, set()).add(h - base - at)
                 for name in sorted(seeds):
                     wording, found, begin = wordings[name], [], 0
                     for diagonal in sorted(seeds[name]):
@@ -141,13 +152,14 @@ def _find(index: dict[int, list[tuple[str, int]]], wordings: dict[str, np.ndarra
 
 def scan(
     docs: DataFrame, wordings: DataFrame | None = None, key: str = "doc_id", text: str = "text", size: int = 3, window: int = 4, band: int = 4,
-    coverage: float = 0.8, max_templates: int = 10_000,
+    coverage: float = 0.8, max_templates: int = 10_000, short: int = 16,
 ) -> DataFrame:
     """One row per place of a template: ``id, template, coverage, first_word, end_word, first_byte, end_byte``.
 
     Template words (runs of letters and digits, A-Z lowered) are cut in shingles of ``size``; winnowing keeps the
     smallest of each ``window``, and an inverted index maps them to templates and places.  Any ``size + window - 1`` template words
-    in a row hold an indexed shingle, and every shingle of a text is looked up.  Around each hit's diagonal a local alignment
+    in a row hold an indexed shingle, and every shingle of a text is looked up.  Templates of fewer than ``short`` words are found
+    by single words instead: so many of their longest words are indexed that each match holds one.  Around each hit's diagonal a local alignment
     within ``band`` words counts matched template words; ``coverage`` of them make a match.  Spans are half open, bytes are those of the text in UTF-8.
 
     The index goes to the tasks inside the function; it has at most one entry per template word, and more than
@@ -158,14 +170,18 @@ def scan(
     rows = wordings.select("template", "text").limit(max_templates + 1).collect()
     if len(rows) > max_templates:
         raise ValueError("too many templates for one scan")
-    known, index = {}, {}
+    known, index, singles = {}, {}, {}
     for name, words in sorted((r.template, r.text) for r in rows if r.template is not None and r.text):
         hashes = _words([words.encode()])[0]
         known[name] = hashes
+        if len(hashes) < short:
+            for at in rare_places(words.encode(), coverage):
+                singles.setdefault(int(hashes[at]), []).append((name, at))
+            continue
         prints = _shingles(hashes, size)
         for at in winnow(prints, window).tolist():
             index.setdefault(int(prints[at]), []).append((name, at))
     src = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     return src.mapInArrow(
-        _find(index, known, size, window, band, coverage),
+        _find(index, singles, known, size, window, band, coverage),
         "id long, template string, coverage double, first_word long, end_word long, first_byte long, end_byte long")

@@ -64,6 +64,27 @@ def test_license_places(spark):
     assert text[span.first_byte : span.end_byte].decode().startswith("PERMISSION IS") and text[span.first_byte : span.end_byte].decode().endswith("CONDITIONS")
 
 
+def test_short_templates_are_found_wherever_coverage_holds(spark):
+    """Every line of five to fifteen words with as many words replaced as the coverage lets, next to each other or apart; with words put in between."""
+    draw, rows, wording = random.Random(5), [], "released under the mit license by its makers in spring for all readers of them".split()
+    table = [(f"t{n}", " ".join(wording[:n])) for n in range(3, 16)]
+    for n in range(3, 16):
+        for _ in range(6):
+            words = wording[:n]
+            for at in draw.sample(range(n), n // 5):
+                words[at] = "other"
+            rows.append((n * 100 + len(rows), f"t{n}", " ".join(words)))
+    rows.append((9999, "t5", "released x under x the x mit x license"))
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = {(r.id, r.template) for r in licenses.scan(docs, spark.createDataFrame(table, "template string, text string")).collect()}
+    full = set()
+    known = {k: licenses._words([v.encode()])[0] for k, v in table}
+    for i, _, t in rows:
+        text = licenses._words([t.encode()])[0]
+        full |= {(i, k) for k, w in known.items() for d in range(-len(w), len(text)) if licenses.align(text, w, d, 4)[0] >= 0.8 * len(w)}
+    assert (9999, "t5") in got and len(full) > 78 and got == full
+
+
 def test_alignment_matches_plain_dynamic_programming():
     draw = random.Random(3)
     for _ in range(40):
