@@ -10,8 +10,9 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import LDA, BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -32,10 +33,19 @@ def _distances(cols: Sequence[str], centres: str = "_centres") -> Column:
     return F.transform(centres, one)
 
 
-def _as_row(cols: Sequence[str]) -> Column:
+def _as_row(cols: Sequence[str] | str) -> Column:
+    """The values as one array; ``cols`` as a string names a column that is one already."""
+    if isinstance(cols, str):
+        return F.col(cols).cast("array<double>")
     return F.array(*[F.col(c).cast("double") for c in cols])
 
 
+def _mean_row(cols: Sequence[str] | str) -> Column:
+    if isinstance(cols, str):
+        return vector_to_array(Summarizer.mean(array_to_vector(_as_row(cols))))
+    return F.array(*[F.avg(c) for c in cols])
+
+
 def _assign(rows: DataFrame, centres: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     placed = salted_join(rows, centres, list(by)).withColumn("_d", _distances(cols))
     least = F.array_min("_d")
@@ -44,7 +54,7 @@ def _assign(rows: DataFrame, centres: DataFrame, cols: Sequence[str], by: Sequen
 
 def _means(assigned: DataFrame, centres: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     """New centres; a cluster that lost all rows keeps its old one."""
-    new = assigned.groupBy(*by, "cluster").agg(F.array(*[F.avg(c) for c in cols]).alias("_m"))
+    new = assigned.groupBy(*by, "cluster").agg(_mean_row(cols).alias("_m"))
     old = centres.select(*by, F.posexplode("_centres").alias("cluster", "_o"))
     both = old.join(new, [*by, "cluster"], "left")
     # k rows per group
@@ -61,14 +71,16 @@ def seed_centres(rows: DataFrame, cols: Sequence[str], k: int, by: Sequence[str]
     return packed.select(*by, F.col("_x._c").alias("_centres"))
 
 
-def kmeans_by(df: DataFrame, cols: Sequence[str], k: int, by: Sequence[str] = (PID,), rounds: int = 1000, tol: float = 1e-9) -> DataFrame:
+def kmeans_by(df: DataFrame, cols: Sequence[str] | str, k: int, by: Sequence[str] = (PID,), rounds: int = 1000, tol: float = 1e-9) -> DataFrame:
     """k-means fitted per group, all groups in the same jobs (ML-1).
 
     Rows keep their columns and gain ``cluster`` and ``distance2``.  Rounds go on until
     no centre moves by more than ``tol``; RuntimeError if some still do after ``rounds``.
+    ``cols`` as a string names one array column whose lengths are equal; rows with a null in it go.
     """
-    rows = cut_lineage(df.dropna(subset=list(cols)))  # read once more at the end
-    lean = cut_lineage(rows.select(*by, *cols))  # read by every round
+    whole = df.filter(F.forall(cols, lambda x: x.isNotNull())) if isinstance(cols, str) else df.dropna(subset=list(cols))
+    rows = cut_lineage(whole)  # read once more at the end
+    lean = cut_lineage(rows.select(*by, *([cols] if isinstance(cols, str) else cols)))  # read by every round
     centres = cut_lineage(seed_centres(lean, cols, k, by))
     for _ in range(rounds):
         new = cut_lineage(_means(_assign(lean, centres, cols, by), centres, cols, by))

@@ -123,9 +123,9 @@ def kl_symmetric(t):
     return rounded(ST.sym_kl(pdf(0), pdf(1), "state", ["pair"]), 8)
 
 
-def tests(t, shuffles=20):
+def tests(t):
     src = t.readings.withColumn("day", day_number("ts")).withColumn("bin", F.floor(F.hour("ts") / 6).cast("int"))
-    return lambda states: ST.change_test(src.filter(F.col("state").isin(*states)), "state", states, 4, agg=4, slide=2, shuffles=shuffles, seed=11)
+    return lambda states: ST.change_test(src.filter(F.col("state").isin(*states)), "state", states, 4, agg=4, slide=2, seed=11)
 
 
 @query("permutation_change")
@@ -151,7 +151,7 @@ def permutation_change_actual(t):
 
 @query("synchrony")
 def synchrony(t):
-    run = tests(t, 10)
+    run = tests(t)
     return ST.synchrony(ST.change_score(run(("click", "view")), 0.2), ST.change_score(run(("error", "signup")), 0.2))
 
 

@@ -147,3 +147,28 @@ def test_groups_without_spread_keep_a_row(spark):
     rows = [("a", float(i), float(i % 3)) for i in range(9)] + [("b", 1.0, float(i)) for i in range(4)]
     got = {r.g: r.correlation for r in C.cca(spark.createDataFrame(rows, "g string, x double, y double"), ["x"], ["y"], 0.01, ["g"]).collect()}
     assert got["b"] is None and got["a"] is not None
+
+
+def test_kmeans_reads_whole_array_column(spark):
+    rows = [(1, [1.0, 1.0, 1.0, 1.0, float(i % 2) * 9 + i / 100]) for i in range(8)] + [(1, None), (1, [1.0, 1.0, 1.0, 1.0, None])]
+    df = spark.createDataFrame(rows, "label int, v array<double>")
+    got = C.kmeans_by(df, "v", 2, ["label"]).collect()
+    assert len(got) == 8 and len({(r.cluster, r.v[4] > 5) for r in got}) == 2 and max(r.distance2 for r in got) < 0.01
+    as_columns = C.kmeans_by(df.dropna().select("label", *[df.v[i].alias(f"v{i}") for i in range(5)]), [f"v{i}" for i in range(5)], 2, ["label"]).collect()
+    assert sorted(round(r.distance2, 9) for r in got) == sorted(round(r.distance2, 9) for r in as_columns)
+
+
+@pytest.mark.parametrize("name", ["permutation_change", "synchrony"])
+def test_change_queries_draw_the_default_number_of_shuffles(monkeypatch, spark, name):
+    from pulsegrid.plans import q_stats
+
+    seen = []
+    monkeypatch.setattr(q_stats.ST, "change_test", lambda *a, **options: seen.append(options.get("shuffles", 100)))
+    monkeypatch.setattr(q_stats.ST, "change_score", lambda *a: None)
+    monkeypatch.setattr(q_stats.ST, "synchrony", lambda *a: None)
+
+    class Tables:
+        readings = spark.sql("select timestamp_ntz'2024-01-01 00:00:00' ts, 'click' state")
+
+    getattr(q_stats, name)(Tables)
+    assert seen and set(seen) == {100}
