@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, licenses, linetemplates, media, neardup, packing, ppm, repeats, resample, wordtable
+from . import digest, licenses, linetemplates, media, neardup, packing, postings, ppm, repeats, resample, wordtable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,28 @@ def op4_partial_matching(spark, folder):
 @query
 def op3_license_scan(spark, folder):
     return licenses.scan(documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_positional_index(spark, folder):
+    found = postings.contamination(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), size=10)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+#: Words of digits, letters and bytes beyond ASCII, A-Z lower-cased, in SQL.
+_TERMS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op11_positional_index"] = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ws FROM documents), b AS (SELECT item_id, {_TERMS} AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, ws[i : i + least(len(ws), 10) - 1] AS t
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT len(t) AS n FROM iw),
+dw AS (SELECT doc_id, i, n, ws[i : i + n - 1] AS t FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d JOIN sizes ON n <= len(ws))),
+f AS MATERIALIZED (SELECT doc_id, i, n, item_id FROM dw JOIN iw USING (t)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM f) GROUP BY 1),
+own AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM f) GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
