@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, licenses, linetemplates, media, neardup, packing, postings, ppm, repeats, resample, wordtable
+from . import digest, licenses, linetemplates, media, neardup, packing, postings, ppm, repeats, resample, target, wordtable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,28 @@ own AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 """
+
+
+@query
+def op12_target_resampling(spark, folder):
+    drawn = target.resample(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), percent=10, least=20, runs=1, buckets=10000)
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op12_target_resampling"] = rf"""
+WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+  FROM (SELECT unnest(range(256))::BIGINT AS i))),
+d AS (SELECT doc_id, {_TERMS} AS ws FROM documents), b AS (SELECT {_TERMS} AS ws FROM benchmark),
+dt AS (SELECT doc_id, unnest(ws) AS w FROM d), bt AS (SELECT unnest(ws) AS w FROM b),
+v AS (SELECT DISTINCT w FROM (SELECT w FROM dt UNION ALL SELECT w FROM bt)),
+x AS (SELECT w, list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(w) + 1), lambda i: ('0x' || substr(hex(w), 2 * i - 1, 2))::BIGINT)) AS bytes FROM v),
+h AS MATERIALIZED (SELECT w, xor(list_reduce(bytes, lambda c, y: xor(tab[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) % 10000 AS k FROM x, tab),
+s AS (SELECT k, count(*) AS s FROM dt JOIN h USING (w) GROUP BY 1), t AS (SELECT k, count(*) AS t FROM bt JOIN h USING (w) GROUP BY 1),
+g AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + 10000)
+  / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + 10000)))) AS g FROM s FULL JOIN t USING (k)),
+wt AS (SELECT doc_id, floor(sum(g) / count(*))::BIGINT AS weight FROM dt JOIN h USING (w) JOIN g USING (k) GROUP BY 1),
+sc AS (SELECT doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN wt USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sc WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM sc LEFT JOIN r USING (doc_id)
+"""
