@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, licenses, linetemplates, media, neardup, packing, postings, ppm, repeats, resample, target, wordtable
+from . import codes, digest, licenses, linetemplates, media, neardup, packing, postings, ppm, repeats, resample, target, wordtable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,3 +168,32 @@ sc AS (SELECT doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight,
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sc WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM sc LEFT JOIN r USING (doc_id)
 """
+
+
+@query
+def op13_member_lloyd(spark, folder):
+    coded = codes.compress(spark.read.parquet(f"{folder}/embeddings.parquet"), parts=4, entries=256, rounds=4, scale=1024)
+    return coded.withColumnRenamed("id", "vec_id")
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Rounds written out: ``a`` assigns parts, ``b`` holds entries."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, p, min(d * 256 + e) AS m FROM (SELECT r, p, e, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN b{k} USING (p, j) GROUP BY 1, 2, 3) GROUP BY 1, 2)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT p, e, j, coalesce(n, c) AS c FROM b{k} LEFT JOIN
+  (SELECT p, m % 256 AS e, j, floor(sum(x) / count(*))::BIGINT AS n FROM x JOIN a{k} USING (r, p) GROUP BY 1, 2, 3) USING (p, e, j))""")
+    return ",\n".join(steps)
+
+
+ORACLES["op13_member_lloyd"] = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (SELECT r, (i - 1) // (n // 4) AS p, (i - 1) % (n // 4) AS j, v[i] AS x FROM (SELECT r, v, len(v) AS n, unnest(range(1, len(v) + 1)) AS i FROM v)),
+b0 AS MATERIALIZED (SELECT p, e, j, x AS c FROM x JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM v) USING (r) WHERE e < 256),
+{_lloyd_sql(4)},
+o AS MATERIALIZED (SELECT r, string_agg(lower(lpad(hex(m % 256), 2, '0')), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a4 GROUP BY 1),
+h AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, j)) AS s FROM b4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT s FROM h) AS codebooks_sha256 FROM v JOIN o USING (r)
+"""
