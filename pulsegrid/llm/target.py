@@ -23,9 +23,13 @@ def features(text: Column, runs: int = 1) -> Column:
     each = words(text)
     if runs == 1:
         return each
-    longer = [F.when(F.size(each) >= n, F.transform(F.sequence(F.lit(1), F.size(each) - (n - 1)), lambda i, n=n: F.array_join(F.slice(each, i, n), " ")))
-              .otherwise(F.array().cast("array<string>")) for n in range(2, runs + 1)]
-    return F.concat(each, *longer)
+    none = F.array().cast("array<string>")
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(each) - (n - 1))
+        return F.when(F.size(each) >= n, F.transform(starts, lambda i: F.array_join(F.slice(each, i, n), " "))).otherwise(none)
+
+    return F.concat(each, *[of(n) for n in range(2, runs + 1)])
 
 
 def bucket(feature: Column, buckets: int) -> Column:
