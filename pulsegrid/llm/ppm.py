@@ -48,7 +48,7 @@ def _canonical(texts: list[bytes], order: int):
     code = np.zeros(len(at), np.uint64)
     for j in range(order + 1):
         back = np.full(len(at), END, np.uint64)
-        back[j:] = data[: len(at) - j]
+        back[j:] = data[: max(0, len(at) - j)]
         back[place < j] = END
         code |= back << np.uint64(8 * j)
     return code.view(np.int64), text, words.view(np.int64), own
