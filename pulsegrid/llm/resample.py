@@ -84,7 +84,7 @@ def importance_weights(docs: DataFrame, target: DataFrame, key: str = "doc_id",
 def top_k_cut(scores: DataFrame, k: int, driver_rows: int = 100_000) -> tuple[float, int]:
     """The ``k``-th largest ``(sample_key, tie)`` of ``scores``; exact, with at most ``driver_rows`` rows read by the driver.
 
-    Quantile sketches narrow the range until it is small enough to read.
+    Quantile sketches narrow the range until it is small enough to read; where one leaves it as it was, the range is halved.
     """
     left, part = k, scores
     while True:
@@ -113,6 +113,11 @@ def top_k_cut(scores: DataFrame, k: int, driver_rows: int = 100_000) -> tuple[fl
                 left -= r["count"]
         else:
             left, part = left - above, within
+            if m == n:  # the sketch told nothing apart: halve the range, both halves have rows
+                mid = low + (high - low) / 2
+                upper = part.where(F.col("sample_key") > (mid if low <= mid < high else low))
+                more = upper.count()
+                left, part = (left, upper) if more >= left else (left - more, part.where(F.col("sample_key") <= (mid if low <= mid < high else low)))
 
 
 def gumbel_top_k(weights: DataFrame, k: int | None, seed: int = 1, temperature: float = 1.0) -> DataFrame:
@@ -161,7 +166,7 @@ def quality_sample(
     The sample size is the number of documents whose weight passes the cut that best parts the labelled rows (a lost good one costs four kept bad ones).
     Gumbel noise of scale 1 then decides near the cut only, since weights are sums over a whole text.
 
-    Null labels are ignored; contradicting labels count as bad.  Without bad labelled rows all documents are kept.
+    Null labels are ignored; contradicting labels count as bad; of a labelled id's rows the smallest weight is fitted.  Without bad labelled rows all documents are kept.
     Empty and null texts have weight 0, usually above the cut.  Repeated rows share one result.  An empty table gives an empty result.
     """
     known = (
@@ -171,7 +176,7 @@ def quality_sample(
     )
     known = written(known)
     weights = written(importance_weights(docs, known.where("good and not toxic"), key, text, buckets))
-    judged = weights.join(F.broadcast(known.where("good or not toxic")), "id").select("log_weight", "good").limit(2 * max_labelled).toPandas()
+    judged = weights.join(F.broadcast(known.where("good or not toxic")), "id").groupBy("id").agg(F.min("log_weight").alias("log_weight"), F.first("good").alias("good")).toPandas()
     cut = best_cut(judged.log_weight.to_numpy(float), judged.good.to_numpy(bool)) if len(judged) else None
     k = None if cut is None else weights.where(F.col("log_weight") >= cut).count()
     return gumbel_top_k(weights, k, seed)

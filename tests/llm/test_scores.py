@@ -140,6 +140,14 @@ def test_top_k_cut_with_ties(spark):
         assert resample.top_k_cut(scores, k, 10) == sorted(rows, reverse=True)[k - 1]
 
 
+@pytest.mark.parametrize("keys", [[1.0] * 200, [float(i % 10) for i in range(200)], [1.0, 1.0 + 2**-52] * 100, [-1e300, 0.0, 1e300, 5e-324] * 50])
+def test_top_k_cut_ends_with_few_keys(spark, keys):
+    rows = [(key, i * 7919 % 200) for i, key in enumerate(keys)]
+    scores = spark.createDataFrame(rows, "sample_key double, tie long")
+    for k in (1, 77, 200):
+        assert resample.top_k_cut(scores, k, 4) == sorted(rows, reverse=True)[k - 1]
+
+
 def test_best_cut_takes_the_middle_of_the_gap():
     weights, good = np.array([-100.0, -50, 1, 2, 3]), np.array([False, False, True, True, True])
     assert resample.best_cut(weights, good) == -24.5
