@@ -11,8 +11,12 @@ from .textbytes import SLICE_BYTES, grams, mix, raw, slices, words_of
 
 _BITS = np.uint64(51)
 _LOW = np.uint64((1 << 51) - 1)
-#: Leaders of a bucket in the second round and from then on at most; members that meet them in one part.
-FIRST_LEADERS, MOST_LEADERS, SLICE_MEMBERS = 64, 4096, 2048
+#: A bucket of so many members is searched in one part; of larger ones the members are looked up by their rare shingles.
+SMALL = 512
+#: Leaders of a round and members that meet them in one part, in what is left of rare shingles' buckets.
+LEADERS, SLICE_MEMBERS = 512, 2048
+#: Counts that order shingles by how common they are; sent to every task, so of fixed number.
+COUNTERS = 1 << 16
 SIGNED = "id long, n long, h1 long, h2 long, bands array<long>, sig binary"
 
 
@@ -95,10 +99,47 @@ def _likely(least: float):
     return run
 
 
+def _shingle_counts(size: int):
+    """How many shingles of these texts fall in each counter."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in slices(batches, "text"):
+            sets, _ = shingle_sets(raw(batch.column("text")), size)
+            total += np.bincount((mix(sets) >> np.uint64(48)).astype(np.int64), minlength=COUNTERS)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["counter", "n"])
+
+    return run
+
+
+def _rare_shingles(size: int, percent: int, common: np.ndarray):
+    """``(band, id, n)``: the rarest shingles of each text, as many as a linked text can't all lack.
+
+    Texts with ``100 * |A & B| >= percent * |A | B|`` share ``percent`` in 100 of either's shingles.  In any one order of
+    all shingles the first ``n - ceil(percent * n / 100) + 1`` of the two then meet.
+    """
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            sets, starts = shingle_sets(raw(batch.column("text")), size)
+            n = np.diff(starts)
+            own = np.repeat(np.arange(len(n)), n)
+            hashes = mix(sets)
+            order = np.lexsort((hashes, common[(hashes >> np.uint64(48)).astype(np.int64)], own))
+            place = np.arange(len(sets)) - np.repeat(starts[:-1], n)
+            first = place < np.repeat(n - -(-percent * n // 100) + 1, n)
+            pick, own = order[first], own[first]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[pick].view(np.int64)), batch.column("id").take(pa.array(own)), pa.array(n[own].astype(np.int64))], ["band", "id", "n"])
+
+    return run
+
+
 def _likely_inside(least: float, percent: int):
-    """Likely pairs of a leader and a member in parts of buckets; only these pairs leave the task, each from the first band that the two share.
+    """Likely pairs of a leader and a member in parts of buckets; only these pairs leave the task, where ``bands`` is given each from the first band that the two share.
 
-    Rows come sorted by ``band, slice``; a part has the leaders of its bucket (``lead``) and a bounded slice of its members.
+    Rows come sorted by ``band, slice``; a part has the leaders of its bucket (``lead``) and a bounded slice of its
+    other members; leaders meet each other in slice 0.
     """
 
     def run(batches):
@@ -108,15 +149,15 @@ def _likely_inside(least: float, percent: int):
             ids, n, comp, rank = (np.array([r[i] for r in rows], np.int64) for i in range(4))
             lead = np.array([r[4] for r in rows], bool)
             sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
-            bands = np.array([r[6] for r in rows], np.int64)
-            least_equal, member = least * sig.shape[1], np.flatnonzero(~lead)
+            bands = np.array([r[6] for r in rows], np.int64) if rows[0][6] is not None else None
+            least_equal, member = least * sig.shape[1], np.flatnonzero(~lead | (key[1] == 0))
             a, b = [], []
             for i in np.flatnonzero(lead).tolist():
                 fit = member[(comp[member] != comp[i]) & (rank[member] > rank[i])]
                 fit = fit[100 * np.minimum(n[fit], n[i]) >= percent * np.maximum(n[fit], n[i])]
                 if len(fit):
                     fit = fit[(sig[fit] == sig[i]).sum(1) >= least_equal]
-                    fit = fit[bands[i][(bands[fit] == bands[i]).argmax(1)] == key[0]] if len(fit) else fit
+                    fit = fit[bands[i][(bands[fit] == bands[i]).argmax(1)] == key[0]] if len(fit) and bands is not None else fit
                     a.append(np.full(len(fit), ids[i]))
                     b.append(ids[fit])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (a, b)], ["a", "b"])
@@ -174,6 +215,73 @@ def components(links: DataFrame) -> DataFrame:
     return where
 
 
+class _Search:
+    """Links found so far among representatives, their components, and the steps that look for more."""
+
+    def __init__(self, src: DataFrame, reps: DataFrame, words: int, percent: int, least: float):
+        self.src, self.reps, self.words, self.percent, self.least = src, reps, words, percent, least
+        self.links = self.linked = self.tried = self.texts = None
+
+    def _note(self, pairs: DataFrame) -> None:
+        """Confirm pairs on full sets; new links join components."""
+        pairs = pairs.distinct()
+        pairs = written(pairs.join(self.tried, ["a", "b"], "left_anti") if self.tried is not None else pairs)
+        side = lambda to: self.texts.select(F.col("id").alias(to), F.col("text").alias(f"t{to}"))
+        found = written(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_confirm(self.words, self.percent), "a long, b long"))
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        if self.links is None or not found.isEmpty():
+            self.links = found if self.links is None else self.links.unionByName(found)
+            self.linked = components(self.links)
+
+    def first(self, banded: DataFrame) -> DataFrame | None:
+        """Compare every member of a bucket with its smallest one; the other members, with ``lead``."""
+        shared = banded.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").drop("last")
+        members = written(banded.join(shared, "band"))
+        if members.isEmpty():
+            return None
+        if self.texts is None:
+            self.texts = written(self.src.join(members.select("id").distinct(), "id", "left_semi"))
+        size = self.reps.select(F.col("id").alias("lead"), F.col("n").alias("na")).distinct()
+        leads = members.where("id != lead").select("lead", "id", "n").distinct().join(size, "lead")
+        leads = leads.where(f"100 * least(n, na) >= {self.percent} * greatest(n, na)").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+        sig = lambda to: self.reps.select(F.col("id").alias(to), F.col("sig").alias(f"s{to}"))
+        self._note(leads.join(sig("b"), "b").join(sig("a"), "a").mapInArrow(_likely(self.least), "a long, b long"))
+        return members.where("id != lead").drop("lead")
+
+    def mixed(self, members: DataFrame) -> DataFrame:
+        """Members of buckets that still hold several components: with ``comp`` and the bucket's ``size``."""
+        now = members.join(self.linked, "id", "left").select("band", "id", "n", F.coalesce("comp", "id").alias("comp"))
+        several = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high")
+        return written(now.join(several.select("band", "size"), "band"))
+
+    def inside(self, parts: DataFrame, bands: bool) -> None:
+        """Compare leaders with later members in each ``(band, slice)``."""
+        signs = self.reps.select("id", "sig", "bands") if bands else self.reps.select("id", "sig", F.lit(None).cast("array<long>").alias("bands"))
+        full = parts.join(signs, "id").select("band", "slice", "id", "n", "comp", "rank", "lead", "sig", "bands")
+        full = full.repartition("band", "slice").sortWithinPartitions("band", "slice")
+        self._note(full.mapInArrow(_likely_inside(self.least, self.percent), "a long, b long"))
+
+    def rare(self, hot: DataFrame) -> None:
+        """All links among ``hot`` ids, by shingles that few texts share.
+
+        Unlinked texts that share a common passage don't meet here, as its shingles are common and come last in the order.
+        """
+        texts = written(self.texts.join(hot, "id", "left_semi"))
+        common = np.zeros(COUNTERS, np.int64)
+        for r in texts.mapInArrow(_shingle_counts(self.words), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
+            common[r.counter] = r.n
+        rest = self.first(texts.mapInArrow(_rare_shingles(self.words, self.percent, common), "band long, id long, n long"))
+        while rest is not None and not rest.isEmpty():
+            now = self.mixed(rest)
+            by_id = Window.partitionBy("band").orderBy("id")
+            leaders = now.select("band", "id").withColumn("k", F.row_number().over(by_id)).where(F.col("k") <= LEADERS)  # bounded before its shuffle
+            bound = leaders.groupBy("band").agg(F.max("id").alias("bound"))
+            now = written(now.join(bound, "band").withColumns({"lead": F.col("id") <= F.col("bound"), "rank": F.col("id"), "slices": F.floor((F.col("size") - 1) / SLICE_MEMBERS) + 1}))
+            own = F.when(F.col("lead"), F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("slices"))))
+            self.inside(now.withColumn("slice", F.explode(own)), bands=False)
+            rest = now.where("not lead").select("band", "id", "n")
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
     permutations: int = 128, rows: int = 6, least: float = 0.67,
@@ -193,10 +301,11 @@ def near_duplicates(
 
     Equal sets are merged before banding, so any number of copies is one entry.  In a
     bucket every entry is compared with the smallest one first; members that
-    ended in one component need no more comparison.  Only in buckets that still hold several
-    components the next 64, 1024, 4096, 4096, ... smallest are compared with the rest, by
-    signature inside bounded parts of the bucket, so that only likely pairs are written.  This ends
-    when no pair from different components is untried: no cap, no pair list of a whole group.
+    ended in one component need no more comparison.  Buckets of up to ``SMALL`` members that still hold several
+    components are then searched in one part, by signature, so that only likely pairs are written.  Members of larger
+    ones are texts that share much without being linked, such as a common passage.  They are looked up by their rarest
+    shingles, of which linked texts share one for certain; there too the smallest member comes first, and what is
+    left is searched by rounds of leaders.  This ends when no pair from different components is untried: no cap, no pair list of a whole group.
 
     Null or wordless texts have ``n_shingles`` 0, are linked with nothing and kept.  A row
     with null id is kept, with null component.  Repeated rows get equal results.  Only
@@ -206,52 +315,16 @@ def near_duplicates(
     signed = written(src.mapInArrow(_sign(words, permutations, rows), SIGNED))
     groups = signed.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     reps = written(signed.join(groups.withColumnRenamed("rep", "id"), ["h1", "h2", "id"], "left_semi").select("id", "n", "bands", "sig"))
-    banded = reps.select(F.explode("bands").alias("band"), "id", "n")
-    shared = banded.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").drop("last")
-    members = written(banded.join(shared, "band"))
-    fits = f"100 * least(n, na) >= {percent} * greatest(n, na)"
+    search = _Search(src, reps, words, percent, least)
+    members = search.first(reps.select(F.explode("bands").alias("band"), "id", "n"))
     linked = None
-    if not members.isEmpty():
-        wanted = members.select("id").distinct()
-        texts = written(src.join(wanted, "id", "left_semi"))
-        signs = reps.join(wanted, "id", "left_semi").select("id", "sig", "bands")
-        sigs = signs.select("id", "sig")
-
-        side = lambda t, c, to: t.select(F.col("id").alias(to), F.col(t.columns[1]).alias(c))
-
-        def confirmed(likely: DataFrame) -> DataFrame:
-            full = likely.join(side(texts, "tb", "b"), "b").join(side(texts, "ta", "a"), "a")
-            return full.mapInArrow(_confirm(words, percent), "a long, b long")
-
-        size = reps.select(F.col("id").alias("lead"), F.col("n").alias("na")).distinct()
-        leads = members.where("id != lead").select("lead", "id", "n").distinct()
-        pairs = leads.join(size, "lead").where(fits).select(F.col("lead").alias("a"), F.col("id").alias("b"))
-        pairs = pairs.join(side(sigs, "sb", "b"), "b").join(side(sigs, "sa", "a"), "a").mapInArrow(_likely(least), "a long, b long")
-        tried = written(pairs.distinct())
-        links = written(confirmed(tried))
-        linked = components(links)
-        rest, leaders = members.where("id != lead").drop("lead"), FIRST_LEADERS
-        while True:
-            now = rest.join(linked, "id", "left").select("band", "id", "n", F.coalesce("comp", "id").alias("comp"))
-            mixed = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-            now = now.join(mixed, "band", "left_semi")
-            bucket = Window.partitionBy("band")
-            rest = written(now.withColumn("rank", F.row_number().over(bucket.orderBy("id"))).withColumn("last", F.count("*").over(bucket)))
-            if rest.isEmpty():
-                break
-            slice_of = lambda c: F.floor((F.col(c) - 1) / SLICE_MEMBERS)
-            spots = F.array(F.struct(slice_of("rank").alias("slice"), F.lit(False).alias("lead")))
-            leads = F.transform(F.sequence(F.lit(0), slice_of("last")), lambda x: F.struct(x.alias("slice"), F.lit(True).alias("lead")))
-            parts = rest.join(signs, "id").withColumn("spot", F.explode(F.when(F.col("rank") <= leaders, F.concat(spots, leads)).otherwise(spots)))
-            parts = parts.select("band", "spot.slice", "id", "n", "comp", "rank", "spot.lead", "sig", "bands").repartition("band", "slice").sortWithinPartitions("band", "slice")
-            pairs = parts.mapInArrow(_likely_inside(least, percent), "a long, b long").distinct()
-            pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
-            more = written(confirmed(pairs))
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                linked = components(links)
-            tried = tried.unionByName(pairs)
-            rest, leaders = rest.where(F.col("rank") > leaders).select("band", "id", "n"), min(16 * leaders, MOST_LEADERS)
+    if members is not None:
+        mixed = search.mixed(members)
+        search.inside(mixed.where(F.col("size") <= SMALL).withColumns({"rank": F.col("id"), "lead": F.lit(True), "slice": F.lit(0).cast("long")}), bands=True)
+        hot = written(mixed.where(F.col("size") > SMALL).select("id").distinct())
+        if not hot.isEmpty():
+            search.rare(hot)
+        linked = search.linked
     if linked is not None:
         groups = groups.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("comp"))
     else:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulsegrid.llm import neardup
@@ -55,11 +56,12 @@ def test_components_match_brute_force(spark, seed, n):
     assert all(r.kept == (r.id == r.component_id) for r in got)
 
 
-def test_buckets_with_many_components_are_searched_to_the_end(spark, monkeypatch):
-    """Members that miss the first leader are found by later ones, in small rounds and slices."""
-    monkeypatch.setattr(neardup, "FIRST_LEADERS", 1)
-    monkeypatch.setattr(neardup, "MOST_LEADERS", 2)
-    monkeypatch.setattr(neardup, "SLICE_MEMBERS", 3)
+@pytest.mark.parametrize("small, leaders, slice_members", [(1000, 1, 3), (0, 1, 3), (0, 2, 1), (3, 50, 100)])
+def test_buckets_with_many_components_are_searched_to_the_end(spark, monkeypatch, small, leaders, slice_members):
+    """Members that miss the first leader are found in one part, or by rare shingles and later leaders in small rounds and slices."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "LEADERS", leaders)
+    monkeypatch.setattr(neardup, "SLICE_MEMBERS", slice_members)
     draw = random.Random(5)
     shared, rows = draw.choices(WORDS, k=60), []
     for group in range(6):
@@ -100,3 +102,20 @@ def test_min_max_agreement_estimates_similarity():
     starts = np.array([0, 1000, 2000])
     sig = neardup.signatures(np.concatenate([a, b]), starts, 400)
     assert abs((sig[0] == sig[1]).mean() - 0.6) < 0.06
+
+
+def test_linked_texts_share_a_rare_shingle():
+    """Whatever the counters say, the chosen shingles of two texts at 0.8 meet."""
+    draw = random.Random(9)
+    for _ in range(60):
+        base = draw.choices(WORDS, k=draw.randrange(3, 60))
+        other = [draw.choice(WORDS) if draw.random() < 0.04 else w for w in base]
+        common = np.array(draw.choices(range(5), k=neardup.COUNTERS))
+        batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": [" ".join(base), " ".join(other)]})
+        picked = {}
+        for part in neardup._rare_shingles(2, 80, common)([batch]):
+            for band, i in zip(part.column("band").to_pylist(), part.column("id").to_pylist()):
+                picked.setdefault(i, set()).add(band)
+        a, b = ({tuple(ws[i : i + 2]) for i in range(len(ws) - 1)} for ws in (base, other))
+        if 100 * len(a & b) >= 80 * len(a | b):
+            assert picked[1] & picked[2]
