@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -31,3 +36,18 @@ def test_query_matches_sql(spark, con, name):
     rel = con.sql(contract.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(rel.columns, rel.fetchall())
+
+
+def test_entry_without_the_text_operators(tmp_path):
+    """The entry imports where the text package is absent, with the pipeline's file and without it."""
+    root = os.path.dirname(os.path.abspath(contract.__file__))
+    shutil.copytree(f"{root}/pulsegrid", tmp_path / "pulsegrid", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path)
+    say = "import __spark_entry__ as e; print(len(e.queries()), len(set(e.queries()) - set(e.QUERIES)), any(k.startswith(('op1', 'pipeline')) for k in e.queries()))"
+    for gone in ("", "corpus_pipeline.py"):
+        if gone and (tmp_path / gone).exists():
+            (tmp_path / gone).unlink()
+        out = subprocess.run([sys.executable, "-B", "-c", say], cwd=tmp_path, capture_output=True, text=True, check=True)
+        assert int(out.stdout.split()[0]) > 150 and out.stdout.split()[2] == "False"
