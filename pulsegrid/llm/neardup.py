@@ -13,8 +13,8 @@ _BITS = np.uint64(51)
 _LOW = np.uint64((1 << 51) - 1)
 #: A bucket of so many members is searched in one part; of larger ones the members are looked up by their rare shingles.
 SMALL = 512
-#: Leaders of a round and members that meet them in one part, in what is left of rare shingles' buckets.
-LEADERS, SLICE_MEMBERS = 512, 2048
+#: Leaders of a round, and shingles of members that meet them in one part, in what is left of rare shingles' buckets.
+LEADERS, SLICE_SHINGLES = 2048, 1 << 19
 #: Counts that order shingles by how common they are; sent to every task, so of fixed number.
 COUNTERS = 1 << 16
 SIGNED = "id long, n long, h1 long, h2 long, bands array<long>, sig binary"
@@ -135,43 +135,87 @@ def _rare_shingles(size: int, percent: int, common: np.ndarray):
     return run
 
 
+def _parts(batches, columns: list[str]):
+    """Rows of each ``(band, slice)``; they come sorted by both."""
+    key, rows = None, []
+    for batch in batches:
+        for now, part, *row in zip(*(batch.column(c).to_pylist() for c in ("band", "slice", *columns))):
+            if (now, part) != key:
+                if rows:
+                    yield key, rows
+                key, rows = (now, part), []
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def _pairs(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], ["a", "b"])
+
+
 def _likely_inside(least: float, percent: int):
-    """Likely pairs of a leader and a member in parts of buckets; only these pairs leave the task, where ``bands`` is given each from the first band that the two share.
+    """Likely pairs from different components in a small bucket; each from the first band that the two share."""
+
+    def run(batches):
+        for (band, _), rows in _parts(batches, ["id", "n", "comp", "sig", "bands"]):
+            ids, n, comp = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+            sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+            bands = np.array([r[4] for r in rows], np.int64)
+            a, b = [], []
+            for i in range(len(rows)):
+                fit = np.flatnonzero((comp != comp[i]) & (ids > ids[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+                fit = fit[(sig[fit] == sig[i]).sum(1) >= least * sig.shape[1]]
+                if len(fit):
+                    fit = fit[bands[i][(bands[fit] == bands[i]).argmax(1)] == band]
+                a += [ids[i]] * len(fit)
+                b += ids[fit].tolist()
+            yield _pairs(a, b)
+
+    return run
+
 
-    Rows come sorted by ``band, slice``; a part has the leaders of its bucket (``lead``) and a bounded slice of its
-    other members; leaders meet each other in slice 0.
+def _sets(size: int):
+    """``(id, shingles)`` as packed numbers."""
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            sets, starts = shingle_sets(raw(batch.column("text")), size)
+            packed = [sets[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["id", "shingles"])
+
+    return run
+
+
+def _links_inside(percent: int):
+    """Links that join components of one part, by full sets: one link for each two components that meet.
+
+    A part has the leaders of its bucket and a bounded slice of its other members; leaders meet each other in slice 0.
+    What a leader joins counts as one component from then on, so a part writes fewer links than it has members.
     """
 
     def run(batches):
-        key, rows = None, []
-
-        def flush():
-            ids, n, comp, rank = (np.array([r[i] for r in rows], np.int64) for i in range(4))
-            lead = np.array([r[4] for r in rows], bool)
-            sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
-            bands = np.array([r[6] for r in rows], np.int64) if rows[0][6] is not None else None
-            least_equal, member = least * sig.shape[1], np.flatnonzero(~lead | (key[1] == 0))
+        for (_, part), rows in _parts(batches, ["id", "comp", "rank", "shingles"]):
+            ids, comp, rank = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+            n = np.array([len(x) for x in sets], np.int64)
+            words, code = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.cumsum(n) - n
             a, b = [], []
-            for i in np.flatnonzero(lead).tolist():
-                fit = member[(comp[member] != comp[i]) & (rank[member] > rank[i])]
-                fit = fit[100 * np.minimum(n[fit], n[i]) >= percent * np.maximum(n[fit], n[i])]
-                if len(fit):
-                    fit = fit[(sig[fit] == sig[i]).sum(1) >= least_equal]
-                    fit = fit[bands[i][(bands[fit] == bands[i]).argmax(1)] == key[0]] if len(fit) and bands is not None else fit
-                    a.append(np.full(len(fit), ids[i]))
-                    b.append(ids[fit])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (a, b)], ["a", "b"])
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("band", "slice", "id", "n", "comp", "rank", "lead", "sig", "bands")]
-            for band, part, *row in zip(*columns):
-                if (band, part) != key:
-                    if rows:
-                        yield flush()
-                    key, rows = (band, part), []
-                rows.append(row)
-        if rows:
-            yield flush()
+            met = (rank == 0) | (part == 0)  # rank 0: not a leader
+            for i in sorted(np.flatnonzero(rank).tolist(), key=rank.__getitem__):
+                other = met & (comp != comp[i]) & ((rank == 0) | (rank > rank[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+                if not other.any():
+                    continue
+                own = np.zeros(len(words), bool)
+                own[code[starts[i] : starts[i] + n[i]]] = True
+                common = np.add.reduceat(own[code].astype(np.int64), starts)
+                linked = np.flatnonzero(other & (100 * common >= percent * (n + n[i] - common)))
+                for k in linked.tolist():
+                    if comp[k] != comp[i]:
+                        a.append(ids[i])
+                        b.append(ids[k])
+                        comp[comp == comp[k]] = comp[i]
+            yield _pairs(a, b)
 
     return run
 
@@ -254,11 +298,10 @@ class _Search:
         several = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high")
         return written(now.join(several.select("band", "size"), "band"))
 
-    def inside(self, parts: DataFrame, bands: bool) -> None:
-        """Compare leaders with later members in each ``(band, slice)``."""
-        signs = self.reps.select("id", "sig", "bands") if bands else self.reps.select("id", "sig", F.lit(None).cast("array<long>").alias("bands"))
-        full = parts.join(signs, "id").select("band", "slice", "id", "n", "comp", "rank", "lead", "sig", "bands")
-        full = full.repartition("band", "slice").sortWithinPartitions("band", "slice")
+    def inside(self, small: DataFrame) -> None:
+        """Compare all members of small buckets."""
+        full = small.join(self.reps.select("id", "sig", "bands"), "id").select("band", F.lit(0).alias("slice"), "id", "n", "comp", "sig", "bands")
+        full = full.repartition("band").sortWithinPartitions("band")
         self._note(full.mapInArrow(_likely_inside(self.least, self.percent), "a long, b long"))
 
     def rare(self, hot: DataFrame) -> None:
@@ -271,15 +314,24 @@ class _Search:
         for r in texts.mapInArrow(_shingle_counts(self.words), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
             common[r.counter] = r.n
         rest = self.first(texts.mapInArrow(_rare_shingles(self.words, self.percent, common), "band long, id long, n long"))
-        while rest is not None and not rest.isEmpty():
-            now = self.mixed(rest)
-            by_id = Window.partitionBy("band").orderBy("id")
-            leaders = now.select("band", "id").withColumn("k", F.row_number().over(by_id)).where(F.col("k") <= LEADERS)  # bounded before its shuffle
-            bound = leaders.groupBy("band").agg(F.max("id").alias("bound"))
-            now = written(now.join(bound, "band").withColumns({"lead": F.col("id") <= F.col("bound"), "rank": F.col("id"), "slices": F.floor((F.col("size") - 1) / SLICE_MEMBERS) + 1}))
-            own = F.when(F.col("lead"), F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("slices"))))
-            self.inside(now.withColumn("slice", F.explode(own)), bands=False)
-            rest = now.where("not lead").select("band", "id", "n")
+        if rest is None:
+            return
+        sets = written(texts.mapInArrow(_sets(self.words), "id long, shingles binary"))
+        while not (now := self.mixed(rest)).isEmpty():
+            # members of the components that have fewest members here lead; what the largest one holds need not
+            share = now.groupBy("band", "comp").agg(F.count("*").alias("many"))
+            order = Window.partitionBy("band").orderBy("many", "comp", "id")
+            leaders = now.join(share, ["band", "comp"]).select("band", "id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= LEADERS)
+            now = written(now.join(leaders, ["band", "id"], "left").withColumn("rank", F.coalesce("rank", F.lit(0))))
+            parts = now.groupBy("band").agg((F.floor(F.sum("n") / SLICE_SHINGLES) + 1).alias("slices"))
+            own = F.when(F.col("rank") > 0, F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("slices"))))
+            full = now.join(parts, "band").withColumn("slice", F.explode(own)).join(sets, "id").select("band", "slice", "id", "comp", "rank", "shingles")
+            full = full.repartition("band", "slice").sortWithinPartitions("band", "slice")
+            found = written(full.mapInArrow(_links_inside(self.percent), "a long, b long").distinct())
+            if not found.isEmpty():
+                self.links = self.links.unionByName(found)
+                self.linked = components(self.links)
+            rest = now.where("rank = 0").select("band", "id", "n")
 
 
 def near_duplicates(
@@ -304,8 +356,9 @@ def near_duplicates(
     ended in one component need no more comparison.  Buckets of up to ``SMALL`` members that still hold several
     components are then searched in one part, by signature, so that only likely pairs are written.  Members of larger
     ones are texts that share much without being linked, such as a common passage.  They are looked up by their rarest
-    shingles, of which linked texts share one for certain; there too the smallest member comes first, and what is
-    left is searched by rounds of leaders.  This ends when no pair from different components is untried: no cap, no pair list of a whole group.
+    shingles, of which linked texts share one for certain; there too the smallest member comes first, and in what is
+    left members of the smaller components lead: they are compared on full sets inside bounded parts, which write
+    one link for two components that meet.  This ends when no pair from different components is untried: no cap, no pair list of a whole group.
 
     Null or wordless texts have ``n_shingles`` 0, are linked with nothing and kept.  A row
     with null id is kept, with null component.  Repeated rows get equal results.  Only
@@ -320,7 +373,7 @@ def near_duplicates(
     linked = None
     if members is not None:
         mixed = search.mixed(members)
-        search.inside(mixed.where(F.col("size") <= SMALL).withColumns({"rank": F.col("id"), "lead": F.lit(True), "slice": F.lit(0).cast("long")}), bands=True)
+        search.inside(mixed.where(F.col("size") <= SMALL))
         hot = written(mixed.where(F.col("size") > SMALL).select("id").distinct())
         if not hot.isEmpty():
             search.rare(hot)

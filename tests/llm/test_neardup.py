@@ -56,12 +56,12 @@ def test_components_match_brute_force(spark, seed, n):
     assert all(r.kept == (r.id == r.component_id) for r in got)
 
 
-@pytest.mark.parametrize("small, leaders, slice_members", [(1000, 1, 3), (0, 1, 3), (0, 2, 1), (3, 50, 100)])
-def test_buckets_with_many_components_are_searched_to_the_end(spark, monkeypatch, small, leaders, slice_members):
+@pytest.mark.parametrize("small, leaders, slice_shingles", [(1000, 1, 300), (0, 1, 300), (0, 2, 1), (3, 50, 1000000)])
+def test_buckets_with_many_components_are_searched_to_the_end(spark, monkeypatch, small, leaders, slice_shingles):
     """Members that miss the first leader are found in one part, or by rare shingles and later leaders in small rounds and slices."""
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "LEADERS", leaders)
-    monkeypatch.setattr(neardup, "SLICE_MEMBERS", slice_members)
+    monkeypatch.setattr(neardup, "SLICE_SHINGLES", slice_shingles)
     draw = random.Random(5)
     shared, rows = draw.choices(WORDS, k=60), []
     for group in range(6):
