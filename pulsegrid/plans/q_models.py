@@ -211,13 +211,9 @@ def day_costs(t):
       FROM f JOIN n ON n.participant_id = f.participant_id AND n.period = f.period AND n.i = f.i + 1)
     SELECT participant_id, period, m AS steps, round(least(v0, v1, v2), 5) AS path_cost FROM f WHERE i = m""")
 def switching_path(t):
-    costs = day_costs(t)
-    path = SM.min_cost_path(costs, 25.0, ["participant_id", "period"]).select("participant_id", "period", "t_us", "state")
-    walked = path.join(costs, ["participant_id", "period", "t_us"])
-    runs = S.state_runs(walked, "state", ["participant_id", "period"], "t_us", time_is_us=True).groupBy("participant_id", "period").agg((F.count(F.lit(1)) - 1).alias("switches"))
-    paid = walked.groupBy("participant_id", "period").agg(F.count(F.lit(1)).alias("steps"), F.sum(F.element_at("costs", F.col("state") + 1)).alias("paid"))
-    out = paid.join(runs, ["participant_id", "period"])
-    return out.select("participant_id", "period", "steps", near(F.col("paid") + 25.0 * F.col("switches"), 5).alias("path_cost"))
+    path = SM.min_cost_path(day_costs(t), 25.0, ["participant_id", "period"], carry=["costs"])
+    paid = F.sum(F.element_at("costs", F.col("state") + 1)) + 25.0 * F.count_if("switched")
+    return path.groupBy("participant_id", "period").agg(F.count(F.lit(1)).alias("steps"), near(paid, 5).alias("path_cost"))
 
 
 @query("state_model")

@@ -126,9 +126,12 @@ def test_paths_over_slices_are_optimal(spark):
     draw = np.random.default_rng(6)
     costs = draw.integers(0, 9, (25, 3)).astype(float)
     df = spark.createDataFrame([("a", i, c.tolist()) for i, c in enumerate(costs)] + [(None, 0, [1.0, 0.0, 2.0])], "series string, t_us long, costs array<double>")
-    for width in (1, 4, 100):
-        got = SM.min_cost_path(df, 2.5, ["series"], slice_width=width).orderBy("t_us").collect()
+    whole = SM.min_cost_path(df, 2.5, ["series"]).orderBy("series", "t_us").collect()
+    for cut in ({"slice_width": 1}, {"slice_width": 4}, {"slice_width": 100}, {"max_rows": 1}, {"max_rows": 7}, {}):
+        got = SM.min_cost_path(df, 2.5, ["series"], **cut).orderBy("series", "t_us").collect()
+        assert got == whole
         path = [r.state for r in got if r.series == "a"]
+        assert [r.switched for r in got if r.series == "a"] == [False, *[x != y for x, y in zip(path, path[1:])]]
         value = costs[0]
         for c in costs[1:]:
             value = np.minimum(value, value.min() + 2.5) + c
@@ -137,6 +140,25 @@ def test_paths_over_slices_are_optimal(spark):
         assert [r.state for r in got if r.series is None] == [1]
 
 
+def test_many_series_of_any_length_walk_together(spark):
+    """Each of 300 series gets the path it has alone, in small and large batches, with a column carried along."""
+    draw = np.random.default_rng(12)
+    data = {f"s{i}": draw.integers(0, 9, (int(n), 4)).astype(float) for i, n in enumerate(draw.integers(1, 40, 300))}
+    rows = [(s, i, c.tolist(), f"{s}-{i}") for s, arr in data.items() for i, c in enumerate(arr)]
+    df = spark.createDataFrame(rows, "series string, t_us long, costs array<double>, mark string")
+    for cut in ({}, {"max_rows": 16}):
+        got = {}
+        for r in SM.min_cost_path(df, 3.0, ["series"], carry=["mark"], **cut).collect():
+            assert r.mark == f"{r.series}-{r.t_us}"
+            got.setdefault(r.series, {})[r.t_us] = r
+        for s, arr in data.items():
+            path = [got[s][i].state for i in range(len(arr))]
+            value = arr[0]
+            for c in arr[1:]:
+                value = np.minimum(value, value.min() + 3.0) + c
+            assert path_cost(arr, path, 3.0) == pytest.approx(value.min()) == got[s][0].cost
+
+
 def test_unfinished_fits_raise(spark):
     rows = spark.createDataFrame([("a", float(i), float(i * i % 7)) for i in range(12)], "participant_id string, x double, y double")
     with pytest.raises(RuntimeError):
