@@ -9,15 +9,16 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import LDA, BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.aggregate import safe_corr
 from ..session import cut_lineage
+from .gram import array_moments, discriminant_axes, dot, lasso_folds, principal_axes, whole
 from .ordered import salted_join
 from .regression import full_matrix, moments
 from .sessions import PID
@@ -261,18 +262,9 @@ def inertia(assigned: DataFrame, by: Sequence[str] = (), n_params: int | None =
     return out
 
 
-def lasso_cv(df: DataFrame, y: str, xs: Sequence[str], alphas: Sequence[float], folds: int = 5, seed: int = 0, parallelism: int = 4) -> DataFrame:
-    """Lasso with cross-validated penalty: mean r2 per penalty and final coefficients (ML-8)."""
-    rows = features(cut_lineage(df.dropna(subset=[y]).select(y, *xs)), xs)
-    lasso = LinearRegression(labelCol=y, elasticNetParam=1.0, maxIter=100)
-    grid = ParamGridBuilder().addGrid(lasso.regParam, list(alphas)).build()
-    cv = CrossValidator(estimator=lasso, estimatorParamMaps=grid, numFolds=folds, seed=seed, parallelism=parallelism,
-                        evaluator=RegressionEvaluator(labelCol=y, metricName="r2"))
-    model = cv.fit(rows)
-    best = int(np.argmax(model.avgMetrics))
-    coef = [float(c) for c in model.bestModel.coefficients]
-    out = [(float(a), float(m), i == best, coef if i == best else None) for i, (a, m) in enumerate(zip(alphas, model.avgMetrics))]
-    return df.sparkSession.createDataFrame(out, "alpha double, r2 double, best boolean, coefficients array<double>")
+def lasso_cv(df: DataFrame, y: str, xs: Sequence[str], alphas: Sequence[float], folds: int = 5, seed: int = 0, fold: Column | None = None) -> DataFrame:
+    """Lasso with cross-validated penalty (ML-8), see :func:`lasso_folds`; without ``fold`` rows are dealt by a hash of their values."""
+    return lasso_folds(df, y, xs, alphas, F.pmod(F.xxhash64(y, *xs, F.lit(seed)), F.lit(folds)) if fold is None else fold)
 
 
 def forest_cv(df: DataFrame, y: str, xs: Sequence[str], grid: dict[str, Sequence[int]], kind: str = "classifier", folds: int = 5, seed: int = 0, parallelism: int = 4) -> DataFrame:
@@ -291,11 +283,24 @@ def forest_cv(df: DataFrame, y: str, xs: Sequence[str], grid: dict[str, Sequence
     return df.sparkSession.createDataFrame(out, "setting string, score double, best boolean")
 
 
-def pca(df: DataFrame, cols: Sequence[str], k: int = 20) -> DataFrame:
-    """Projection on the first ``k`` principal components (ML-10)."""
-    rows = features(df, cols)
-    out = PCA(k=min(k, len(cols)), inputCol="features", outputCol="_pc").fit(rows).transform(rows)
-    return out.withColumn("components", vector_to_array("_pc")).drop("features", "_pc")
+def _as_vector(df: DataFrame, cols: str | Sequence[str]) -> tuple[DataFrame, str]:
+    return (df, cols) if isinstance(cols, str) else (df.withColumn("_vector", _as_row(cols)), "_vector")
+
+
+def pca(df: DataFrame, cols: str | Sequence[str], k: int = 20) -> DataFrame:
+    """``components``: the first ``k`` principal components of standardised values (ML-10).
+
+    ``cols`` names one array column, or several columns.  The largest weight of an axis is positive.
+    Rows with a null inside go.
+    """
+    rows, name = _as_vector(df, cols)
+    stats = array_moments(rows, name).collect()  # one row
+    out = whole(rows, name)
+    if not stats:
+        return out.select(*df.columns, F.array().cast("array<double>").alias("components"))
+    mean, inverse, axes, _ = principal_axes(stats[0], k)
+    parts = [dot(name, axis * inverse, (axis * inverse) @ mean) for axis in axes]
+    return out.select(*df.columns, F.array(*parts).alias("components"))
 
 
 def cca(df: DataFrame, xs: Sequence[str], ys: Sequence[str], reg: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
@@ -341,28 +346,19 @@ def cca(df: DataFrame, xs: Sequence[str], ys: Sequence[str], reg: float = 0.0, b
     return stats.mapInPandas(solve, schema).drop("_all")
 
 
-def discriminant(df: DataFrame, cols: Sequence[str], label: str, k: int = 2) -> DataFrame:
-    """Projection on the directions that part the labels best (ML-12).
+def discriminant(df: DataFrame, vector: str | Sequence[str], label: str, k: int = 2) -> DataFrame:
+    """Projection on the directions that part the labels best (ML-12): ``axis_1, axis_2, ...``.
 
-    Scatter matrices come from grouped covariances; a d x d eigenproblem runs
-    on the driver.
+    ``vector`` names one array column, or several columns.  One packed row of moments per label and task is
+    summed; a d x d eigenproblem runs on the driver.  Rows with a null inside go.  No rows give no axes.
     """
-    stats = moments(df, cols, [label]).select("n", "means", "covs").collect()  # one row per label
-    d, n = len(cols), sum(r.n for r in stats)
-    grand = sum(r.n * np.asarray(r.means) for r in stats) / n
-    within = sum(r.n * full_matrix(np.asarray(r.covs), d) for r in stats)
-    between = sum(r.n * np.outer(np.asarray(r.means) - grand, np.asarray(r.means) - grand) for r in stats)
-    w, v = np.linalg.eig(np.linalg.solve(within + 1e-9 * np.trace(within) / d * np.eye(d), between))
-    order = np.argsort(-w.real)[: min(k, d, max(len(stats) - 1, 1))]
-    out = df.dropna(subset=list(cols))
-    for j, i in enumerate(order):
-        vec = v[:, i].real
-        vec = vec / np.linalg.norm(vec) * (1.0 if vec[np.argmax(np.abs(vec))] >= 0 else -1.0)
-        axis = F.lit(0.0)
-        for c, weight, mean in zip(cols, vec, grand):
-            axis = axis + (F.col(c) - float(mean)) * float(weight)
-        out = out.withColumn(f"axis_{j + 1}", axis)
-    return out
+    rows, name = _as_vector(df, vector)
+    stats = array_moments(rows, name, [label]).collect()  # one row per label
+    out = whole(rows, name)
+    if stats:
+        grand, axes = discriminant_axes(stats, k)
+        out = out.withColumns({f"axis_{j + 1}": dot(name, axis, axis @ grand) for j, axis in enumerate(axes)})
+    return out.select(*df.columns, *[c for c in out.columns if c.startswith("axis_") and c not in df.columns])
 
 
 def topics(docs: DataFrame, k: int, words: str = "words", min_df: float = 1.0, rounds: int = 10, seed: int = 0, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.time import clock_hour, day_number, us
-from ..operators import aggregates as A, clustering as C, grid as G, impute as IM, segment as SG, sessions as S, states as SM, stats as ST, topk as TK, windows as W
+from ..operators import aggregates as A, clustering as C, gram as GM, grid as G, impute as IM, segment as SG, sessions as S, states as SM, stats as ST, topk as TK, windows as W
 from .q_aggregates import STATES, rounded
 from .q_sessions import RLE
 from .registry import near, query
@@ -101,8 +101,18 @@ def hierarchy(t):
 
 @query("pca")
 def pca(t):
-    e = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
-    return C.pca(e, [f"e{i}" for i in range(64)], 20).select("vec_id", "components")
+    return C.pca(t.embeddings.select("vec_id", "embedding"), "embedding", 20).select("vec_id", "components")
+
+
+@query("label_moments", """
+    WITH e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    c AS (SELECT a.label, a.i, b.i AS j, covar_pop(a.x, b.x) AS c, avg(a.x) AS m, count(*) AS n FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.label = b.label AND a.i <= b.i GROUP BY 1, 2, 3)
+    SELECT label, n, i, j, round(m, 8) AS mean, round(c, 8) AS cov FROM c""")
+def label_moments(t):
+    rows = GM.array_moments(t.embeddings, "embedding", ["label"]).filter("label is not null")
+    cells = F.flatten(F.transform(F.sequence(F.lit(1), F.size("means")), lambda i: F.transform(F.sequence(i, F.size("means")), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    cell = rows.select("label", "n", "means", F.explode(F.arrays_zip(cells.alias("at"), F.col("covs").alias("cov"))).alias("x"))
+    return cell.select("label", "n", F.col("x.at.i").cast("long").alias("i"), F.col("x.at.j").cast("long").alias("j"), near(F.col("means")[F.col("x.at.i") - 1], 8).alias("mean"), near(F.col("x.cov"), 8).alias("cov"))
 
 
 @query("cca")
@@ -112,13 +122,36 @@ def cca(t):
 
 @query("discriminant")
 def discriminant(t):
-    e = t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
-    return C.discriminant(e, [f"e{i}" for i in range(16)], "label").select("vec_id", "label", "axis_1", "axis_2")
+    return C.discriminant(t.embeddings.select("vec_id", "label", "embedding"), "embedding", "label").select("vec_id", "label", "axis_1", "axis_2")
+
+
+LASSO = [0.1, 10.0, 1000.0, 5000.0]
+
+
+def lasso_sql(alphas, rounds=60):
+    """Coordinate descent written out for three standardised columns, per fold left out (-1: none) and penalty."""
+    soft = lambda x: f"sign({x}) * greatest(abs({x}) - alpha, 0)"
+    b1, b2, b3 = "c1 - r12 * b2 - r13 * b3", "c2 - r12 * n1 - r23 * b3", "c3 - r13 * n1 - r23 * n2"
+    return f"""
+    WITH RECURSIVE r AS (SELECT (l_orderkey * 7 + l_linenumber) % 3 AS fold, l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS x1, l_discount::DOUBLE AS x2, l_tax::DOUBLE AS x3 FROM lineitem),
+    o AS (SELECT unnest([-1, 0, 1, 2]) AS out), al AS (SELECT unnest({alphas}) AS alpha),
+    g AS (SELECT out, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, stddev_pop(x3) AS s3,
+      covar_pop(x1, y) / stddev_pop(x1) AS c1, covar_pop(x2, y) / stddev_pop(x2) AS c2, covar_pop(x3, y) / stddev_pop(x3) AS c3, corr(x1, x2) AS r12, corr(x1, x3) AS r13, corr(x2, x3) AS r23 FROM r JOIN o ON fold <> out GROUP BY 1),
+    it AS (SELECT out, alpha, 0 AS k, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3 FROM o, al
+      UNION ALL SELECT out, alpha, k + 1, n1, n2, {soft(b3)} FROM (SELECT *, {soft(b2)} AS n2 FROM (SELECT it.*, g.* EXCLUDE (out), {soft(b1)} AS n1 FROM it JOIN g USING (out) WHERE k < {rounds}))),
+    f AS (SELECT out, alpha, b1 / s1 AS b1, b2 / s2 AS b2, b3 / s3 AS b3, my - b1 / s1 * m1 - b2 / s2 * m2 - b3 / s3 * m3 AS b0 FROM it JOIN g USING (out) WHERE k = {rounds}),
+    t AS (SELECT fold, avg(y) AS ty FROM r GROUP BY 1),
+    e AS (SELECT alpha, fold, 1 - sum((y - b0 - b1 * x1 - b2 * x2 - b3 * x3) ** 2) / sum((y - ty) ** 2) AS r2 FROM r JOIN t USING (fold) JOIN f ON f.out = r.fold GROUP BY 1, 2),
+    w AS (SELECT alpha, avg(r2) AS r2, max(CASE WHEN fold = 0 THEN r2 END) AS r2_0, max(CASE WHEN fold = 1 THEN r2 END) AS r2_1, max(CASE WHEN fold = 2 THEN r2 END) AS r2_2 FROM e GROUP BY 1)
+    SELECT alpha, round(r2, 8) AS r2, round(r2_0, 8) AS r2_0, round(r2_1, 8) AS r2_1, round(r2_2, 8) AS r2_2, r2 = max(r2) OVER () AS best, round(b0, 4) AS b0, round(b1, 4) AS b1, round(b2, 4) AS b2, round(b3, 4) AS b3
+    FROM w JOIN f USING (alpha) WHERE out = -1"""
 
 
-@query("lasso_cv")
+@query("lasso_cv", lasso_sql(LASSO))
 def lasso_cv(t):
-    return C.lasso_cv(t.lineitem.select("l_extendedprice", "l_quantity", "l_discount", "l_tax"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], [0.1, 10.0, 1000.0], folds=3)
+    out = C.lasso_cv(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], LASSO, fold=(F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 3)
+    b = [near(F.col("coefficients")[i], 4).alias(f"b{i + 1}") for i in range(3)]
+    return out.select("alpha", near("r2", 8).alias("r2"), *[near(F.col("fold_r2")[i], 8).alias(f"r2_{i}") for i in range(3)], "best", near("intercept", 4).alias("b0"), *b)
 
 
 @query("rf_cv")
