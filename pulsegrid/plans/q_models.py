@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.time import clock_hour, day_number, us
-from ..operators import aggregates as A, clustering as C, gram as GM, grid as G, impute as IM, segment as SG, sessions as S, states as SM, stats as ST, topk as TK, windows as W
+from ..operators import aggregates as A, clustering as C, gram as GM, grid as G, impute as IM, mixtures as MX, segment as SG, sessions as S, states as SM, stats as ST, topk as TK, windows as W
 from .q_aggregates import STATES, rounded
 from .q_sessions import RLE
 from .registry import near, query
@@ -58,6 +58,24 @@ def gmm_states(t):
     return out.groupBy("cluster", "components").agg(F.count(F.lit(1)).alias("n"), F.avg("mean").alias("mean"))
 
 
+@query("gmm_by_participant")
+def gmm_by_participant(t):
+    rows = W.normalize(segments(t), ["hours", "mean"], ["participant_id"])
+    out = MX.mixture_by(rows, ["hours", "mean"], [1, 2, 3], ["participant_id"])
+    return out.select("participant_id", "start_us", "cluster", "components", "bic")
+
+
+@query("mixture_of_one", """
+    WITH {readings}, m AS (SELECT participant_id, count(*) AS n, avg(value) AS mx, avg(hour(ts)) AS my, var_pop(value) AS a, var_pop(hour(ts)) AS b, covar_pop(value, hour(ts)) AS c FROM r GROUP BY 1),
+    s AS (SELECT *, a + 0.01 / n AS ra, b + 0.01 / n AS rb FROM m), e AS (SELECT *, ra * rb - c * c AS det FROM s),
+    l AS (SELECT *, -n / 2 * (2 * ln(2 * pi()) + ln(det) + (rb * a + ra * b - 2 * c * c) / det) AS loglik FROM e)
+    SELECT participant_id, n, round(mx, 6) AS mean, round(my, 6) AS hour, round(loglik, 5) AS loglik, round(5 * ln(n) - 2 * loglik, 5) AS bic FROM l""")
+def mixture_of_one(t):
+    rows = t.readings.select("participant_id", F.array(F.col("value").cast("double"), F.hour("ts").cast("double")).alias("v"))
+    fits = MX.fit_mixtures(rows, "v", [1], ["participant_id"], tol=1e-12)
+    return fits.select("participant_id", "n", near(F.col("params")[1], 6).alias("mean"), near(F.col("params")[2], 6).alias("hour"), near("loglik", 5).alias("loglik"), near("bic", 5).alias("bic"))
+
+
 @query("dp_means")
 def dp_means(t):
     rows = W.normalize(segments(t), ["hours", "mean"], [])
