@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.time import clock_hour, day_number, us
-from ..operators import aggregates as A, regression as R, stats as ST, windows as W
+from ..operators import aggregates as A, neighbours as NB, regression as R, stats as ST, windows as W
 from .q_aggregates import STATES, rounded
 from .registry import near, query
 
@@ -208,3 +208,13 @@ def hist_mi(t):
 @query("knn_entropy")
 def knn_entropy(t):
     return ST.knn_entropy(t.readings.withColumn("us", us("ts")), "value", 3, tie=["us"])
+
+
+@query("knn_entropy_joint", """
+    WITH {readings}, p AS (SELECT participant_id, row_number() OVER () AS i, value / 50 AS x, hour(ts) / 12.0::DOUBLE AS y FROM r),
+    d AS (SELECT a.participant_id, a.i, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM p a JOIN p b ON a.participant_id = b.participant_id AND a.i <> b.i QUALIFY row_number() OVER (PARTITION BY a.i ORDER BY d) = 3)
+    SELECT participant_id, count(*) AS n, round(2 * avg(ln(d + 2.220446049250313e-16)) + ln(pi()) + list_sum(list_transform(range(1, count(*)), lambda j: 1.0::DOUBLE / j)) - 1.5, 6) AS entropy FROM d GROUP BY 1 HAVING count(*) > 3""")
+def knn_entropy_joint(t):
+    rows = t.readings.withColumns({"x": F.col("value") / 50, "y": F.hour("ts") / 12.0})
+    out = NB.knn_entropy(rows, ["x", "y"], 3)
+    return out.select("participant_id", "n", near("entropy", 6).alias("entropy"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.time import DAY, day_number, us
-from ..operators import aggregates as A, grid as G, impute as IM, sessions as S, topk as TK, windows as W
+from ..operators import aggregates as A, grid as G, impute as IM, neighbours as NB, sessions as S, topk as TK, windows as W
 from .q_aggregates import STATES, rounded
 from .q_intervals import SES, TWO, two_tables
 from .registry import near, query
@@ -221,6 +221,19 @@ def knn_impute(t):
     return rounded(keyed(IM.fill_knn(src, "v", "f")).select("participant_id", "us", "v"), 4)
 
 
+@query("knn_fill_columns", f"""
+    WITH {{readings}}, v AS (SELECT participant_id, row_number() OVER () AS i, us, CASE WHEN us // 1000000 % 5 <> 0 THEN value / 50 END AS a, CASE WHEN us // 1000000 % 7 <> 0 THEN hour(ts)::DOUBLE END AS b, (us // 86400000000 % 7)::DOUBLE AS c FROM r),
+    g AS (SELECT participant_id, i, unnest(CASE WHEN a IS NULL AND b IS NULL THEN ['a', 'b'] WHEN a IS NULL THEN ['a'] ELSE ['b'] END) AS j FROM v WHERE a IS NULL OR b IS NULL),
+    d AS (SELECT g.i, g.j, CASE g.j WHEN 'a' THEN o.a ELSE o.b END AS x, sqrt((coalesce((q.a - o.a) ** 2, 0) + coalesce((q.b - o.b) ** 2, 0) + (q.c - o.c) ** 2) / (1 + CASE WHEN q.a - o.a IS NULL THEN 0 ELSE 1 END + CASE WHEN q.b - o.b IS NULL THEN 0 ELSE 1 END)) AS d
+      FROM g JOIN v q USING (i) JOIN v o ON o.participant_id = q.participant_id AND CASE g.j WHEN 'a' THEN o.a ELSE o.b END IS NOT NULL QUALIFY rank() OVER (PARTITION BY g.i, g.j ORDER BY d) <= 5),
+    f AS (SELECT i, j, sum(x / (d + 1e-6)) / sum(1 / (d + 1e-6)) AS f FROM d GROUP BY 1, 2)
+    SELECT participant_id, us, round(coalesce(a, fa.f), 4) AS a, round(coalesce(b, fb.f), 4) AS b, round(c, 4) AS c FROM v LEFT JOIN f fa ON fa.i = v.i AND fa.j = 'a' LEFT JOIN f fb ON fb.i = v.i AND fb.j = 'b'""")
+def knn_fill_columns(t):
+    second = F.floor(us("ts") / 1000000)
+    src = t.readings.select("participant_id", us("ts").alias("us"), F.when(second % 5 != 0, F.col("value") / 50).alias("a"), F.when(second % 7 != 0, F.hour("ts").cast("double")).alias("b"), (F.floor(us("ts") / 86400000000) % 7).cast("double").alias("c"))  # whole numbers: equal distances are equal
+    return rounded(NB.fill_nearest(src, ["a", "b", "c"], 5), 4)
+
+
 @query("complete_groups", f"WITH {{readings}}, {GAPPY} SELECT participant_id, us FROM v WHERE participant_id IN (SELECT participant_id FROM v GROUP BY 1 HAVING avg(CASE WHEN v IS NULL THEN 0 ELSE 1.0 END) >= 0.8)")
 def complete_groups(t):
     return keyed(IM.only_if_complete(gappy(t), ["v"], 0.8)).select("participant_id", "us")
