@@ -33,10 +33,10 @@ def load(path: str):
     return _loaded[path]
 
 
-def encode_chunks(path: str, chunks: list[bytes]) -> list[bytes]:
-    """Ids of each chunk as little-endian unsigned 32-bit integers."""
+def encode_chunks(path: str, chunks: list[bytes], cached: int = CACHED_CHUNKS) -> list[bytes]:
+    """Ids of each chunk as little-endian unsigned 32-bit integers; the worker remembers ``cached`` to twice as many."""
     tokenizer, cache = load(path)
-    if len(cache[0]) > CACHED_CHUNKS:
+    if len(cache[0]) > cached:
         cache[:] = {}, cache[0]
     recent, older = cache
     fresh = []
@@ -64,10 +64,10 @@ def text_chunks(texts: list[bytes]):
     return chunks, which, own
 
 
-def encode_texts(path: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(path: str, texts: list[bytes], cached: int = CACHED_CHUNKS) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, and where each text's start (with the end last)."""
     chunks, which, own = text_chunks(texts)
-    ids = encode_chunks(path, chunks)
+    ids = encode_chunks(path, chunks, cached)
     flat = np.frombuffer(b"".join(ids), "<u4")
     size = np.array([len(x) // 4 for x in ids], np.int64)
     begin = np.cumsum(size) - size

@@ -13,10 +13,14 @@ from .store import written
 from .textbytes import raw, slices
 
 
+#: Chunks that a worker remembers here (about 200 bytes each): most distinct chunks of its tasks, which it then encodes once.
+REMEMBERED = 600_000
+
+
 def _encode(path: str, end_id: int):
     def run(batches):
         for batch in slices(batches, "text"):
-            ids, at = encode_texts(path, raw(batch.column("text")))
+            ids, at = encode_texts(path, raw(batch.column("text")), REMEMBERED)
             kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
             width, data, end = int(kind[-1]), ids.astype(kind).tobytes(), np.array([end_id], kind).tobytes()
             out = [data[a * width : b * width] + end for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
