@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bpe import default_tokenizer, encode_texts
 from .store import written
-from .textbytes import raw, slices
+from .textbytes import SLICE_BYTES, raw, slices
 
 
 #: Chunks that a worker remembers here (about 200 bytes each): most distinct chunks of its tasks, which it then encodes once.
@@ -19,7 +19,7 @@ REMEMBERED = 600_000
 
 def _encode(path: str, end_id: int):
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 * SLICE_BYTES):
             ids, at = encode_texts(path, raw(batch.column("text")), REMEMBERED)
             kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
             width, data, end = int(kind[-1]), ids.astype(kind).tobytes(), np.array([end_id], kind).tobytes()
