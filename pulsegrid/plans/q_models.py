@@ -248,6 +248,20 @@ def ngram_motifs(t):
     return rounded(out.select("participant_id", "motif", "length", "n", "expected"), 6)
 
 
+@query("maximal_motifs", f"""
+    WITH {{readings}}, {RLE}, sq AS (SELECT participant_id, list(state ORDER BY start_us) AS ss FROM runs GROUP BY 1),
+    pp AS (SELECT participant_id, ss, unnest(range(1, len(ss) + 1)) AS pos FROM sq), oc AS (SELECT participant_id, ss, pos, unnest(range(2, len(ss) - pos + 2)) AS length FROM pp),
+    gr AS (SELECT participant_id, array_to_string(ss[pos : pos + length - 1], '>') AS motif, length, list(pos ORDER BY pos) AS ps, list(DISTINCT CASE WHEN pos = 1 THEN '^' || pos ELSE ss[pos - 1] END) AS l,
+      list(DISTINCT coalesce(ss[pos + length], '$')) AS r, any_value(ss) AS ss, any_value(pos) AS pos FROM oc GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+    kp AS (SELECT *, list_reduce(list_prepend(1000000 + ps[1], ps[2:]), lambda a, x: CASE WHEN x - a % 1000000 >= length THEN (a // 1000000 + 1) * 1000000 + x ELSE a END) // 1000000 AS n FROM gr WHERE len(l) > 1 AND len(r) > 1),
+    tt AS (SELECT participant_id, count(*) AS total FROM runs GROUP BY 1), sh AS (SELECT participant_id, state, count(*) AS c FROM runs GROUP BY 1, 2),
+    ex AS (SELECT participant_id, motif, sum(ln(c / total)) AS lp FROM (SELECT participant_id, motif, unnest(string_split(motif, '>')) AS state FROM kp WHERE n >= 2) JOIN sh USING (participant_id, state) JOIN tt USING (participant_id) GROUP BY 1, 2)
+    SELECT participant_id, motif, length, n, round((total - length + 1) * exp(lp), 6) AS expected FROM kp JOIN tt USING (participant_id) JOIN ex USING (participant_id, motif) WHERE n >= 2""")
+def maximal_motifs(t):
+    out = SM.maximal_motifs(S.state_runs(t.readings, "state"), "state", 2)
+    return rounded(out.select("participant_id", "motif", "length", "n", "expected"), 6)
+
+
 def day_costs(t):
     v = F.col("value")
     return t.readings.select("participant_id", F.floor(day_number("ts") / 10).alias("period"), us("ts").alias("t_us"),

@@ -89,6 +89,44 @@ def greedy_counts(seq, n):
     return {g: len(v) for g, v in found.items()}
 
 
+def plain_repeats(seq, least):
+    """Every repeat whose neighbours differ on both sides, with occurrences apart from each other."""
+    found = {}
+    for n in range(2, len(seq)):
+        at = {}
+        for i in range(len(seq) - n + 1):
+            at.setdefault(">".join(seq[i:i + n]), []).append(i)
+        for gram, places in at.items():
+            left = {seq[i - 1] if i else ("start", i) for i in places}
+            right = {seq[i + n] if i + n < len(seq) else "end" for i in places}
+            if len(places) > 1 and len(left) > 1 and len(right) > 1:
+                kept = [places[0]]
+                for i in places[1:]:
+                    if i - kept[-1] >= n:
+                        kept.append(i)
+                if len(kept) >= least:
+                    found[gram] = len(kept)
+    return found
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_repeats_of_any_length(spark, least):
+    rng = np.random.default_rng(21)
+    walk = [str(x) for x in rng.integers(0, 4, 90)]
+    seqs = {"a": list("ABCABDABCABDABCABDEABCABDABC"), "long": walk + ["x"] + walk[5:70] + ["y"] + walk[20:], "b": list("AABAAABAABAABAAAB"), None: list("XYXYXYXYXYX"), "one": ["A"], "none": list("ABCD")}
+    rows = [(p, c, i * 3_600_000_000) for p, s in seqs.items() for i, c in enumerate(s)]
+    df = spark.createDataFrame(rows, "participant_id string, state string, start_us long")
+    got = {}
+    for r in SM.maximal_motifs(df.filter("participant_id is not null"), "state", least).collect():
+        assert r.length == r.motif.count(">") + 1
+        got.setdefault(r.participant_id, {})[r.motif] = r.n
+    assert least > 2 or max(m.count(">") for m in got["long"]) >= 64
+    for p, s in seqs.items():
+        if p is not None:
+            assert got.get(p, {}) == plain_repeats(s, least)
+    assert SM.maximal_motifs(df.limit(0), "state").collect() == []
+
+
 def test_motifs_match_greedy_count(spark):
     rng = np.random.default_rng(9)
     seqs = {"a": list("ABABABABCABCABCBABAB"), "b": []}
