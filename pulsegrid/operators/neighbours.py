@@ -24,7 +24,7 @@ _DOUBLES = T.ArrayType(T.DoubleType())
 
 
 def _tree(points: DataFrame, d: int, root: Column) -> tuple[DataFrame, list[DataFrame]]:
-    """Points with their leaf ``_node``, and per level the cuts ``_node -> _child`` with the children's boxes.
+    """Points with their leaf ``_node``, and per level the cuts ``_node -> _child`` with the children's boxes and least weights.
 
     Points of one root are distinct, and lack the same values if any.
     """
@@ -51,7 +51,7 @@ def _tree(points: DataFrame, d: int, root: Column) -> tuple[DataFrame, list[Data
         moved = open_.drop("_axis").join(cuts, "_node").withColumn("_child", F.xxhash64("_node", F.size(F.filter("_q", lambda q: F.col("_v")[F.col("_axis")] > q))))
         moved = cut_lineage(moved.select(*points.columns, "_node", "_child"))
         low, high = [F.array(*[f(F.col("_v")[i]) for i in range(d)]) for f in (F.min, F.max)]
-        levels.append(cut_lineage(moved.groupBy("_node", "_child").agg(low.alias("_low"), high.alias("_high"))))
+        levels.append(cut_lineage(moved.groupBy("_node", "_child").agg(low.alias("_low"), high.alias("_high"), F.min("_m").alias("_light"))))
         closed = at.join(large.select("_node"), "_node", "left_anti")
         done = closed if done is None else done.unionByName(closed)
         at = moved.select(*points.columns, F.col("_child").alias("_node"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.time import clock_hour, day_number, us
-from ..operators import aggregates as A, clustering as C, gram as GM, grid as G, impute as IM, mixtures as MX, segment as SG, sessions as S, states as SM, stats as ST, topk as TK, windows as W
+from ..operators import aggregates as A, clustering as C, gram as GM, grid as G, impute as IM, mixtures as MX, segment as SG, sessions as S, states as SM, stats as ST, topk as TK, ward as WD, windows as W
 from .q_aggregates import STATES, rounded
 from .q_sessions import RLE
 from .registry import near, query
@@ -117,6 +117,19 @@ def hierarchy(t):
     return C.hierarchy(scores(t), ["orders", "price", "balance"], 3).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("price").alias("price"))
 
 
+@query("ward")
+def ward(t):
+    rows = W.normalize(scores(t), ["orders", "price", "balance"], [])
+    out = WD.ward(rows, ["orders", "price", "balance"], 3)
+    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("price").alias("price"), F.avg("balance").alias("balance"))
+
+
+@query("ward_by_segment")
+def ward_by_segment(t):
+    rows = W.normalize(scores(t), ["orders", "price"], ["segment"])
+    return WD.ward(rows, ["orders", "price"], 4, ["segment"]).select("id", "segment", "cluster")
+
+
 @query("pca")
 def pca(t):
     return C.pca(t.embeddings.select("vec_id", "embedding"), "embedding", 20).select("vec_id", "components")
@@ -256,7 +269,7 @@ def ngram_motifs(t):
     kp AS (SELECT *, list_reduce(list_prepend(1000000 + ps[1], ps[2:]), lambda a, x: CASE WHEN x - a % 1000000 >= length THEN (a // 1000000 + 1) * 1000000 + x ELSE a END) // 1000000 AS n FROM gr WHERE len(l) > 1 AND len(r) > 1),
     tt AS (SELECT participant_id, count(*) AS total FROM runs GROUP BY 1), sh AS (SELECT participant_id, state, count(*) AS c FROM runs GROUP BY 1, 2),
     ex AS (SELECT participant_id, motif, sum(ln(c / total)) AS lp FROM (SELECT participant_id, motif, unnest(string_split(motif, '>')) AS state FROM kp WHERE n >= 2) JOIN sh USING (participant_id, state) JOIN tt USING (participant_id) GROUP BY 1, 2)
-    SELECT participant_id, motif, length, n, round((total - length + 1) * exp(lp), 6) AS expected FROM kp JOIN tt USING (participant_id) JOIN ex USING (participant_id, motif) WHERE n >= 2""")
+    SELECT participant_id, motif, length::INTEGER AS length, n, round((total - length + 1) * exp(lp), 6) AS expected FROM kp JOIN tt USING (participant_id) JOIN ex USING (participant_id, motif) WHERE n >= 2""")
 def maximal_motifs(t):
     out = SM.maximal_motifs(S.state_runs(t.readings, "state"), "state", 2)
     return rounded(out.select("participant_id", "motif", "length", "n", "expected"), 6)
