@@ -50,7 +50,7 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: No SQL for templates, hashing of n-grams and token ids; tests/llm holds brute-force forms.
+#: No SQL for templates, hashing of n-grams and token ids; tests/llm compares run() with the stages, and brute-force forms of single stages.
 ORACLE_SQL = None
 
 
