@@ -12,6 +12,11 @@ from .textbytes import joined, mix, raw, slices, span_hashes, word_spans
 LEADING = 3
 #: Told apart from hashes of lines with masked tokens.
 _VERBATIM = np.uint64(0x5851F42D4C957F2D)
+#: Stands for each token of a masked field; hashes are odd, that of a variable token is 0.
+_FIELD = 2
+_HIGH = ((1 << 64) - 1) ^ 0xFFFFFFFF
+#: A key with more than one in ``HOT`` of all rows is joined by broadcast; there are fewer than ``HOT`` of them.
+HOT = 1000
 
 
 def _tokens(texts: list[bytes]):
@@ -40,17 +45,6 @@ def _each(hashes, first, count):
     return mix(hashes.astype(np.uint64) + mix(place + np.uint64(1)))
 
 
-def _keys(hashes, first, count):
-    """Hash of each whole line and of its leaf: token count and leading tokens."""
-    each = _each(hashes, first, count)
-    line = mix(np.add.reduceat(each, first) + count.astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
-    leaf = mix(count.astype(np.uint64))
-    for i in range(LEADING):
-        has = count > i
-        leaf[has] = mix(leaf[has] + each[first[has] + i])
-    return line.view(np.int64), leaf.view(np.int64)
-
-
 def _kinds(hashes, first, count, least_tokens: int, similarity: float):
     """Which lines are compared verbatim, which by masks and which in the tree; and the number of constant tokens of each.
 
@@ -76,95 +70,52 @@ def _masked(hashes, first, count, short, constant):
     return np.concatenate([pick, owner[at]]), mix(keys).view(np.int64)
 
 
+def _fielded(hashes, first, count, tree, constant, similarity: float):
+    """``(line, key)`` of the lines of the tree: the line with one field masked, for each place where the field may lie.
+
+    A field is a run of tokens after the leading ones, as long as ``similarity`` lets differ; places are half a field apart.
+    A field that holds all constant tokens is not masked.
+    """
+    pick = np.flatnonzero(tree)
+    if not len(pick):
+        return pick, np.empty(0, np.int64)
+    each = _each(hashes, first, count)
+    blank = _each(np.full_like(hashes, _FIELD), first, count)
+    total = np.add.reduceat(each, first) + count.astype(np.uint64)
+    swap = np.concatenate([np.zeros(1, np.uint64), np.cumsum(blank - each)])
+    held = np.concatenate([[0], np.cumsum(hashes != 0)])
+    room = np.maximum(count[pick] - LEADING, 0)
+    width = np.minimum((count[pick] * (1 - similarity) + 1e-9).astype(np.int64), room)
+    step = np.maximum((width + 1) // 2, 1)
+    places = 1 + -(-(room - width) // step)
+    of = np.repeat(np.arange(len(pick)), places)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(places) - places, places)
+    start = (first[pick] + count[pick] - room)[of] + np.minimum(nth * step[of], (room - width)[of])
+    end = start + width[of]
+    rest = constant[pick][of] - (held[end] - held[start])
+    keys = total[pick][of] + np.where(rest > 0, swap[end] - swap[start], np.uint64(0))
+    return pick[of], mix(keys).view(np.int64)
+
+
 def _line_rows(least_tokens: int, verbatim_tokens: int, similarity: float):
-    """Every line of the tree; and, with null leaf, the keys under which other lines are counted."""
+    """Every line that may recur, with the keys of its templates, and where it stands."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             hashes, own, place, first, count, whole = _tokens(raw(batch.column("text")))
-            line, leaf = _keys(hashes, first, count)
             plain, short, tree, constant = _kinds(hashes, first, count, least_tokens, similarity)
             exact = np.flatnonzero(plain & (count >= verbatim_tokens))
-            verbatim = mix(np.add.reduceat(_each(whole, first, count), first) + count.astype(np.uint64) + _VERBATIM).view(np.int64) if len(first) else line
-            masked, keys = _masked(hashes, first, count, short, constant)
-            grown = np.flatnonzero(tree)
-            pick = np.concatenate([grown, exact, masked])
+            verbatim = np.add.reduceat(_each(whole, first, count), first) + count.astype(np.uint64) + _VERBATIM if len(first) else np.empty(0, np.uint64)
+            parts = [(exact, mix(verbatim[exact]).view(np.int64)), _masked(hashes, first, count, short, constant), _fielded(hashes, first, count, tree, constant, similarity)]
+            line, keys = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(line, kind="stable")
+            pick, sizes = np.unique(line, return_counts=True)
             take = pa.array(own[pick])
+            rid = batch.column("rid").take(take).to_numpy(zero_copy_only=False).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf[pick], mask=np.arange(len(pick)) >= len(grown)), pa.array(np.concatenate([line[grown], verbatim[exact], keys])),
-                 batch.column("id").take(take), batch.column("rid").take(take), pa.array(place[pick])],
-                ["leaf", "line", "id", "rid", "place"])
-
-    return run
-
-
-def _line_tokens(least_tokens: int, similarity: float):
-    """Tokens of each line of the tree, once per slice."""
-
-    def run(batches):
-        for batch in slices(batches, "text"):
-            hashes, _, _, first, count, _ = _tokens(raw(batch.column("text")))
-            line, leaf = _keys(hashes, first, count)
-            fit = np.flatnonzero(_kinds(hashes, first, count, least_tokens, similarity)[2])
-            _, once = np.unique(line[fit], return_index=True)
-            pick = fit[once]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf[pick]), pa.array(line[pick]),
-                 pa.array([hashes[a : a + n].tobytes() for a, n in zip(first[pick].tolist(), count[pick].tolist())], pa.binary())],
-                ["leaf", "line", "tokens"])
-
-    return run
-
-
-def fit_templates(rows: list[np.ndarray], similarity: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Templates of one leaf's lines (all of one length), and the template of each line.
-
-    A line joins the template with which it shares most tokens, if that is at least ``similarity`` of them and one
-    constant token; places where they differ turn variable (0).  Else it starts a template.
-    """
-    size, used = len(rows[0]), 0
-    known, of = np.zeros((16, size), np.int32), np.empty(len(rows), np.int64)
-    for i, row in enumerate(rows):
-        share = (known[:used] == row).sum(1)
-        best = int(share.argmax()) if used else 0
-        if used and share[best] >= similarity * size and ((known[best] == row) & (row != 0)).any():
-            known[best][known[best] != row] = 0
-        else:
-            if used == len(known):
-                known = np.concatenate([known, np.zeros_like(known)])
-            best, used = used, used + 1
-            known[best] = row
-        of[i] = best
-    return of, list(known[:used])
-
-
-def _templates(similarity: float, by: tuple[str, ...]):
-    """Per distinct line: its template, named after the template's first line, and the template's tokens.  Rows come sorted by ``by`` and line."""
-
-    def run(batches):
-        group, lines, rows, leaf_of = None, [], [], None
-
-        def flush():
-            of, known = fit_templates(rows, similarity)
-            names = {}
-            for line, t in zip(lines, of.tolist()):
-                names.setdefault(t, line)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([leaf_of] * len(lines)), pa.array(lines, pa.int64()), pa.array([names[t] for t in of.tolist()], pa.int64()),
-                 pa.array([known[t].tobytes() for t in of.tolist()], pa.binary())], ["leaf", "line", "template", "tokens"])
-
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in by)))
-            for key, leaf, line, tokens in zip(keys, batch.column("leaf").to_pylist(), batch.column("line").to_pylist(), batch.column("tokens").to_pylist()):
-                if key != group:
-                    if lines:
-                        yield flush()
-                    group, leaf_of, lines, rows = key, leaf, [], []
-                if not lines or lines[-1] != line:
-                    lines.append(line)
-                    rows.append(np.frombuffer(tokens, np.int32))
-        if lines:
-            yield flush()
+                [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys[order])),
+                 batch.column("id").take(take), pa.array((rid << 32) | place[pick])],
+                ["keys", "id", "spot"])
 
     return run
 
@@ -175,8 +126,8 @@ def _without():
     def run(batches):
         for batch in slices(batches, "text"):
             out, total, gone = [], [], []
-            for text, rid, rids, places in zip(raw(batch.column("text")), *(batch.column(c).to_pylist() for c in ("rid", "rids", "places"))):
-                drop = {p for r, p in zip(rids, places) if r == rid} if places else ()
+            for text, rid, spots in zip(raw(batch.column("text")), *(batch.column(c).to_pylist() for c in ("rid", "spots"))):
+                drop = {x & 0xFFFFFFFF for x in spots if (x ^ (rid << 32)) & _HIGH == 0} if spots else ()
                 lines = text.split(b"\n")
                 total.append(len(lines) if text else 0)
                 gone.append(len(drop))
@@ -188,48 +139,51 @@ def _without():
     return run
 
 
-TEMPLATE = "leaf long, line long, template long, tokens binary"
+def _beside(rows: DataFrame, table: DataFrame, total: int) -> DataFrame:
+    """Join on ``key``, one row per key in ``table`` with the count ``n`` of its rows.
+
+    Fewer than ``HOT`` keys can have more than ``total / HOT`` rows each: those are broadcast, all others meet by shuffle.
+    """
+    hot = F.col("n") * HOT > total
+    some = rows.join(F.broadcast(table.where(hot).select("key", F.col("first").alias("__hot"))), "key", "left")
+    cold = some.where("__hot is null").drop("__hot").join(table.where(~hot).select("key", "first"), "key")
+    return some.where("__hot is not null").withColumnRenamed("__hot", "first").unionByName(cold)
 
 
-def line_templates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, min_docs: int = 2, min_tokens: int = 3, leaf_lines: int = 4000,
-    min_verbatim: int = 3,
-):
-    """``(rows, templates)``: lines ``leaf, line, id, rid, place``, and for lines of leaves that reach ``min_docs`` lines their template and its tokens.
+def recurring_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, min_docs: int = 2, min_tokens: int = 3, min_verbatim: int = 3,
+) -> DataFrame:
+    """``id, spot`` of each line with a template that ``min_docs`` documents have, one with a smaller id among them.
 
-    A leaf of the tree is a token count and three leading tokens.  Distinct lines of a leaf meet in one task; a leaf of
-    more than ``leaf_lines`` is parsed in parts by line hash, and the templates of the parts are then parsed together.
+    The path of a line in the tree is its token count and three leading tokens; its templates are the line with one field masked
+    (see ``_fielded``), and variable tokens masked everywhere.  So two lines share a template if they differ in no more than
+    ``1 - similarity`` of their tokens and those lie in one field.  Which lines meet depends on those two lines alone, not on their
+    order or on the size of the table.
 
-    Rows with null leaf need no parsing, their ``line`` is a template: that of a line of less than ``min_tokens`` tokens or
-    without constant tokens is the line itself (from ``min_verbatim`` tokens on), and a line too short for ``similarity`` to let a token
-    differ has one row with variable tokens masked and one for each further masked token.
+    The template of a line of less than ``min_tokens`` tokens or without constant tokens is the line itself (from ``min_verbatim`` tokens
+    on); a line too short for ``similarity`` to let a token differ has the template with variable tokens masked, and one for each
+    further masked token.  The low 32 bits of ``spot`` are the line's number, the high ones tell rows of one id apart.
     """
     src = docs.select(F.col(f"`{key}`").cast("long").alias("id"), row_key(f"`{text}`").alias("rid"), F.col(f"`{text}`").alias("text")).where("id is not null")
-    rows = written(src.mapInArrow(_line_rows(min_tokens, min_verbatim, similarity), "leaf long, line long, id long, rid long, place long"))
-    busy = (
-        rows.where("leaf is not null").groupBy("leaf", "line").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("lines"))
-        .where(F.col("n") >= min_docs).select("leaf", F.ceil(F.col("lines") / leaf_lines).alias("parts"))
-    )
-    tokens = src.select("text").mapInArrow(_line_tokens(min_tokens, similarity), "leaf long, line long, tokens binary").join(written(busy), "leaf")
-    tokens = tokens.withColumn("part", F.pmod("line", "parts"))
-    fitted = written(
-        tokens.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line").select("leaf", "part", "parts", "line", "tokens")
-        .mapInArrow(_templates(similarity, ("leaf", "part")), TEMPLATE)
-    )
-    large = written(busy.where("parts > 1").select("leaf"))
-    if large.isEmpty():
-        return rows, fitted
-    heads = fitted.where("line = template").join(large, "leaf", "left_semi")
-    merged = heads.repartition("leaf").sortWithinPartitions("leaf", "line").select("leaf", "line", "tokens").mapInArrow(_templates(similarity, ("leaf",)), TEMPLATE)
-    merged = merged.select(F.col("line").alias("template"), F.col("template").alias("__to"), F.col("tokens").alias("__tokens"))
-    joined_up = fitted.join(merged, "template", "left")
-    return rows, joined_up.select("leaf", "line", F.coalesce("__to", "template").alias("template"), F.coalesce("__tokens", "tokens").alias("tokens"))
+    rows = written(src.mapInArrow(_line_rows(min_tokens, min_verbatim, similarity), "keys array<long>, id long, spot long"))
+    total = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
+    each = rows.select(F.explode("keys").alias("key"), "id", "spot")
+    if min_docs > 2:
+        known = each.groupBy("key", "id").agg(F.count("*").alias("m")).groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("docs"), F.sum("m").alias("n"))
+    else:  # two documents or more: the largest id is not the smallest
+        known = each.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+        known = known.select("key", "first", F.when(F.col("last") > F.col("first"), 2).otherwise(1).alias("docs"), "n")
+    wide = F.col("n") * HOT > total
+    # a key of many rows is kept even if it does not recur, so that its rows are not shuffled
+    first = F.when(F.col("docs") >= min_docs, F.col("first")).otherwise(F.lit((1 << 63) - 1))
+    known = written(known.where((F.col("docs") >= max(min_docs, 2)) | wide).select("key", first.alias("first"), "n"), release=True)
+    return _beside(each, known, total).where("id > first").select("id", "spot")
 
 
 def drop_recurring_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, min_docs: int = 2, min_tokens: int = 3, **options,
 ) -> DataFrame:
-    """``docs`` without lines whose template recurs in ``min_docs`` documents or more; then ``__n_lines``, ``__n_dropped``.
+    """``docs`` without lines whose template (see ``recurring_lines``) recurs in ``min_docs`` documents or more; then ``__n_lines``, ``__n_dropped``.
 
     The document with the smallest id keeps its lines of a template.  A template
     counts if at least one of its tokens is constant.  Lines of fewer than ``min_tokens`` tokens and lines of variable
@@ -237,26 +191,16 @@ def drop_recurring_lines(
     for ``similarity`` to let a token differ recurs if it equals others up to one token.
 
     A null text stays null and has no lines; a row with null id keeps its text and counts nowhere.  Rows with one id are one
-    document in the counts.  An empty table gives an empty result.  Only line hashes and ids are
-    grouped; a line that is in a third of all documents is one distinct line, sent once per slice.
+    document in the counts.  An empty table gives an empty result.  Only hashes and ids are grouped.
     """
     names = [c for c in docs.columns if c != text]
     src = docs.select(
         F.col(f"`{key}`").cast("long").alias("id"), row_key(f"`{text}`").alias("rid"), F.col(f"`{text}`").alias("text"),
         F.struct(F.lit(0).alias("__"), F.col(f"`{text}`").isNull().alias("__null"), *[F.col(f"`{c}`") for c in names]).alias("rest"),
     )
-    rows, templates = line_templates(docs, key, text, similarity, min_docs, min_tokens, **options)
-    constant = F.expr("exists(sequence(1, octet_length(tokens), 4), i -> substring(tokens, i, 4) != X'00000000')")
-    named = templates.where(constant).select("line", "template")
-    placed = rows.where("leaf is not null").join(named, "line").select("template", "id", "rid", "place")
-    placed = placed.unionByName(rows.where("leaf is null").select(F.col("line").alias("template"), "id", "rid", "place"))
-    recurring = (
-        placed.groupBy("template", "id").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-        .where(F.col("n") >= min_docs).select("template", "first")
-    )
-    drops = placed.join(recurring, "template").where("id > first").select("id", "rid", "place").groupBy("id").agg(F.collect_list("rid").alias("rids"), F.collect_list("place").alias("places"))
+    drops = recurring_lines(docs, key, text, similarity, min_docs, min_tokens, **options).groupBy("id").agg(F.collect_set("spot").alias("spots"))
     kinds = {f.name: f.dataType.simpleString() for f in src.schema.fields}
-    cut = src.join(drops, "id", "left").select("rid", "text", "rest", "rids", "places").mapInArrow(
+    cut = src.join(drops, "id", "left").select("rid", "text", "rest", "spots").mapInArrow(
         _without(), f"rest {kinds['rest']}, text string, n_lines long, n_dropped long")
     new = F.when(~F.col("rest.__null"), F.col("text"))
     return cut.select(*[new.alias(c) if c == text else F.col(f"rest.`{c}`") for c in docs.columns], F.col("n_lines").alias("__n_lines"), F.col("n_dropped").alias("__n_dropped"))

@@ -117,13 +117,53 @@ def test_recurring_templates_go_and_first_document_keeps_them(spark):
     assert linetemplates.drop_recurring_lines(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("leaf_lines", [4000, 3])
-def test_templates_match_brute_force(spark, leaf_lines):
-    """Lines differing in one word share a template; the parts of a large leaf are put together again."""
-    rows = [(i, f"alpha beta gamma delta epsilon {WORDS[i]}\nalpha beta gamma {WORDS[i]} {WORDS[i + 60]} {WORDS[i + 120]}") for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in linetemplates.drop_recurring_lines(docs, leaf_lines=leaf_lines).collect()}
-    assert got == {i: t if i == 0 else t.split("\n")[1] for i, t in rows}
+def _same_template(a: str, b: str) -> bool:
+    """Lines of five tokens and more: equal leading tokens, and all others equal outside one field."""
+    a, b = ([None if any(ch.isdigit() or ch == "@" for ch in w) or "://" in w else w for w in x.split()] for x in (a, b))
+    if len(a) != len(b) or a[:3] != b[:3]:
+        return False
+    differ = [i for i, (x, y) in enumerate(zip(a, b)) if x != y]
+    width = len(a) // 5
+    starts = [min(3 + k * ((width + 1) // 2), len(a) - width) for k in range(len(a))]
+    fields = [set(range(s, s + width)) for s in starts]
+    return any(set(differ) <= f and any(w is not None for i, w in enumerate(a) if i not in f) for f in fields) or (not differ and any(a))
+
+
+@pytest.mark.parametrize("parts,min_docs", [(1, 2), (7, 2), (3, 3)])
+def test_templates_match_brute_force(spark, parts, min_docs):
+    """All pairs of lines, whatever the order and number of partitions; ids are dealt so that smaller ones come later."""
+    draw, rows = random.Random(8), []
+    for i in range(60):
+        lines = []
+        for n in (5, 6, 9, 10, 12, 15, 23, 31):
+            base = random.Random(n).choices(WORDS, k=n)
+            at, wide = draw.randrange(2, n), draw.randint(1, max(1, n // 5))
+            base[at : at + wide] = [draw.choice(["x", "y", "7", "z9"]) for _ in base[at : at + wide]]
+            if draw.random() < 0.3:
+                base[draw.randrange(n)] = draw.choice(WORDS)
+            lines.append(" ".join(base))
+        lines.append(" ".join(["1"] * 4 + [draw.choice("pq")] * draw.randint(1, 2)))
+        rows.append((59 - i, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = {r.doc_id: r.text for r in linetemplates.drop_recurring_lines(docs, min_docs=min_docs).collect()}
+    held = [(i, x) for i, t in rows for x in t.split("\n")]
+    if min_docs == 2:
+        gone = {(i, x) for i, x in held if any(j < i and _same_template(x, y) for j, y in held)}
+        assert 0 < len(gone) < len(held)
+        assert got == {i: "\n".join(x for x in t.split("\n") if (i, x) not in gone) for i, t in rows}
+    else:
+        assert {i for i, _ in rows} == set(got) and sum(len(t) for t in got.values()) < sum(len(t) for _, t in rows)
+
+
+def test_long_lines_and_one_template_for_a_third_of_all_lines(spark):
+    long = " ".join(WORDS * 300)
+    rows = [(i, f"alpha beta gamma delta epsilon {WORDS[i]}\n{' '.join(random.Random(i).choices(WORDS, k=9))}\n{long if i % 2 else ''}") for i in range(200)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    got = linetemplates.drop_recurring_lines(docs).collect()
+    assert len(got) == 203
+    for r in got:
+        lines = rows[r.doc_id][1].split("\n")
+        assert r.text == "\n".join(x for k, x in enumerate(lines) if k == 1 or (k == 0 and r.doc_id == 0) or (k == 2 and r.doc_id < 2) or not x)
 
 
 def test_lines_of_two_documents_short_lines_and_fields_recur(spark):
