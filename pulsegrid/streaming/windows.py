@@ -11,7 +11,10 @@ from ..functions.time import us
 
 
 def session_stream(df: DataFrame, gap: str, pid: str = "participant_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Sessions by gap (SES-1).  A gap equal to the threshold splits here, unlike in the batch form."""
+    """Sessions by gap (SES-1): rows more than ``gap`` (an interval, "10 minutes") apart are split, as in ``sessions``.
+
+    Rows exactly a gap apart stay together, here too: Spark merges session windows that touch.  Rows may come in any order up to ``late`` behind the latest; a session is given out once the watermark has passed it.
+    """
     w = F.session_window(F.col(ts), gap)
     out = df.withWatermark(ts, late).groupBy(pid, w.alias("w")).agg(
         F.min(us(ts)).alias("start_us"), F.max(us(ts)).alias("end_us"), F.count(F.lit(1)).alias("n")

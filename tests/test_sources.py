@@ -1,10 +1,12 @@
 import gzip
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import labels as L, scoring as SC
+from pulsegrid.operators import sessions as SE
 from pulsegrid.sources import hygiene as HY, readers as RD, schemas, sinks as SK
 from pulsegrid.streaming import windows as SW
 
@@ -93,3 +95,29 @@ def test_streams_give_batch_columns(spark, stream, tmp_path):
         q.stop()
     assert sorted(r.n for r in spark.table("ses").collect()) == [1, 2]
     assert sorted(r.value for r in spark.table("res").collect()) == [1.0, 2.0, 3.0]
+
+
+def test_streamed_sessions_equal_batch_for_late_and_unordered_rows(spark, stream, tmp_path):
+    """Gaps of exactly the threshold, a microsecond more, and rows that come up to an hour late over several batches."""
+    draw, rows = random.Random(3), []
+    for p in "abc":
+        t = 0.0
+        for _ in range(60):
+            t += draw.choice([60.0, 599.999999, 600.0, 600.000001, 900.0])
+            rows.append((p, round(t, 6), 1.0))
+    rows.sort(key=lambda r: r[1] + draw.uniform(0, 1500))  # all less than half an hour late
+    want = {(r.participant_id, r.start_us, r.end_us, r.n) for r in SE.sessions(stream(rows), 600).collect()}
+    src, end = str(tmp_path / "in"), max(r[1] for r in rows)
+    schema = stream(rows).withColumn("ts", F.col("ts").cast("timestamp")).schema
+    os.makedirs(src)
+    live = SW.session_stream(spark.readStream.schema(schema).parquet(src), "10 minutes")
+    parts = [rows[i : i + 45] for i in range(0, len(rows), 45)] + [[("z", end + 90_000, 1.0)], [("z", end + 180_000, 1.0)]]
+    q = live.writeStream.format("memory").queryName("late_sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        for part in parts:
+            stream(part).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    got = [tuple(r) for r in spark.table("late_sessions").where("participant_id <> 'z'").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
