@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.time import DAY, HOUR, SECOND, day_number, us
-from ..operators import filters as FL, intervals as I, sessions as S
+from ..operators import excitation as EX, filters as FL, intervals as I, sessions as S
 from .q_sessions import gaps
 from .registry import near, query
 
@@ -223,6 +223,35 @@ def lag_summary(t):
     return out.withColumns({c: near(c, 2) for c in ("mean_lag", "std_lag", "bandwidth", "landmark_low", "landmark_high")})
 
 
+def _round_sql(r: int) -> str:
+    return f"""
+    l{r} AS MATERIALIZED (SELECT participant_id, us, s.i, any_value(s.n) AS n, any_value(mu) AS mu, any_value(mu) + coalesce(sum(alpha * s.s), 0) / 86400 AS rate
+          FROM s JOIN m{r} ON m{r}.i = s.i LEFT JOIN a{r} ON a{r}.i = s.i AND a{r}.j = s.j GROUP BY 1, 2, 3),
+    m{r + 1} AS MATERIALIZED (SELECT i, sum(n * mu / rate) / any_value(watched) AS mu FROM l{r}, w GROUP BY i),
+    a{r + 1} AS MATERIALIZED (SELECT a{r}.i, a{r}.j, coalesce(x.g, 0) / k.k AS alpha FROM a{r} JOIN k ON k.j = a{r}.j LEFT JOIN (
+          SELECT s.i, s.j, sum(s.n * alpha * s.s / 86400 / rate) AS g FROM s JOIN l{r} ON l{r}.participant_id = s.participant_id AND l{r}.us = s.us AND l{r}.i = s.i
+          JOIN a{r} ON a{r}.i = s.i AND a{r}.j = s.j GROUP BY s.i, s.j) x ON x.i = a{r}.i AND x.j = a{r}.j)"""
+
+
+@query("infectivity", f"""
+    WITH {{readings}}, ev AS MATERIALIZED (SELECT participant_id, us, state, count(*) AS n FROM r GROUP BY 1, 2, 3),
+    sp AS (SELECT participant_id, min(us) AS a, max(us) AS b FROM ev GROUP BY 1), w AS MATERIALIZED (SELECT sum(b - a) / 1e6 AS watched FROM sp),
+    k AS MATERIALIZED (SELECT state AS j, sum(n * (1 - exp(-(b - us) / 86400e6))) AS k, sum(n) AS n FROM ev JOIN sp ON sp.participant_id = ev.participant_id GROUP BY 1),
+    s AS MATERIALIZED (SELECT e.participant_id, e.us, e.state AS i, e.n, o.state AS j, sum(o.n * exp(-(e.us - o.us) / 86400e6)) AS s
+          FROM ev e LEFT JOIN ev o ON o.participant_id = e.participant_id AND o.us < e.us GROUP BY 1, 2, 3, 4, 5),
+    m0 AS (SELECT j AS i, 0.5 * n / watched AS mu FROM k, w), a0 AS (SELECT x.j AS i, y.j AS j, 0.1 AS alpha FROM k x, k y),
+    {",".join(_round_sql(r) for r in range(3))},
+    f AS (SELECT (SELECT sum(n * ln(rate)) FROM l2) - (SELECT sum(mu) FROM m2) * (SELECT watched FROM w)
+          - (SELECT sum(alpha * k.k) FROM a2 JOIN k ON k.j = a2.j) AS fit)
+    SELECT a3.j AS from_type, a3.i AS to_type, round(alpha, 6) AS infectivity, round(mu * 86400, 6) AS per_day, round(fit / 1000.0, 4) AS fit
+    FROM a3 JOIN m3 ON m3.i = a3.i, f""")
+def infectivity(t):
+    """Three rounds over all participants as one model; effects last a day on average."""
+    out = EX.infectivity(t.readings.withColumn("us", us("ts")), TYPES, "state", "us", ["participant_id"], 86400.0, rounds=3, tolerance=0)
+    return out.select("from_type", "to_type", near("infectivity", 6).alias("infectivity"), near(F.col("base_rate") * 86400, 6).alias("per_day"),
+                      near(F.col("log_likelihood") / 1000.0, 4).alias("fit"))
+
+
 @query("work_windows", """
     WITH {readings}, d AS (SELECT DISTINCT participant_id, us // 86400000000 AS day, CASE WHEN participant_id % 2 = 0 THEN 'day' ELSE 'night' END AS shift FROM r),
     n AS (SELECT *, lead(day) OVER (PARTITION BY participant_id ORDER BY day) AS nx FROM d),
