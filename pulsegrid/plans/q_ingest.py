@@ -1,10 +1,13 @@
 """Ingest hygiene, scalar functions, labels, scores."""
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import functions as F, types as T
 
 from ..functions import labels as L, scoring as SC, signal as SG
 from ..functions.time import from_unix, to_local, to_unix, us
-from ..sources import hygiene as HY, readers as R
+from ..session import shared_folder
+from ..sources import hygiene as HY, readers as R, sinks as SK
 from .registry import near, query
 
 
@@ -193,3 +196,19 @@ def hr_zones(t):
     z = salted_join(t.readings, top, ["participant_id"]).withColumn("z", SG.hr_zone("value", "top"))
     c = z.groupBy("participant_id").agg(*[F.count_if(F.col("z") == n).alias(n) for n in SG.ZONES])
     return c.withColumns({n: near(e, 8) for n, e in SG.zone_ratio(SG.ZONES).items()})
+
+
+@query("parts_round_trip", """
+    WITH {channels}
+    SELECT participant_id, CAST(us // 86400000000 AS BIGINT) AS day, count(*) AS n, CAST(sum(us) AS BIGINT) AS us, round(sum(value), 4) AS total
+    FROM r WHERE participant_id IN ('click', 'view') GROUP BY 1, 2""")
+def parts_round_trip(t):
+    """Daily parts are written, a second write skips them, and two participants are read back."""
+    path = f"{shared_folder(t.spark)}/parts-{uuid.uuid4().hex}"
+    rows = t.channels.select("participant_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+    SK.write_parts(rows, path)
+    SK.write_parts(rows.where("value > 0"), path, mode="ignore")
+    back = R.read_dated_parts(t.spark, path, T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("value", T.DoubleType())]))
+    back = back.where(F.col("participant_id").isin("click", "view"))
+    return back.groupBy("participant_id", F.unix_date("day").cast("bigint").alias("day")).agg(
+        F.count("*").alias("n"), F.sum(us("ts")).alias("us"), near(F.sum("value"), 4).alias("total"))

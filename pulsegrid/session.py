@@ -25,14 +25,11 @@ def build_session(app: str = "pulsegrid", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    Iterative drivers call this between rounds.  The data lands in shared
-    storage, so it outlives the executors that wrote it.  A folder is made
-    up only in local mode, where the machine is the cluster.
+    One is made up only in local mode, where the machine is the cluster.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,4 +38,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="pulsegrid-checkpoint-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the folder named by ``spark.checkpoint.dir``.
+
+    Iterative drivers call this between rounds.  The data lands in shared
+    storage, so it outlives the executors that wrote it.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -62,6 +62,15 @@ def read_parts(spark: SparkSession, folder: str, schema: T.StructType | None = N
     return read_stream_csv(spark, f"{folder}/*/*", schema, r"([^/]+)/[^/]+$", pid)
 
 
+def read_dated_parts(spark: SparkSession, path: str, schema: T.StructType, pid: T.StructField = T.StructField("participant_id", T.StringType())) -> DataFrame:
+    """Parts written by ``sinks.write_parts`` (SRC-3): the participant and ``day`` come from the folders.
+
+    Filters on those two choose folders before any file is opened.
+    """
+    whole = T.StructType([*schema.fields, pid, T.StructField("day", T.DateType())])
+    return spark.read.schema(whole).options(header=True, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
+
+
 def read_proximity(spark: SparkSession, path, min_rssi: int = 140) -> DataFrame:
     """Proximity stream above a signal cut-off (SRC-4)."""
     df = read_stream_csv(spark, path, schemas.PROXIMITY)

@@ -37,3 +37,13 @@ def write(df: DataFrame, path: str, pid: str = "participant_id", mode: str = "ov
     out = df.repartition(F.col(pid), spread)
     writer = out.write.mode(mode)
     (writer.partitionBy(pid) if by_partition else writer).parquet(path)
+
+
+def write_parts(df: DataFrame, path: str, pid: str = "participant_id", ts: str = "ts", mode: str = "errorifexists") -> None:
+    """Gzip CSV parts by participant and day, ``path/<pid>=../day=..`` (SINK-1); ``mode='ignore'`` skips existing output (SINK-3).
+
+    A day of a participant is one part; rows without a time go to the null day's folder.
+    """
+    out = df.withColumn("day", F.to_date(ts)).repartition(pid, "day")
+    # all six digits: the default writes milliseconds
+    out.write.mode(mode).options(header=True, compression="gzip", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS").partitionBy(pid, "day").csv(path)

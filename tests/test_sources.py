@@ -121,3 +121,18 @@ def test_streamed_sessions_equal_batch_for_late_and_unordered_rows(spark, stream
         q.stop()
     got = [tuple(r) for r in spark.table("late_sessions").where("participant_id <> 'z'").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_dated_parts_keep_microseconds_and_prune_folders(spark, stream, tmp_path):
+    path = str(tmp_path / "parts")
+    rows = stream([("a", 0.000001, 1.0), ("a", 86400, None), ("b b", 5, 0.1)])
+    SK.write_parts(rows, path)
+    SK.write_parts(rows.limit(0), path, mode="ignore")
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        SK.write_parts(rows, path)
+    back = RD.read_dated_parts(spark, path, rows.drop("participant_id").schema)
+    assert sorted(map(str, back.select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+    some = back.where("participant_id = 'a' and day = date'2024-01-02'")
+    assert some.count() == 1 and len(some.inputFiles()) == 3
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "day" in plan.split("PartitionFilters: [")[1].split("]")[0]
