@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from ..functions import labels as L, scoring as SC, signal as SG
 from ..functions.time import from_unix, to_local, to_unix, us
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from ..sources import hygiene as HY, readers as R, sinks as SK
 from .registry import near, query
 
@@ -210,5 +210,8 @@ def parts_round_trip(t):
     SK.write_parts(rows.where("value > 0"), path, mode="ignore")
     back = R.read_dated_parts(t.spark, path, T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("value", T.DoubleType())]))
     back = back.where(F.col("participant_id").isin("click", "view"))
-    return back.groupBy("participant_id", F.unix_date("day").cast("bigint").alias("day")).agg(
-        F.count("*").alias("n"), F.sum(us("ts")).alias("us"), near(F.sum("value"), 4).alias("total"))
+    days = cut_lineage(back.groupBy("participant_id", F.unix_date("day").cast("bigint").alias("day")).agg(
+        F.count("*").alias("n"), F.sum(us("ts").cast("decimal(20,0)")).cast("decimal(38,0)").alias("us"), near(F.sum("value"), 4).alias("total")))
+    # some 5000 rows a day fill 64 bits: beyond them the sums stay exact as decimals
+    fits = days.where(F.abs("us") > F.lit((1 << 63) - 1)).isEmpty()
+    return days.withColumn("us", F.col("us").cast("bigint")) if fits else days

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import labels as L, scoring as SC
 from pulsegrid.operators import sessions as SE
+from pulsegrid.plans import QUERIES
 from pulsegrid.sources import hygiene as HY, readers as RD, schemas, sinks as SK
 from pulsegrid.streaming import windows as SW
 
@@ -136,3 +137,17 @@ def test_dated_parts_keep_microseconds_and_prune_folders(spark, stream, tmp_path
     assert some.count() == 1 and len(some.inputFiles()) == 3
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_parts_round_trip_sums_beyond_64_bits(spark, tmp_path):
+    """6000 rows on one day: their microseconds since 1970 sum to more than a bigint holds; 10 rows stay a bigint."""
+    for n, kind in ((6000, "decimal(38,0)"), (10, "bigint")):
+        folder = str(tmp_path / str(n))
+        ts = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id")).cast("timestamp_ntz")
+        spark.range(n).select(
+            F.col("id").alias("event_id"), ts.alias("ts"), F.col("id").alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"),
+        ).write.parquet(f"{folder}/events.parquet")
+        out = QUERIES["parts_round_trip"](spark, folder)
+        assert dict(out.dtypes)["us"] == kind
+        row = out.collect()
+        assert [(r.participant_id, r.day, r.n, int(r.us), r.total) for r in row] == [("click", 19723, n, sum(1_704_067_200_000_000 + i for i in range(n)), float(n))]
