@@ -23,17 +23,18 @@ LEAF, WAYS, VISITORS = 1024, 16, 1024
 _DOUBLES = T.ArrayType(T.DoubleType())
 
 
-def _tree(points: DataFrame, d: int, root: Column) -> tuple[DataFrame, list[DataFrame]]:
+def _tree(points: DataFrame, d: int, root: Column, leaf: int | None = None, ways: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """Points with their leaf ``_node``, and per level the cuts ``_node -> _child`` with the children's boxes and least weights.
 
     Points of one root are distinct, and lack the same values if any.
     """
+    leaf, ways = leaf or LEAF, ways or WAYS
     at = points.withColumn("_node", root)
     levels, done = [], None
     while True:
         low, high = [F.array(*[f(F.col("_v")[i]) for i in range(d)]) for f in (F.min, F.max)]
         boxes = at.groupBy("_node").agg(F.count(F.lit(1)).alias("_n"), low.alias("_low"), high.alias("_high"))
-        large = boxes.filter(F.col("_n") > LEAF)
+        large = boxes.filter(F.col("_n") > leaf)
         sides = F.zip_with("_low", "_high", lambda a, b: b - a)
         large = cut_lineage(large.select("_node", "_n", "_low", "_high", (F.array_position(sides, F.array_max(sides)) - 1).cast("int").alias("_axis")))
         if large.isEmpty():
@@ -41,8 +42,8 @@ def _tree(points: DataFrame, d: int, root: Column) -> tuple[DataFrame, list[Data
         # widest side of the box; its values at quantiles, below the largest one, are the cuts
         open_ = at.join(large.select("_node", "_axis"), "_node")
         x = F.col("_v")[F.col("_axis")]
-        marks = [i / WAYS for i in range(1, WAYS)]
-        cuts = open_.groupBy("_node").agg(F.percentile_approx(x, F.array(*map(F.lit, marks)), F.lit(10 * WAYS)).alias("_q"))
+        marks = [i / ways for i in range(1, ways)]
+        cuts = open_.groupBy("_node").agg(F.percentile_approx(x, F.array(*map(F.lit, marks)), F.lit(10 * ways)).alias("_q"))
         side = lambda c: F.col(c)[F.col("_axis")]
         middle = side("_low") + (side("_high") - side("_low")) / 2
         middle = F.when(middle < side("_high"), middle).otherwise(side("_low"))

@@ -64,3 +64,48 @@ def test_heights(spark, monkeypatch):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "x double, y double")
     assert WD.ward(df, ["x", "y"]).collect() == []
+
+
+def test_rounds_inside_leaves_merge_only_what_is_cheaper_than_outside(spark, monkeypatch):
+    """Several groups and weights, leaves of a few clusters: members are those of one merge at a time, after several rounds."""
+    from pyspark.sql import functions as F
+
+    rounds = []
+    for name in ("_leaf_round", "_group_round"):
+        monkeypatch.setattr(WD, name, lambda *a, name=name, run=getattr(WD, name): rounds.append(name) or run(*a))
+    monkeypatch.setattr(WD, "WHOLE", 40)
+    rng = np.random.default_rng(8)
+    data = {g: np.concatenate([rng.normal(c, s, (50, 2)) for c, s in ((0, 1), (9, 0.1), (-30, 5))]) for g in ("a", None)}
+    rows = [(g, i, *map(float, v)) for g, x in data.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "g string, i int, x double, y double").coalesce(1)
+    got = {}
+    for r in WD.ward(df, ["x", "y"], 5, ["g"]).collect():
+        got.setdefault(r.g, {}).setdefault(r.cluster, set()).add(r.i)
+    for g, x in data.items():
+        assert sorted(map(sorted, got[g].values())) == sorted(map(sorted, plain(x, 5)[1]))
+    assert "_leaf_round" in rounds
+
+
+def test_a_cluster_beside_a_border_waits():
+    """The pair 0 and 3 costs 4.5; a single cluster outside at distance 2 would cost 2, one at distance 9 would not."""
+    ids, n, x = np.array([1, 2]), np.ones(2), np.array([[0.0], [3.0]])
+    for away, many in ((2.0, 0), (9.0, 1)):
+        reach = lambda n, x: n / (n + 1) * (x[:, 0] - (3 + away)) ** 2
+        assert len(WD._merged(ids, n, x, reach)[0]) == many
+
+
+@pytest.mark.parametrize("at_once", [40, 1 << 21])
+def test_merges_in_a_task_are_those_of_plain_agglomeration(monkeypatch, at_once):
+    """Partners are kept from step to step; ties on a lattice, several blocks of costs."""
+    monkeypatch.setattr(WD, "AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=(70, 3)), np.unique(rng.integers(0, 9, (60, 2)).astype(float), axis=0)):
+        merges = WD.merges_of(np.arange(len(x)), np.ones(len(x)), x)
+        assert len({m[0] for m in merges}) == len(x) - 1 and all(m[1] < m[0] for m in merges)
+        if x.shape[1] == 3:
+            np.testing.assert_allclose(sorted(m[2] for m in merges), np.sort(plain(x, 1)[0]), rtol=1e-9)
+        members = {i: [i] for i in range(len(x))}
+        for gone, into, height, _ in sorted(merges, key=lambda m: m[3]):
+            p, q = x[members[into]], x[members[gone]]
+            np.testing.assert_allclose(height, len(p) * len(q) / (len(p) + len(q)) * ((p.mean(0) - q.mean(0)) ** 2).sum(), rtol=1e-9)
+            members[into] += members.pop(gone)
