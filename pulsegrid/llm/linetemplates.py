@@ -139,15 +139,18 @@ def _without():
     return run
 
 
-def _beside(rows: DataFrame, table: DataFrame, total: int) -> DataFrame:
-    """Join on ``key``, one row per key in ``table`` with the count ``n`` of its rows.
+def _later(rows: DataFrame, table: DataFrame, total: int) -> DataFrame:
+    """Rows with an id above the ``first`` of their ``key`` in ``table``, each at most once; ``n`` is the count of a key's rows.
 
     Fewer than ``HOT`` keys can have more than ``total / HOT`` rows each: those are broadcast, all others meet by shuffle.
     """
+    table = table.withColumnRenamed("key", "__key")
     hot = F.col("n") * HOT > total
-    some = rows.join(F.broadcast(table.where(hot).select("key", F.col("first").alias("__hot"))), "key", "left")
-    cold = some.where("__hot is null").drop("__hot").join(table.where(~hot).select("key", "first"), "key")
-    return some.where("__hot is not null").withColumnRenamed("__hot", "first").unionByName(cold)
+    wide, narrow = (table.where(x).select("__key", "first") for x in (hot, ~hot))
+    same = F.col("key") == F.col("__key")
+    cold = rows.join(F.broadcast(wide.select("__key")), same, "left_anti")
+    return rows.join(F.broadcast(wide), same & (F.col("id") > F.col("first")), "left_semi").unionByName(
+        cold.join(narrow, same & (F.col("id") > F.col("first")), "left_semi"))
 
 
 def recurring_lines(
@@ -177,7 +180,7 @@ def recurring_lines(
     # a key of many rows is kept even if it does not recur, so that its rows are not shuffled
     first = F.when(F.col("docs") >= min_docs, F.col("first")).otherwise(F.lit((1 << 63) - 1))
     known = written(known.where((F.col("docs") >= max(min_docs, 2)) | wide).select("key", first.alias("first"), "n"), release=True)
-    return _beside(each, known, total).where("id > first").select("id", "spot")
+    return _later(each, known, total).select("id", "spot")
 
 
 def drop_recurring_lines(

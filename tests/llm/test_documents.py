@@ -206,3 +206,14 @@ def test_pipeline_stages_chain(spark, tmp_path):
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES) and json.dumps(list(queries.QUERIES))
+
+
+def test_a_line_meets_its_key_once(spark):
+    """A third of all rows under one key, looked up without a shuffle; the joins give each row at most once."""
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, -1, id) key", "id", "id * 2 spot")
+    table = spark.createDataFrame([(-1, 30, 1000), (4, 4, 1), (7, 5, 1), (8, 9, 1)], "key long, first long, n long")
+    got = linetemplates._later(rows, table, 3000)
+    assert sorted(r.id for r in got.collect()) == sorted([7, *range(33, 3000, 3)])
+    assert got.columns == ["key", "id", "spot"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "LeftAnti" in plan and "Inner" not in plan
