@@ -125,7 +125,7 @@ def kl_symmetric(t):
 
 def tests(t):
     src = t.readings.withColumn("day", day_number("ts")).withColumn("bin", F.floor(F.hour("ts") / 6).cast("int"))
-    return lambda states: ST.change_test(src.filter(F.col("state").isin(*states)), "state", states, 4, agg=4, slide=2, seed=11)
+    return lambda states: ST.change_test(src.filter(F.col("state").isin(*states)), "state", states, 4, agg=4, slide=2, seed=11, packed=True)
 
 
 @query("permutation_change")

@@ -170,3 +170,28 @@ def test_rows_without_statistics_stay(spark):
     assert sorted((r.participant_id or "", r.v) for r in W.normalize(df, ["v"]).fillna(0.0).collect()) == [("", 0.0), ("a", pytest.approx(-0.7071, abs=1e-4)), ("a", pytest.approx(0.7071, abs=1e-4))]
     empty = df.withColumn("v", F.lit(None).cast("double"))
     assert [r.cohort for r in W.split_cohort(empty, "v").collect()] == [None] * 3
+
+
+@pytest.mark.parametrize("correct", [False, True])
+def test_packed_windows_score_as_rows_of_shuffles_do(spark, correct):
+    rng = np.random.default_rng(5)
+    rows = [(f"p{p}", int(d) + p, int(b), "xyz"[s]) for p in range(3) for d, b, s in zip(rng.integers(0, 15, 120), rng.integers(0, 3, 120), rng.integers(0, 3, 120))]
+    days = spark.createDataFrame(rows, "participant_id string, day long, bin int, state string")
+    run = lambda packed: ST.change_test(days, "state", ["x", "y", "z"], 3, agg=4, slide=2, shuffles=40, seed=3, packed=packed)
+    long, packed = run(False), run(True)
+    assert packed.count() * 41 * 3 == long.count() > 0
+    a, b = ST.change_score(long, 0.2, correct=correct), ST.change_score(packed, 0.2, correct=correct)
+    assert sorted(a.columns) == sorted(b.columns)
+    assert sorted(a.collect()) == sorted(b.select(a.columns).collect())
+    # neither the shuffles nor the scores of a packed window cross the network
+    plan = packed._jdf.queryExecution().toString(), ST.change_score(packed, 0.2)._jdf.queryExecution().toString()
+    assert plan[0].count("Exchange") == plan[1].count("Exchange")
+
+
+def test_shuffled_distances_of_many_windows_are_those_of_one():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 9, (5, 6, 8)).astype(float)
+    orders = ST._day_orders(np.arange(3, 9), 20, 1)
+    together = ST._shuffled_distances(orders, counts, 4, 4, 4, 2, True)
+    for i in range(5):
+        assert (ST._shuffled_distances(orders, counts[i : i + 1], 4, 4, 4, 2, True) == together[i]).all()
