@@ -5,20 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import LDA, BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.aggregate import safe_corr
 from ..session import cut_lineage
-from .gram import array_moments, discriminant_axes, dot, lasso_folds, principal_axes, whole
+from .gram import array_moments, array_sum, discriminant_axes, dot, lasso_folds, matrix_of, principal_axes, whole
 from .ordered import salted_join
 from .regression import full_matrix, moments
 from .sessions import PID
@@ -41,28 +41,12 @@ def _as_row(cols: Sequence[str] | str) -> Column:
     return F.array(*[F.col(c).cast("double") for c in cols])
 
 
-def _mean_row(cols: Sequence[str] | str) -> Column:
-    if isinstance(cols, str):
-        return vector_to_array(Summarizer.mean(array_to_vector(_as_row(cols))))
-    return F.array(*[F.avg(c) for c in cols])
-
-
 def _assign(rows: DataFrame, centres: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     placed = salted_join(rows, centres, list(by)).withColumn("_d", _distances(cols))
     least = F.array_min("_d")
     return placed.withColumn("cluster", (F.array_position("_d", least) - 1).cast("int")).withColumn("distance2", least).drop("_d", "_centres")
 
 
-def _means(assigned: DataFrame, centres: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """New centres; a cluster that lost all rows keeps its old one."""
-    new = assigned.groupBy(*by, "cluster").agg(_mean_row(cols).alias("_m"))
-    old = centres.select(*by, F.posexplode("_centres").alias("cluster", "_o"))
-    both = old.join(new, [*by, "cluster"], "left")
-    # k rows per group
-    packed = both.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cluster", F.coalesce("_m", "_o").alias("c")))).alias("_x"))
-    return packed.select(*by, F.col("_x.c").alias("_centres"))
-
-
 def seed_centres(rows: DataFrame, cols: Sequence[str], k: int, by: Sequence[str]) -> DataFrame:
     """``k`` distinct rows per group in hash order; the rank filter limits rows before the shuffle."""
     unique = rows.select(*by, _as_row(cols).alias("_c")).distinct()
@@ -72,6 +56,111 @@ def seed_centres(rows: DataFrame, cols: Sequence[str], k: int, by: Sequence[str]
     return packed.select(*by, F.col("_x._c").alias("_centres"))
 
 
+#: Rows of one group in a block (a smaller group is fitted inside one task), over how many tasks a larger one is dealt, and how many
+#: doubles of larger groups' centres a round holds on the driver at once.
+BLOCK_ROWS, SALTS, HELD_DOUBLES = 4096, 16, 1 << 20
+
+
+def _nearest(columns: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Index of each row's nearest centre; ``columns`` has a row per value.  Sums run as in :func:`_distances`."""
+    out = np.zeros((len(centres), columns.shape[1]))
+    for total, centre in zip(out, centres):
+        for x, c in zip(columns, centre):
+            total += (x - c) * (x - c)
+    return np.where(np.isnan(out), np.inf, out).argmin(0)
+
+
+def _cluster_sums(columns: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Per centre the count and the sums of the rows next to it."""
+    own = _nearest(columns, centres)
+    return np.array([[hit.sum(), *columns[:, hit].sum(1)] for hit in (own == j for j in range(len(centres)))])
+
+
+def _moved(sums: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """New centres; a cluster that lost all rows keeps its old one."""
+    n = sums[:, :1]
+    return np.where(n > 0, sums[:, 1:] / np.maximum(n, 1), centres)
+
+
+def _settled(lean: DataFrame, centres: DataFrame, by: Sequence[str], rounds: int, tol: float) -> DataFrame:
+    """``by, _centres`` after the last round of each group; ``lean`` is ``by, _v`` without nulls in ``by``.
+
+    Groups of up to ``BLOCK_ROWS`` rows are fitted to the end where their rows lie, in one job.  The rows of larger ones are packed
+    once; a round reads them in place and sends one row of sums per task and group, so its traffic does not grow with the rows.
+    """
+    stuck = f"centres still move after {rounds} rounds"
+    group = F.struct(*by, F.lit(0).alias("_one")).alias("_g")  # also without ``by``
+    rows, starts = lean.select(group, "_v"), centres.select(group, "_centres")
+    large = [r._g for r in rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK_ROWS).select("_g").collect()]  # each stands for a block of rows
+    key = rows.schema["_g"]
+    names = rows.sparkSession.createDataFrame([(g, i) for i, g in enumerate(large)], T.StructType([key, T.StructField("_group", T.IntegerType())]))
+    done_type = T.StructType([key, T.StructField("_centres", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def fit_whole(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                x = matrix_of(batch.column("_x")[i].values).T.copy()
+                now = np.array(batch.column("_centres")[i].as_py(), float)
+                for _ in range(rounds):
+                    new = _moved(_cluster_sums(x, now), now)
+                    gap, now = np.abs(new - now).sum(), new
+                    if gap <= tol:
+                        break
+                else:
+                    raise RuntimeError(stuck)
+                out.append(now.tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("_g"), pa.array(out, pa.list_(pa.list_(pa.float64())))], ["_g", "_centres"])
+
+    small = rows.join(names, "_g", "left_anti") if large else rows
+    gathered = small.groupBy("_g").agg(F.collect_list("_v").alias("_x"))  # a block at most
+    done = cut_lineage(gathered.join(starts, "_g").mapInArrow(fit_whole, done_type))
+    if not large:
+        return done.select("_g.*", "_centres").drop("_one")
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                own, x = np.asarray(batch.column("_group")), matrix_of(batch.column("_v"))
+                for g in np.unique(own):
+                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([x[own == g].T.tobytes()], pa.binary())], ["_group", "_x"])
+
+    dealt = rows.join(names, "_g").select("_group", "_v").repartition("_group", F.pmod(F.xxhash64("_v", F.spark_partition_id()), F.lit(SALTS)))
+    blocks = cut_lineage(dealt.sortWithinPartitions("_group").mapInArrow(pack, "_group int, _x binary"))
+    first = {r._group: np.array(r._centres, float) for r in starts.join(names, "_g").select("_group", "_centres").collect()}
+    size = max(1, HELD_DOUBLES // max(c.size for c in first.values()))
+    fitted: dict[int, np.ndarray] = {}
+    for at in range(0, len(large), size):
+        now = {g: first[g] for g in range(at, min(at + size, len(large)))}
+        for _ in range(rounds):
+            new = {g: _moved(sums, now[g]) for g, sums in _sums_of_blocks(blocks, now).items()}
+            moving = {g: new[g] for g in new if not np.abs(new[g] - now[g]).sum() <= tol}
+            fitted |= {g: new[g] for g in new if g not in moving}
+            now = moving
+            if not now:
+                break
+        else:
+            raise RuntimeError(stuck)
+    rest = rows.sparkSession.createDataFrame([(large[g], c.tolist()) for g, c in fitted.items()], done_type)
+    return done.unionByName(rest).select("_g.*", "_centres").drop("_one")
+
+
+def _sums_of_blocks(blocks: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Counts and sums per centre of the groups in ``centres``: one row per task and group crosses the network."""
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for g, x in zip(batch.column("_group").to_pylist(), batch.column("_x")):
+                if g in centres:
+                    sums = _cluster_sums(np.frombuffer(x.as_buffer()).reshape(centres[g].shape[1], -1), centres[g])
+                    held[g] = held[g] + sums if g in held else sums
+        yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array([s.ravel().tolist() for s in held.values()], pa.list_(pa.float64()))], ["_group", "_s"])
+
+    added = blocks.mapInArrow(run, "_group int, _s array<double>").groupBy("_group").agg(array_sum("_s").alias("_s"))
+    return {r._group: np.array(r._s).reshape(len(centres[r._group]), -1) for r in added.collect()}
+
+
 def kmeans_by(df: DataFrame, cols: Sequence[str] | str, k: int, by: Sequence[str] = (PID,), rounds: int = 1000, tol: float = 1e-9) -> DataFrame:
     """k-means fitted per group, all groups in the same jobs (ML-1).
 
@@ -81,17 +170,9 @@ def kmeans_by(df: DataFrame, cols: Sequence[str] | str, k: int, by: Sequence[str
     """
     whole = df.filter(F.forall(cols, lambda x: x.isNotNull())) if isinstance(cols, str) else df.dropna(subset=list(cols))
     rows = cut_lineage(whole)  # read once more at the end
-    lean = cut_lineage(rows.select(*by, *([cols] if isinstance(cols, str) else cols)))  # read by every round
-    centres = cut_lineage(seed_centres(lean, cols, k, by))
-    for _ in range(rounds):
-        new = cut_lineage(_means(_assign(lean, centres, cols, by), centres, cols, by))
-        moved = new.alias("n").join(centres.alias("o"), list(by)).select(F.col("n._centres").alias("a"), F.col("o._centres").alias("b"))
-        gap = F.aggregate(F.zip_with(F.flatten("a"), F.flatten("b"), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda acc, v: acc + v)
-        farthest = moved.agg(F.max(gap)).first()[0]  # one number
-        centres = new
-        if farthest is None or farthest <= tol:
-            return _assign(rows, centres, cols, by)
-    raise RuntimeError(f"centres still move after {rounds} rounds")
+    lean = (rows.dropna(subset=list(by)) if by else rows).select(*by, _as_row(cols).alias("_v"))
+    centres = cut_lineage(seed_centres(rows, cols, k, by))
+    return _assign(rows, _settled(lean, centres, by, rounds, tol), cols, by)
 
 
 def dp_means(df: DataFrame, cols: Sequence[str], lam: float, by: Sequence[str] = (PID,), rounds: int = 1000, tol: float = 1e-9) -> DataFrame:

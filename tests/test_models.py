@@ -232,3 +232,28 @@ def test_change_queries_draw_the_default_number_of_shuffles(monkeypatch, spark,
 
     getattr(q_stats, name)(Tables)
     assert seen and set(seen) == {100}
+
+
+@pytest.mark.parametrize("held", [1, 1 << 20])
+def test_large_groups_settle_as_small_ones_do(monkeypatch, spark, held):
+    rng = np.random.default_rng(9)
+    rows = [(f"g{g}", i, [float(x) for x in rng.normal(i % 3 * 4 * (g < 2), 1, 3)]) for g, n in enumerate((90, 70, 30, 2)) for i in range(n)] + [(None, 0, [1.0, 2.0, 3.0]), ("g0", 99, None)]
+    df = spark.createDataFrame(rows, "g string, i int, v array<double>")
+    take = lambda: sorted((r.g, r.i, r.cluster, round(r.distance2, 9)) for r in C.kmeans_by(df, "v", 3, ["g"]).collect())
+    inside = take()
+    monkeypatch.setattr(C, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(C, "HELD_DOUBLES", held)
+    assert take() == inside and len(inside) == 192
+    pooled = C.kmeans_by(df.filter("g = 'g0'"), "v", 3, []).collect()
+    assert sorted((r.i, r.cluster) for r in pooled) == [(i, c) for g, i, c, _ in inside if g == "g0"]
+
+
+def test_rounds_of_kmeans_leave_rows_where_they_are(monkeypatch, spark):
+    """Before, each round shuffled all rows."""
+    monkeypatch.setattr(C, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(C, "_sums_of_blocks", lambda blocks, centres, run=C._sums_of_blocks: plans.append(blocks) or run(blocks, centres))
+    plans = []
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([("g", [float(x) for x in rng.normal(0, 1, 2)]) for _ in range(200)], "g string, v array<double>")
+    assert C.kmeans_by(df, "v", 4, ["g"]).count() == 200
+    assert len(plans) > 3 and len({id(b) for b in plans}) == 1 and plans[0].count() <= C.SALTS
