@@ -77,6 +77,53 @@ def maximised(sums: np.ndarray, params, k: int, d: int, ridge: float) -> tuple[f
     return float(value), np.concatenate([weights, means.ravel(), covs.ravel()])
 
 
+#: Doubles of one array when many groups are fitted at once.
+_AT_ONCE = 1 << 20
+
+
+def _fit_together(xs: list[np.ndarray], starts: list[np.ndarray], k: int, d: int, rounds: int, tol: float, ridge: float) -> list[tuple]:
+    """``params, value, loglik, turn`` of many groups' fits with ``k`` components, as arrays with a row per group.
+
+    The same steps as :func:`expected` and :func:`maximised`; groups are padded to the longest, and settled ones leave.
+    """
+    n = np.array([len(x) for x in xs])
+    x, there = np.zeros((len(xs), n.max(), d)), np.arange(n.max()) < n[:, None]
+    x[there] = np.concatenate(xs)
+    flat = np.array(starts, float)
+    weights, means, covs = flat[:, :k].copy(), flat[:, k : k + k * d].reshape(-1, k, d).copy(), flat[:, k + k * d :].reshape(-1, k, d, d).copy()
+    left, before, out = np.arange(len(xs)), np.full(len(xs), -np.inf), [None] * len(xs)
+    for turn in range(1, rounds + 1):
+        low = np.linalg.cholesky(covs)
+        gaps = x[:, None] - means[:, :, None]  # group, component, row, value
+        z = np.linalg.solve(low, gaps.swapaxes(2, 3))
+        with np.errstate(divide="ignore"):
+            share = np.log(weights)
+        logs = (share - 0.5 * d * np.log(2 * np.pi) - np.log(np.diagonal(low, axis1=2, axis2=3)).sum(2))[:, :, None] - 0.5 * (z * z).sum(2)
+        top = logs.max(1, keepdims=True)
+        total = top + np.log(np.exp(logs - top).sum(1, keepdims=True))
+        loglik = np.where(there, total[:, 0], 0.0).sum(1)
+        r = np.exp(logs - total) * there[:, None]
+        alive = weights > 0
+        value = loglik - 0.5 * ridge * np.where(alive, np.trace(np.linalg.inv(covs), axis1=2, axis2=3), 0.0).sum(1)
+        stay = value - before <= tol * n
+        for i in np.flatnonzero(stay):
+            out[left[i]] = (np.concatenate([weights[i], means[i].ravel(), covs[i].ravel()]), float(value[i]), float(loglik[i]), turn)
+        go = ~stay
+        if not go.any():
+            return out
+        x, there, n, left, before = x[go], there[go], n[go], left[go], value[go]
+        r, gaps, weights, means, covs = r[go], gaps[go], weights[go], means[go], covs[go]
+        counts = r.sum(2)
+        full = counts > 1e-12
+        some = np.where(full, counts, 1.0)
+        gap = np.where(full[:, :, None], (r[:, :, None] @ gaps)[:, :, 0] / some[:, :, None], 0.0)
+        scatter = (gaps * r[:, :, :, None]).swapaxes(2, 3) @ gaps - some[:, :, None, None] * gap[:, :, :, None] * gap[:, :, None, :]
+        weights = np.where(full, counts / counts.sum(1, keepdims=True), 0.0)
+        means = means + gap
+        covs = np.where(full[:, :, None, None], (scatter + ridge * np.eye(d)) / some[:, :, None, None], covs)
+    raise RuntimeError(f"mixtures still move after {rounds} rounds")
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
     """``_g, _x``: rows of a group packed, dealt over tasks once; rounds read the blocks."""
     salt = F.pmod(F.xxhash64("_v", F.spark_partition_id()), F.lit(SALTS))
@@ -143,24 +190,23 @@ def fit_mixtures(df: DataFrame, vector: str, ks: Sequence[int], by: Sequence[str
     fits = cut_lineage(_starts(rows, ks, d).withColumns({"value": F.lit(float("-inf")), "loglik": F.lit(float("-inf")), "done": F.lit(False)}))
     sizes = fits.select("_g", "n").distinct()
     small = sizes.filter(F.col("n") <= BLOCK_ROWS).select("_g")
-    gathered = rows.join(small, "_g", "left_semi").groupBy("_g").agg(F.flatten(F.collect_list("_v")).alias("_x"))  # a block at most
+    gathered = rows.join(small, "_g", "left_semi").groupBy("_g").agg(F.collect_list("_v").alias("_x"))  # a block at most
 
     def fit_whole(batches):
         for batch in batches:
+            xs = [np.asarray(x.values.flatten()).reshape(-1, d) for x in batch.column("_x")]
+            fits_of: dict[int, list] = {}
+            for i, fits_ in enumerate(batch.column("fits").to_pylist()):
+                for fit in fits_:
+                    fits_of.setdefault(fit["k"], []).append((len(xs[i]), i, fit["params"]))
             out = []
-            for i in range(batch.num_rows):
-                x = np.asarray(batch.column("_x")[i].values).reshape(-1, d)
-                for fit in batch.column("fits")[i].as_py():
-                    params, before = fit["params"], -np.inf
-                    for turn in range(1, rounds + 1):
-                        sums = expected(x, params, fit["k"])
-                        value, following = maximised(sums, params, fit["k"], d, ridge)
-                        if value - before <= tol * len(x):
-                            break
-                        params, before = following, value
-                    else:
-                        raise RuntimeError(f"mixtures still move after {rounds} rounds")
-                    out.append({"_g": i, "n": len(x), "k": fit["k"], "params": list(params), "value": value, "loglik": float(sums[0]), "rounds": turn})
+            for k, todo in fits_of.items():
+                todo.sort(key=lambda t: t[:2])  # groups of like size together
+                while todo:
+                    many = max(1, _AT_ONCE // (todo[-1][0] * k * d))
+                    some, todo = todo[-many:], todo[:-many]
+                    found = _fit_together([xs[i] for _, i, _ in some], [start for _, _, start in some], k, d, rounds, tol, ridge)
+                    out += [{"_g": i, "n": n, "k": k, "params": params.tolist(), "value": value, "loglik": loglik, "rounds": turn} for (n, i, _), (params, value, loglik, turn) in zip(some, found)]
             groups = batch.column("_g").take(pa.array([r.pop("_g") for r in out], pa.int64()))
             rest = pa.RecordBatch.from_pylist(out, pa.schema([("n", pa.int64()), ("k", pa.int32()), ("params", pa.list_(pa.float64())), ("value", pa.float64()), ("loglik", pa.float64()), ("rounds", pa.int32())]))
             yield pa.RecordBatch.from_arrays([groups, *rest.columns], ["_g", *rest.schema.names])

@@ -79,3 +79,24 @@ def test_small_groups_and_no_rows(spark):
     assert {(r.g, r.k) for r in fits} == {("same", 1), ("single", 1), ("pair", 2)}
     assert MX.fit_mixtures(df.limit(0), "v", [2], ["g"]).collect() == []
     assert MX.mixture_by(df.limit(0), "v", [2], ["g"]).collect() == []
+
+
+def test_groups_fitted_together_are_those_fitted_alone():
+    """Before, every group of a task ran its own rounds."""
+    rng = np.random.default_rng(4)
+    xs = [rng.normal(0, 1, (n, 2)) + rng.integers(0, 2, (n, 1)) * 5 for n in (3, 40, 7, 25)]
+    xs.append(np.repeat(xs[0][:1], 4, 0))
+    start = lambda x: np.concatenate([[0.5, 0.5], x[0], x[-1], np.tile((np.cov(x.T, bias=True) + 1e-3 * np.eye(2)).ravel(), 2)])
+    found = MX._fit_together(xs, [start(x) for x in xs], 2, 2, 1000, 1e-6, 1e-2)
+    for x, (params, value, loglik, turn) in zip(xs, found):
+        now, before = start(x), -np.inf
+        for n in range(1, 1000):
+            sums = MX.expected(x, now, 2)
+            best, following = MX.maximised(sums, now, 2, 2, 1e-2)
+            if best - before <= 1e-6 * len(x):
+                break
+            now, before = following, best
+        assert turn == n and value == pytest.approx(best) and loglik == pytest.approx(sums[0])
+        assert params == pytest.approx(now)
+    with pytest.raises(RuntimeError):
+        MX._fit_together(xs, [start(x) for x in xs], 2, 2, 2, 1e-6, 1e-2)
