@@ -257,3 +257,17 @@ def test_rounds_of_kmeans_leave_rows_where_they_are(monkeypatch, spark):
     df = spark.createDataFrame([("g", [float(x) for x in rng.normal(0, 1, 2)]) for _ in range(200)], "g string, v array<double>")
     assert C.kmeans_by(df, "v", 4, ["g"]).count() == 200
     assert len(plans) > 3 and len({id(b) for b in plans}) == 1 and plans[0].count() <= C.SALTS
+
+
+def test_state_model_of_cut_series_is_that_of_whole_ones(monkeypatch, spark):
+    rng = np.random.default_rng(11)
+    rows = [(s, i, [float(rng.normal(3 * (i // 25 % 3))), float(rng.normal(0))], i % 7) for s, n in (("a", 300), ("b", 120), ("c", 1), (None, 30)) for i in range(n)]
+    df = spark.createDataFrame(rows, "series string, t_us long, window array<double>, extra int")
+    take = lambda: sorted(map(str, SM.state_model(df, 3, 2.0, ["series"]).collect()))
+    whole = take()
+    monkeypatch.setattr(SM, "STEP_ROWS", 40)
+    turns = []
+    monkeypatch.setattr(SM._Blocks, "turn", lambda self, *a, run=SM._Blocks.turn: turns.append(self.blocks.count()) or run(self, *a))
+    assert take() == whole and len(whole) == 451
+    # windows are packed once: before, every round shuffled and wrote all of them
+    assert len(set(turns)) == 1 and 10 <= turns[0] < 60
