@@ -135,10 +135,8 @@ def poisson_p(n: pd.Series, lam: pd.Series) -> pd.Series:
     return pd.Series(poisson_upper(n, lam))
 
 
-@F.pandas_udf(T.DoubleType())
-def digamma(x: pd.Series) -> pd.Series:
+def digamma_of(v: np.ndarray) -> np.ndarray:
     """Derivative of log gamma for positive arguments."""
-    v = x.to_numpy(float)
     shift = np.zeros_like(v)
     big = v.copy()
     for _ in range(6):
@@ -147,7 +145,21 @@ def digamma(x: pd.Series) -> pd.Series:
         big = np.where(small, big + 1, big)
     inv = 1.0 / (big * big)
     series = np.log(big) - 0.5 / big - inv * (1 / 12 - inv * (1 / 120 - inv * (1 / 252 - inv * (1 / 240 - inv / 132))))
-    return pd.Series(series + shift)
+    return series + shift
+
+
+def trigamma_of(v: np.ndarray) -> np.ndarray:
+    """Derivative of digamma for positive arguments."""
+    big = np.asarray(v, float) + 6
+    inv = 1.0 / (big * big)
+    series = 1 / big + inv / 2 + inv / big * (1 / 6 - inv * (1 / 30 - inv * (1 / 42 - inv / 30)))
+    return series + sum(1.0 / (big - i) ** 2 for i in range(1, 7))
+
+
+@F.pandas_udf(T.DoubleType())
+def digamma(x: pd.Series) -> pd.Series:
+    """Derivative of log gamma for positive arguments."""
+    return pd.Series(digamma_of(x.to_numpy(float)))
 
 
 def kolmogorov_p(lam: Column) -> Column:

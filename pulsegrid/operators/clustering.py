@@ -22,6 +22,7 @@ from .gram import array_moments, array_sum, discriminant_axes, dot, lasso_folds,
 from .ordered import salted_join
 from .regression import full_matrix, moments
 from .sessions import PID
+from .wordtopics import topics_in_tables, word_counts
 
 
 def _distances(cols: Sequence[str], centres: str = "_centres") -> Column:
@@ -442,21 +443,35 @@ def discriminant(df: DataFrame, vector: str | Sequence[str], label: str, k: int
     return out.select(*df.columns, *[c for c in out.columns if c.startswith("axis_") and c not in df.columns])
 
 
+#: Words whose names and weights a topic fit may hold on the driver.
+HELD_WORDS = 1 << 19
+
+
+def _top_topic(dist: DataFrame, keep: Sequence[str]) -> DataFrame:
+    top = F.array_max("topics")
+    return dist.select(*keep, "topics", (F.array_position("topics", top) - 1).cast("int").alias("topic"), top.alias("weight"))
+
+
 def topics(docs: DataFrame, k: int, words: str = "words", min_df: float = 1.0, rounds: int = 10, seed: int = 0, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Topic model on word windows (ML-14): documents with their top topic, and key words per topic.
 
-    All words count.  Variational fitting has no end of its own: ``rounds`` passes are the fit asked for.
+    All words count; null has none.  Variational fitting has no end of its own: ``rounds`` passes are the fit asked for.
+    MLlib's fit holds words and weights on the driver; beyond ``HELD_WORDS`` words they stay in tables.
     """
-    docs = cut_lineage(docs.select(*keep, words))
-    size = docs.select(F.explode(words).alias("w")).agg(F.count_distinct("w")).first()[0]
+    docs = docs.select(*keep, F.coalesce(words, F.array().cast("array<string>")).alias(words))
+    vocabulary = word_counts(docs, words)
+    size = vocabulary.count()
+    if size > HELD_WORDS:
+        dist, key_words = topics_in_tables(docs, vocabulary, k, words, min_df, rounds, seed)
+        return _top_topic(dist, keep), key_words
+    docs = cut_lineage(docs)
     counted = CountVectorizer(inputCol=words, outputCol="_tf", vocabSize=max(size, 1), minDF=min_df).fit(docs)
     rows = counted.transform(docs)
     rows = IDF(inputCol="_tf", outputCol="_idf").fit(rows).transform(rows)
     rows = Normalizer(p=1.0, inputCol="_idf", outputCol="features").transform(rows)
     model = LDA(k=k, seed=seed, maxIter=rounds, featuresCol="features").fit(rows)
     dist = model.transform(rows).withColumn("topics", vector_to_array("topicDistribution"))
-    top = F.array_max("topics")
-    named = dist.select(*keep, "topics", (F.array_position("topics", top) - 1).cast("int").alias("topic"), top.alias("weight"))
+    named = _top_topic(dist, keep)
     top_terms = model.describeTopics(10).select("topic", F.posexplode("termIndices").alias("_rank", "_term"))
     wanted = sorted({r._term for r in top_terms.select("_term").collect()})  # ten per topic
     names = docs.sparkSession.createDataFrame([(i, counted.vocabulary[i]) for i in wanted], "_term int, _word string")
