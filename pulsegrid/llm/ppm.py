@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .store import blocks, written
-from .textbytes import LOWER, joined, raw, span_hashes, word_spans
+from .textbytes import LOWER, SPACE, raw, span_hashes, word_spans
 
 GRAMS, WORDS = 0, 1
 END = 0x0A
+SLICE_BYTES = 1 << 17
 
 
 def held_out(key: str = "doc_id", parts: int = 7, part: int = 2) -> Column:
@@ -20,38 +22,61 @@ def held_out(key: str = "doc_id", parts: int = 7, part: int = 2) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), "UTF-8")) % parts == part
 
 
+def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``SLICE_BYTES``, whose arrays stay in a core's cache; a longer text is one range."""
+    at, size = 0, 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) > SLICE_BYTES:
+            yield at, k
+            at, size = k, 0
+        size += len(text) + 1
+    if texts:
+        yield at, len(texts)
+
+
 def _canonical(texts: list[bytes], order: int):
     """A text as the model reads it: lowered words with one blank between and one end byte last.
 
-    Gives the ``order + 1`` bytes that end at each byte as one number (before a text stand end bytes), the text of each, and hash and text of each word.
+    Gives the ``order + 1`` bytes that end at each byte as one number (before a text stand end bytes), how many bytes each text has, hashes of words
+    and how many words each text has.
     """
-    buf, starts = joined(texts)
-    buf = LOWER[buf]
+    gap = b"\n" * (order + 1)  # white space that ends a text, and the end bytes that stand before the next
+    buf = LOWER[np.frombuffer(gap[1:] + gap.join([*texts, b""]), np.uint8)]
+    stop = np.cumsum([len(t) + order + 1 for t in texts]) - 1
     s, e = word_spans(buf)
-    own = np.searchsorted(starts, s, "right") - 1
     words = span_hashes(buf, s, e)
-    keep = np.zeros(len(buf) + 1, np.int8)
-    keep[s] = 1
-    keep[e + 1] -= 1
-    mask = np.cumsum(keep[:-1]) > 0
-    per_text = np.bincount(own, minlength=len(texts))
-    buf = buf.copy()
+    upto = np.searchsorted(s, stop)
+    per_text = np.diff(upto, prepend=0)
+    length = np.maximum(np.diff(np.concatenate([[0], np.cumsum(e - s + 1)])[upto], prepend=0), 1)
+    mask = ~SPACE[buf]
+    mask[e] = True
+    mask[stop[per_text == 0]] = True
     buf[e] = 0x20
-    last = np.append(own[1:] != own[:-1], True)[: len(own)]
-    buf[e[last]] = END
-    mask[starts[1:][per_text == 0] - 1] = True
-    at = np.flatnonzero(mask)
-    text = np.searchsorted(starts, at, "right") - 1
-    data = buf[at].astype(np.uint64)
-    begin = np.flatnonzero(np.diff(text, prepend=-1))
-    place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-    code = np.zeros(len(at), np.uint64)
-    for j in range(order + 1):
-        back = np.full(len(at), END, np.uint64)
-        back[j:] = data[: max(0, len(at) - j)]
-        back[place < j] = END
-        code |= back << np.uint64(8 * j)
-    return code.view(np.int64), text, words.view(np.int64), own
+    buf[e[upto[per_text > 0] - 1]] = END
+    before = np.concatenate([[0], stop[:-1] + 1])
+    first = np.cumsum(length + order) - length - order
+    for j in range(order):
+        mask[before + j] = True
+    code, have = buf[mask].astype(np.uint64), 1
+    while have <= order:
+        code[have:] |= code[:-have] << np.uint64(8 * have)
+        have *= 2
+    keep = np.ones(len(code), bool)
+    for j in range(order):
+        keep[first + j] = False
+    return code[keep] & np.uint64((1 << 8 * (order + 1)) - 1), length, words, per_text
+
+
+def _read(texts: list[bytes], order: int):
+    """``_canonical`` of a block, slice by slice."""
+    code, at = np.empty(sum(map(len, texts)) + len(texts), np.uint64), 0
+    rest = []
+    for a, b in _slices(texts):
+        part, *more = _canonical(texts[a:b], order)
+        code[at : at + len(part)] = part
+        at += len(part)
+        rest.append(more)
+    return code[:at], *(np.concatenate(x) for x in zip(*rest))
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -70,12 +95,16 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 def _split(keys: np.ndarray, buckets: int):
     """Places of the keys bucket by bucket, ascending inside; the buckets and how many keys each has."""
     bucket = _bucket(keys, buckets)
-    found, many = np.unique(bucket, return_counts=True)
-    return np.argsort(bucket, kind="stable"), found, many
+    many = np.bincount(bucket, minlength=1)
+    found = np.flatnonzero(many)
+    return np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable"), found, many[found]
 
 
-def _unique(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys.view(np.uint64)).view(np.int64)
+def _distinct_sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct unsigned keys ascending and how often each occurs; sorts ``keys`` in place."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.diff(first, append=len(keys))
 
 
 def _distinct(order: int, buckets: int):
@@ -84,11 +113,12 @@ def _distinct(order: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         texts = raw(table.column("text").combine_chunks())
         train = ~np.array(table.column("held").to_pylist(), bool)
-        code, text, words, own = _canonical(texts, order)
+        code, length, words, per_text = _read(texts, order)
         block, out = table.column("block")[0].as_py(), []
-        for kind, keys, use in ((GRAMS, code, train[text]), (WORDS, words, train[own])):
-            seen, count = np.unique(keys[use].view(np.uint64), return_counts=True)
-            every = np.union1d(seen, np.unique(keys[~use].view(np.uint64)))
+        for kind, keys, many in ((GRAMS, code, length), (WORDS, words, per_text)):
+            use = np.repeat(train, many)
+            seen, count = _distinct_sorted(keys[use])
+            every, _ = _distinct_sorted(np.concatenate([seen, _distinct_sorted(keys[~use])[0]]))
             counts = np.zeros(len(every), "<u4")
             counts[np.searchsorted(every, seen)] = count
             every = every.view(np.int64)
@@ -136,45 +166,61 @@ def _answer(parcels: pa.Table, model: pa.Table) -> pa.Table:
 
 
 class _Lookup:
-    """Values of sorted keys for many queries: a table of slots, and binary search for the few keys that share one."""
+    """Values of sorted keys for many queries: tables of slots, each with its key's value if one key has it; keys that share one go to the next, at last by binary search."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.keys, self.values = keys, values
-        self.bits = max(4, int(len(keys)).bit_length() + 2)
-        self.slots = np.zeros(1 << self.bits, np.int32)
-        self.slots[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
+    HASHES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC4CEB9FE1A85EC53)
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values, self.tables = keys, values, []
+        for factor in map(np.uint64, self.HASHES):
+            shift = np.uint64(64 - max(4, len(keys).bit_length() + 2))
+            slot = self._slot(keys, factor, shift)
+            table = np.full(1 << (64 - int(shift)), np.nan, values.dtype)
+            table[slot] = values
+            shared = np.bincount(slot, minlength=1)[slot] > 1
+            table[slot[shared]] = np.nan
+            self.tables.append((factor, shift, table))
+            keys, values = keys[shared], values[shared]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, factor: np.uint64, shift: np.uint64) -> np.ndarray:
+        return ((keys * factor) >> shift).view(np.int64)
 
     def __call__(self, query: np.ndarray) -> np.ndarray:
-        at = self.slots[self._slot(query)]
-        off = np.flatnonzero(self.keys[at] != query)
-        at[off] = np.searchsorted(self.keys.view(np.uint64), query[off].view(np.uint64))
-        return self.values[at]
+        out, left = np.full(len(query), np.nan, self.values.dtype), np.arange(len(query))
+        for factor, shift, table in self.tables:
+            out[left] = table[self._slot(query[left], factor, shift)]
+            left = left[np.isnan(out[left])]
+        out[left] = self.values[np.searchsorted(self.keys, query[left])]
+        return out
 
 
 def _score(order: int, buckets: int, tokens: int, kinds: int, ends: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = raw(docs.column("text").combine_chunks())
-        code, text, words, own = _canonical(texts, order)
-        answers, values = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")]), {}
+        code, length, words, per_text = _read(texts, order)
+        answers, look = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")]), {}
         rows = list(zip(*(answers.column(c).to_pylist() for c in ("kind", "values", "width"))))
         for kind, keys in ((GRAMS, code), (WORDS, words)):
-            every = _unique(keys)
-            places, _, _ = _split(every, buckets)
-            got = [np.frombuffer(zlib.decompress(v), f"<f{w}").astype(np.float64) for k, v, w in rows if k == kind]
-            filled = np.empty(len(every))
+            every, _ = _distinct_sorted(keys.copy())
+            places, _, _ = _split(every.view(np.int64), buckets)
+            got = [np.frombuffer(zlib.decompress(v), f"<f{w}") for k, v, w in rows if k == kind]
+            filled = np.empty(len(every), max((x.dtype for x in got), key=lambda t: t.itemsize, default=np.float32))
             filled[places] = np.concatenate(got) if got else []
-            values[kind] = _Lookup(every, filled)(keys) if len(keys) else np.empty(0)
-        n, count = len(texts), values[WORDS]
+            look[kind] = _Lookup(every, filled)
         whole = np.log10(tokens + kinds + 1)
-        n_words = np.bincount(own, minlength=n)
-        base = np.bincount(own, np.log10(count + 1) - whole, n) + np.log10(ends + 1) - whole
-        known = np.bincount(own, count > 0, n).astype(np.int64) + (ends > 0)
-        score = np.bincount(text, values[GRAMS], n) / np.log(10)
+        base, known, score = np.empty(len(texts)), np.empty(len(texts), np.int64), np.empty(len(texts))
+        code_at, word_at = 0, 0
+        for a, b in _slices(texts):
+            text, own = np.repeat(np.arange(b - a), length[a:b]), np.repeat(np.arange(b - a), per_text[a:b])
+            logp = look[GRAMS](code[code_at : code_at + len(text)])
+            count = look[WORDS](words[word_at : word_at + len(own)]).astype(np.float64)
+            code_at, word_at = code_at + len(text), word_at + len(own)
+            base[a:b] = np.bincount(own, np.log10(count + 1) - whole, b - a) + np.log10(ends + 1) - whole
+            known[a:b] = np.bincount(own, count > 0, b - a).astype(np.int64) + (ends > 0)
+            score[a:b] = np.bincount(text, logp, b - a) / np.log(10)
         return pa.table({
-            "id": docs.column("id"), "held_out": docs.column("held"), "n_tokens": pa.array(n_words + 1), "n_known": pa.array(known), "n_bytes": pa.array(np.bincount(text, minlength=n)),
+            "id": docs.column("id"), "held_out": docs.column("held"), "n_tokens": pa.array(per_text + 1), "n_known": pa.array(known), "n_bytes": pa.array(length),
             "base_score": pa.array(base), "score": pa.array(score)})
 
     return run

@@ -1,9 +1,11 @@
 import collections
 import math
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +81,47 @@ def test_model_without_training_rows_and_empty_table(spark):
     assert ppm.score(docs.limit(0), ppm.held_out()).collect() == []
 
 
+@pytest.mark.parametrize("order", [0, 2, 5, 6])
+@pytest.mark.parametrize("size", [1, 300, 1 << 17])
+def test_a_block_is_read_the_same_in_slices_of_any_size(monkeypatch, order, size):
+    monkeypatch.setattr(ppm, "SLICE_BYTES", size)
+    block = [(t or "").encode() for t in texts(5)]
+    code, length, words, per_text = ppm._read(block, order)
+    data = [b" ".join(lowered(t.decode())) + b"\n" for t in block]
+    padded = [b"\n" * order + x for x in data]
+    assert code.tolist() == [int.from_bytes(x[i : i + order + 1]) for x in padded for i in range(len(x) - order)]
+    assert length.tolist() == [len(x) for x in data] and per_text.tolist() == [len(x.split()) for x in data]
+    spelt = [w for x in data for w in x.split()]
+    assert len(set(words.tolist())) == len(set(spelt)) == len(set(zip(words.tolist(), spelt)))
+
+
+def test_lookup_finds_keys_that_share_slots():
+    keys = np.sort(np.unique(np.random.default_rng(2).integers(0, 1 << 63, 5000).astype(np.uint64)))
+    keys = np.unique(np.concatenate([keys, keys + np.uint64(1), np.arange(3000, dtype=np.uint64)]))
+    for values in (np.arange(len(keys), dtype=np.float32), np.arange(len(keys)) + 2.0**40):
+        look = ppm._Lookup(keys, values)
+        assert look(keys[::-1]).tolist() == values[::-1].tolist() and look(keys[:0]).tolist() == []
+    assert ppm._Lookup(keys[:0], values[:0])(keys[:0]).tolist() == []
+
+
+def test_counting_a_block_costs_less_than_a_sort_of_as_many_numbers():
+    draw = random.Random(6)
+    vocabulary = ["".join(draw.choices(SYLLABLES, k=draw.randint(1, 4))) for _ in range(20000)]
+    block = [" ".join(draw.choices(vocabulary, k=400)) for _ in range(2400)]
+    table = pa.table({"block": [0] * len(block), "held": [k % 7 == 2 for k in range(len(block))], "text": block})
+    numbers = np.random.default_rng(0).integers(0, 1 << 48, sum(map(len, block)))
+
+    def cpu(work):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert cpu(lambda: ppm._distinct(5, 9)(table)) < 0.6 * cpu(lambda: np.argsort(numbers, kind="stable"))
+
+
 def test_edits_next_texts_and_fingerprints(spark, monkeypatch):
     rows = [(i * 3, t) for i, t in enumerate(texts(4))] + [(None, "no id"), (500, "é" * 4000), (501, "é" * 4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
