@@ -271,3 +271,51 @@ def test_state_model_of_cut_series_is_that_of_whole_ones(monkeypatch, spark):
     assert take() == whole and len(whole) == 451
     # windows are packed once: before, every round shuffled and wrote all of them
     assert len(set(turns)) == 1 and 10 <= turns[0] < 60
+
+
+def plain_walk(costs, penalty):
+    """One row after the other: stay unless another state is cheaper, the lowest of equal ones."""
+    value, back = costs[0], []
+    for row in costs[1:]:
+        switch = value.min() + penalty
+        back.append([s if v <= switch else int(value.argmin()) for s, v in enumerate(value)])
+        value = np.minimum(value, switch) + row
+    out = [int(value.argmin())]
+    for b in reversed(back):
+        out.append(b[out[-1]])
+    return out[::-1], value.min()
+
+
+@pytest.mark.parametrize("penalty", [0.0, 2.0, 50.0])
+def test_series_cut_into_pieces_walk_the_same_path(monkeypatch, penalty):
+    """Ties included; a long series takes as many steps as a piece has rows, before it took one for each of its rows."""
+    monkeypatch.setattr(SM, "PIECE", 7)
+    steps = []
+    monkeypatch.setattr(SM._Paths, "forward", lambda self, *a, run=SM._Paths.forward, **b: steps.append(len(self.active)) or run(self, *a, **b))
+    rng = np.random.default_rng(4)
+    sizes = [300, 1, 7, 50, 8]
+    for costs in (rng.integers(0, 4, (sum(sizes), 3)).astype(float), rng.normal(size=(sum(sizes), 3)) ** 2):
+        starts = np.cumsum([0, *sizes])[:-1]
+        state, paid = SM._Pieces(costs, starts, penalty).walk()
+        for i, (a, n) in enumerate(zip(starts, sizes)):
+            path, cost = plain_walk(costs[a : a + n], penalty)
+            assert state[a : a + n].tolist() == path and paid[i] == pytest.approx(cost)
+    assert max(steps) <= 7
+
+
+def test_rounds_of_state_model_write_no_table(monkeypatch, spark):
+    rng = np.random.default_rng(11)
+    rows = [(s, i, [float(rng.normal(2 * (i // 25 % 3))), float(rng.normal(0))]) for s, n in (("a", 300), ("b", 120), (None, 30)) for i in range(n)]
+    df = spark.createDataFrame(rows, "series string, t_us long, window array<double>")
+    written, turns = [], []
+    monkeypatch.setattr(SM, "cut_lineage", lambda x, run=SM.cut_lineage: written.append(x) or run(x))
+
+    def turn(self, *a, run=SM._Blocks.turn):
+        before = len(written)
+        out = run(self, *a)
+        turns.append(len(written) - before)
+        return out
+
+    monkeypatch.setattr(SM._Blocks, "turn", turn)
+    assert SM.state_model(df, 3, 2.0, ["series"]).count() == 450
+    assert len(turns) > 1 and not any(turns)
