@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release_shuffles
 from .neighbours import _dealt, _tree
 
 #: Clusters of a group that one task takes to the end, and of a leaf at most; costs that it computes at once.
@@ -244,6 +244,7 @@ def ward_merges(points: DataFrame, d: int) -> DataFrame:
         noted(cut_lineage(twins.select("_g", F.col("_id").alias("gone"), F.col("_first").alias("into"), F.lit(0.0).alias("height"), F.lit(0).cast("long").alias("step"))))
         now, step = cut_lineage(same.select("_g", F.col("_first").alias("_id"), "_m", "_v")), step + 1
         slow = not slow and now.count() > SLOW * many
+        release_shuffles(points.sparkSession)  # plans and files of the round
 
     def finish(batches):
         for batch in batches:
